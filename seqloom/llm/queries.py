@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import host_reputation, mixing, stream_dedup, warc
+from seqloom.llm import bpe, host_reputation, mixing, stream_dedup, warc
 from seqloom.llm.common import table
 
 
@@ -30,6 +30,15 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op10_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = r"""
@@ -98,7 +107,7 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_reputation, op4_warc_chain, op7_mix_sources, op8_stream_dedup)}
+    return {f.__name__: f for f in (op2_host_reputation, op4_warc_chain, op7_mix_sources, op8_stream_dedup, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
