@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, host_reputation, mixing, stream_dedup, warc
-from seqloom.llm.common import table
+from seqloom.llm import bpe, host_reputation, langid, mixing, stream_dedup, toxicity, warc
+from seqloom.llm.common import crc_mod, table
 
 
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +36,12 @@ def op8_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    return out.withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -107,7 +119,7 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_reputation, op4_warc_chain, op7_mix_sources, op8_stream_dedup, op10_bpe_tree)}
+    return {f.__name__: f for f in (op2_host_reputation, op4_warc_chain, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
