@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, host_reputation, langid, mixing, stream_dedup, toxicity, warc
+from seqloom.llm import bpe, host_reputation, langid, minhash, mixing, stream_dedup, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 
@@ -18,6 +18,10 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -85,6 +89,19 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN
 FROM urls JOIN bounds USING (host) LEFT JOIN fits USING (page_id)
 """
 
+OP3_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS sh FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id, d.doc_id = min(seen) AS kept
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY html)
@@ -119,8 +136,8 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_reputation, op4_warc_chain, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
+    return {f.__name__: f for f in (op2_host_reputation, op3_near_dedup, op4_warc_chain, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_reputation": OP2_SQL, "op4_warc_chain": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_stream_dedup": OP8_SQL}
+    return {"op2_host_reputation": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_warc_chain": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_stream_dedup": OP8_SQL}

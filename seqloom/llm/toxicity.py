@@ -82,7 +82,7 @@ def features(text: str | None, model: tuple[np.ndarray, np.ndarray], order: int,
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights (intercept first) by Newton steps with a ridge penalty."""
     x = np.column_stack([np.ones(len(x)), x])
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
@@ -103,7 +103,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     each class the first docs_per_class ids in the order of a hash, their texts whole, texts of more than
     longest_fitted characters aside. Every document is then scored by its whole text: log-likelihoods under
     the toxic and the ordinary model, per byte, over the text and over its most toxic spans, turned into a
-    probability by a logistic curve that was fitted across two halves of the sample and set to the rate of
+    probability by a logistic curve that was fitted on five folds of the sample, each under models of the other four, and set to the rate of
     toxic labels. Only the text enters a score.
 
     Null or empty texts score as a text without evidence. Null labels are ignored, repeated labels of an id
@@ -121,11 +121,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = weights = None
     if all(sum(1 for x in t if words_of(x)) >= 2 for t in texts):
         x, y = [], []
-        for part in (0, 1):
-            half = ratios(texts[0][part::2], texts[1][part::2], order)
+        folds = min(5, *map(len, texts))
+        for fold in range(folds):
+            rest = ratios(*([t for i, t in enumerate(texts[kind]) if i % folds != fold] for kind in (0, 1)), order)
             for kind in (0, 1):
-                x += [features(t, half, order, spans) for t in texts[kind][1 - part :: 2]]
-                y += [kind] * len(texts[kind][1 - part :: 2])
+                held = texts[kind][fold::folds]
+                x += [features(t, rest, order, spans) for t in held]
+                y += [kind] * len(held)
         weights = logistic(np.array(x), np.array(y))
         weights[0] += math.log(rate[1] / rate[0]) - math.log(sum(y) / (len(y) - sum(y)))
         model = ratios(texts[0], texts[1], order)
