@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, host_reputation, langid, minhash, mixing, stream_dedup, toxicity, warc
+from seqloom.llm import bpe, fingerprint, host_reputation, langid, minhash, mixing, stream_dedup, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op4_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages")).drop("payload")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
     out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
@@ -136,7 +140,7 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_reputation, op3_near_dedup, op4_warc_chain, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
+    return {f.__name__: f for f in (op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
