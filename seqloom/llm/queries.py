@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, fingerprint, host_reputation, langid, minhash, mixing, stream_dedup, toxicity, warc
+from seqloom.llm import bpe, fingerprint, host_reputation, langid, minhash, mixing, pitman_yor, stream_dedup, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 10) == 0
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict; labels.quality of the document with the page's id is its labelled outcome."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -140,7 +145,7 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
