@@ -112,10 +112,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     marks = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rate = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts: list[list[str]] = [[], []]
     for kind in (0, 1):
         ids = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(docs_per_class).select("id")
-        found = docs.where(F.length(text_col) <= longest_fitted).join(F.broadcast(ids), F.col(id_col) == ids["id"]).select(F.xxhash64("id").alias("h"), "id", text_col)
+        found = rows.where(F.length("text") <= longest_fitted).join(F.broadcast(ids), "id").select(F.xxhash64("id").alias("h"), "id", "text")
         texts[kind] = [r[2] for r in sorted(found.collect(), key=lambda r: (r[0], r[1], r[2]))[:docs_per_class]]
     base = rate.get(1, 0) / max(1, sum(rate.values()))
     model = weights = None
@@ -143,5 +144,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     p = 1 / (1 + np.exp(-np.clip(weights[0] + f @ weights[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["id", "score", "predicted", "llr", "span_llr"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, score double, predicted int, llr double, span_llr double").withColumnRenamed("id", id_col)
