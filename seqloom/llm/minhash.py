@@ -76,13 +76,8 @@ def least_estimate(threshold: float, hashes: int) -> float:
     return threshold - 6 * (p * (1 - p) / hashes) ** 0.5 / (1 - 2.0**-BITS)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets reach the threshold.
-
-    Only texts that stand for a class of some pair are read again; one side's set travels with each pair.
-    """
-    pairs = saved(pairs, folder, f"{name}-pairs")
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def full_sets(need: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, folder: str, name: str) -> DataFrame:
+    """node, hashes of the needed classes; only texts that stand for one of them are read again."""
     ids = saved(classes.join(need, "node").select("id").distinct(), folder, f"{name}-ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +88,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
 
     # equal ids may stand for several texts: sets go by their digest, one row each
     full = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(sets, "node binary, hashes binary")
-    full = saved(full.join(need, "node", "left_semi").dropDuplicates(["node"]), folder, f"{name}-sets")
+    return saved(full.join(need, "node", "left_semi").dropDuplicates(["node"]), folder, f"{name}-sets")
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold; one side's set travels with each."""
+    pairs = saved(pairs, folder, f"{name}-pairs")
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    full = full_sets(need, docs, classes, shingle, folder, name)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x, np.uint64) for x in batch[c].to_pylist()] for c in ("x", "y"))
-            good = []
-            for x, y in zip(a, b, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [reaches(x, y, percent) for x, y in zip(a, b, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_b = pairs.join(full.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -122,11 +126,14 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float, percent: int) ->
     return met.select("a", "b", "s_a", "s_b").mapInArrow(close, "a binary, b binary")
 
 
-def rest_pairs(buckets: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs within a bucket that different components hold and that sizes and signatures allow.
+def rest_links(buckets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) within buckets between classes that were in different components, as many as join them.
 
-    A bucket of m rows is dealt to ceil(m / BLOCK) slots, and every two slots meet in a group of their own, so
-    that no group holds more than about 2 * BLOCK rows; only likely pairs are emitted.
+    buckets: key, node, component, n, signature, hashes. A bucket of m rows is dealt to ceil(m / BLOCK) slots,
+    and every two slots meet in a group of their own, so that no group holds more than about 2 * BLOCK rows.
+    There pairs of different components that sizes and signatures allow are confirmed on full sets, the
+    likeliest first; a confirmed link joins two components, whose other pairs need no look, so that a group
+    emits fewer links than it has rows, and none that matters is lost.
     """
     of_key = Window.partitionBy("key")
     rows = buckets.withColumn("slots", F.ceil(F.count(F.lit(1)).over(of_key) / BLOCK).cast("int"))
@@ -137,20 +144,41 @@ def rest_pairs(buckets: DataFrame, least: float, percent: int) -> DataFrame:
     def meet(frame):
         import pandas as pd
 
-        node, comp, n = frame["node"].to_numpy(), frame["component"].to_numpy(), frame["n"].to_numpy()
-        slot, low = frame["slot"].to_numpy(), frame["low"].iloc[0]
+        frame = frame.sort_values("node", ignore_index=True)
+        node, n = frame["node"].to_numpy(), frame["n"].to_numpy()
+        _, comp = np.unique(frame["component"].to_numpy(), return_inverse=True)
+        root = list(range(comp.max() + 1))
+        low, high, slot = frame["low"].iloc[0], frame["high"].iloc[0], frame["slot"].to_numpy()
         s = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
-        out = []
-        one = frame["low"].iloc[0] == frame["high"].iloc[0]
+        found = []
         for i in range(len(frame)):
-            js = np.arange(i + 1, len(frame)) if one else np.flatnonzero(slot != low) if slot[i] == low else np.zeros(0, int)
-            js = js[comp[js] != comp[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            if len(js):
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in js[estimate(s[js], s[i]) >= least]]
+            js = np.arange(i + 1, len(frame))
+            js = js[(comp[js] != comp[i]) & ((low == high) | (slot[js] != slot[i])) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+            like = estimate(s[js], s[i])
+            js, like = js[like >= least], like[like >= least]
+            found.append(np.column_stack([-like, np.full(len(js), i), js]))
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = np.concatenate(found)
+        out, sets = [], {}
+        for _, i, j in found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]:
+            i, j = int(i), int(j)
+            if (x := top(comp[i])) == (y := top(comp[j])):
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = np.frombuffer(frame["hashes"].iloc[k], np.uint64)
+            if reaches(sets[i], sets[j], percent):
+                root[max(x, y)] = min(x, y)
+                out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    cols = rows.select("key", "low", "high", "slot", "node", "component", "n", "signature")
+    cols = rows.select("key", "low", "high", "slot", "node", "component", "n", "signature", "hashes")
     return cols.groupBy("key", "low", "high").applyInPandas(meet, "a binary, b binary").distinct()
 
 
@@ -163,9 +191,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with equal sets are one class first, so that copies are never paired. Classes that share a band of
     minima are candidates (36 bands of 5: a pair at 0.8 is missed once in a million). In a bucket each class
     is compared with the bucket's leader, confirmed on full sets; four different orders choose leaders. Where
-    a bucket still spans several components, all its pairs between different ones follow: their b-bit
-    signatures give the collision-corrected similarity by bit counts, and those within six deviations of the
-    threshold are confirmed on full sets. Pairs inside a component can't change it and are not looked at.
+    a bucket still spans several components, all its pairs between different ones follow, the likeliest first:
+    their b-bit signatures give the collision-corrected similarity by bit counts, and those not six deviations
+    under the threshold are confirmed on full sets. Pairs inside a component can't change it: no look at them.
 
     Null and empty texts, and those without a word, have an empty set and are linked with nothing; a text of
     fewer than `shingle` words has one shingle. Rows with one id are linked like others; null ids count in no
@@ -206,9 +234,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = connected(links, folder, "star")
 
     placed = buckets.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = placed.join(saved(open_keys, folder, "open"), "key", "left_semi").join(classes.select("node", "n", "signature"), "node")
-    more = confirmed(rest_pairs(rest, least, percent), docs, classes, shingle, percent, folder, "rest")
+    # buckets with the same members (by count, ends and two checksums) ask the same: one of them is enough
+    members = [F.min("node"), F.max("node"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64(F.lit(1), "node"))]
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.struct(*members).alias("members")).where("x <> y")
+    open_keys = saved(open_keys.groupBy("members").agg(F.min("key").alias("key")).select("key"), folder, "open")
+    rest = saved(placed.join(open_keys, "key", "left_semi"), folder, "rest")
+    full = full_sets(rest.select("node").distinct(), docs, classes, shingle, folder, "rest")
+    rest = rest.join(classes.select("node", "n", "signature"), "node").join(full, "node")
+    more = saved(rest_links(rest, least, percent), folder, "more")
     if not more.isEmpty():
         found = connected(links.unionByName(more), folder, "all")
 
