@@ -4,7 +4,7 @@ greedy pairing, and windows of equal counts."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.scratch import saved, shared_folder
@@ -75,15 +75,25 @@ def median_clusters(df: DataFrame, distance: int, longest: int, key: str = "id")
     return cut.groupBy("contig", F.col("cluster").alias("_cut")).applyInPandas(fold, f"contig string, {key} long, cluster long")
 
 
+def running_max(parts: DataFrame, value: Column, name: str, order: list[str], inclusive: bool) -> DataFrame:
+    """Adds name, by contig the maximum of value over the rows before each one in the order over all parts (and
+    the row itself): a running maximum in each part, and one row a contig and part for what lies below it."""
+    per_part = parts.groupBy("contig", "_part").agg(F.max(value).alias("_m"))
+    below = F.max("_m").over(Window.partitionBy("contig").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    in_part = Window.partitionBy("contig", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return parts.join(per_part.select("contig", "_part", below.alias("_below")), ["contig", "_part"]).withColumn(name, F.greatest(F.max(value).over(in_part), "_below")).drop("_below")
+
+
 def overlap_dedup(df: DataFrame, key: str = "id") -> DataFrame:
     """Ordered fold per contig: of a row and the one kept last, if they overlap, the longer stays (ties: the one
-    kept); else both. Rows are parted where none before reaches, and each such stretch is folded natively."""
+    kept); else both. Rows are parted where none before reaches, over range partitions and not whole contigs, and
+    each such stretch is folded natively."""
     order = ["s", key]
-    reach = F.max("e").over(Window.partitionBy("contig").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("s") >= reach), F.lit(True)).cast("long")
-    island = F.sum(new).over(Window.partitionBy("contig").orderBy(*order))
+    rows = running_max(ranged(df, ["contig", *order]), F.col("e"), "_reach", order, False)
+    head = F.when(F.col("_reach").isNull() | (F.col("s") >= F.col("_reach")), F.struct(*order))
+    rows = running_max(rows.withColumn("_head", head), F.col("_head"), "_island", order, True)
     row = F.struct("s", key, "e")
-    groups = df.withColumn("_island", island).groupBy("contig", "_island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    groups = rows.groupBy("contig", "_island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = f"array<struct<s:bigint,{key}:bigint,e:bigint>>"
 
     def step(kept, x):
@@ -118,5 +128,9 @@ def greedy_pairs(pairs: DataFrame, folder: str | None = None) -> DataFrame:
 
 def equal_count_windows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     """contig, window, start, end, rows: windows of n rows each by start and key, anew on each contig."""
-    rank = F.row_number().over(Window.partitionBy("contig").orderBy("s", key)) - 1
-    return df.withColumn("window", F.floor(rank / n)).groupBy("contig", "window").agg(F.min("s").alias("start"), F.max("s").alias("end"), F.count(F.lit(1)).alias("rows"))
+    rows = ranged(df.select("contig", "s", key), ["contig", "s", key])
+    sizes = rows.groupBy("contig", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy("contig").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(sizes.select("contig", "_part", F.coalesce(below, F.lit(0)).alias("_below")), ["contig", "_part"])
+    rank = F.col("_below") + F.row_number().over(Window.partitionBy("contig", "_part").orderBy("s", key)) - 1
+    return rows.withColumn("window", F.floor(rank / n)).groupBy("contig", "window").agg(F.min("s").alias("start"), F.max("s").alias("end"), F.count(F.lit(1)).alias("rows"))

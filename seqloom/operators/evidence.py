@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.clustering import ranged
 from seqloom.operators.intervals import overlap_pairs
 
 
@@ -44,15 +45,26 @@ def bin_cpm(reads: DataFrame, size: int, least_mapq: int) -> DataFrame:
 def depth_segments(reads: DataFrame, least_depth: int, least_length: int) -> DataFrame:
     """contig, start, end of stretches that more than least_depth reads cover, at least least_length long.
 
-    Depth comes from +1 at starts and -1 at ends, summed by position first.
+    Depth comes from +1 at starts and -1 at ends, summed by position first and then along range partitions, each
+    of which starts from the sum of those below it. Only the positions where depth passes the limit go on: they
+    open and close stretches in turn.
     """
     steps = reads.select("contig", F.col("s").alias("at"), F.lit(1).alias("d")).unionByName(reads.select("contig", F.col("e").alias("at"), F.lit(-1).alias("d")))
-    steps = steps.groupBy("contig", "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy("contig").orderBy("at")
-    spans = steps.select("contig", "at", F.sum("d").over(order).alias("depth"), F.lead("at").over(order).alias("to")).withColumn("deep", F.col("depth") > least_depth)
-    new = (F.col("deep") & ~F.coalesce(F.lag("deep").over(order), F.lit(False))).cast("long")
-    island = spans.withColumn("island", F.sum(new).over(order)).where("deep").groupBy("contig", "island").agg(F.min("at").alias("start"), F.max("to").alias("end"))
-    return island.where(F.col("end") - F.col("start") >= least_length).select("contig", "start", "end")
+    parts = ranged(steps.groupBy("contig", "at").agg(F.sum("d").alias("d")), ["contig", "at"])
+    in_part, of_contig = Window.partitionBy("contig", "_part").orderBy("at"), Window.partitionBy("contig").orderBy("_part")
+    totals = parts.groupBy("contig", "_part").agg(F.sum("d").alias("_t"))
+    below = F.coalesce(F.sum("_t").over(of_contig.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    depths = parts.join(totals.select("contig", "_part", below.alias("_below")), ["contig", "_part"]).withColumn("depth", F.col("_below") + F.sum("d").over(in_part))
+    deep, was = F.col("depth") > least_depth, F.col("depth") - F.col("d") > least_depth
+    turns = depths.where(deep != was).select("contig", "_part", "at", deep.alias("opens"))
+    after = turns.groupBy("contig", "_part").agg(F.min("at").alias("_first")).select("contig", "_part", F.lead("_first").over(of_contig).alias("_after"))
+    spans = turns.join(after, ["contig", "_part"]).select("contig", F.col("at").alias("start"), F.coalesce(F.lead("at").over(in_part), "_after").alias("end"), "opens")
+    return spans.where(F.col("opens") & (F.col("end") - F.col("start") >= least_length)).drop("opens")
+
+
+def list_field_max(listed: Column, field: int) -> Column:
+    """Largest number in a field (from 1) of a list such as a|2|x,b|5|y; null without one."""
+    return F.array_max(F.transform(F.split(listed, ","), lambda x: F.get(F.split(x, r"\|"), F.lit(field - 1)).try_cast("double")))
 
 
 def sample_support(reads: DataFrame, group: list[str]) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from seqloom import adapters
 from seqloom.adapters import table
 from seqloom.functions import sequences as seqs
-from seqloom.operators import clustering, evidence, intervals
+from seqloom.operators import clustering, evidence, intervals, outliers
+from seqloom.sources import text
 
 DISTANT = 10_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +210,42 @@ def per_sample_pivot(spark, sf_dir):
     return r.select("contig", "day", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"sample_{k}") for k in range(3)])
 
 
+@query(GENOTYPES + """, x3 AS (SELECT tid, sample, CASE WHEN alt + ref < 1 THEN 0.0 ELSE 2 - 2 * coalesce(alt::DOUBLE / nullif(alt + ref, 0), 0.0) END::DOUBLE AS dose, alt + ref AS n FROM x2),
+x4 AS (SELECT tid, sample, (CASE WHEN n < 1 THEN './.' WHEN dose > 0.3 AND dose < 1.7 THEN '0/1' WHEN dose < 0.3 THEN '0/0' ELSE '1/1' END) || ':' || printf('%.3f', round(dose, 3)) AS f FROM x3),
+x5 AS (SELECT tid, max(f) FILTER (sample = 0) AS f0, max(f) FILTER (sample = 1) AS f1, max(f) FILTER (sample = 2) AS f2 FROM x4 GROUP BY tid)
+SELECT tid, concat_ws(chr(9), contig, s::VARCHAR, '.', 'REF', 'ALT', '100', 'PASS', 'ELT=' || class, 'GT:DS', coalesce(f0, './.:0.000'), coalesce(f1, './.:0.000'), coalesce(f2, './.:0.000')) AS line
+FROM targets LEFT JOIN x5 USING (tid)""")
+def vcf_genotypes(spark, sf_dir):
+    sites = adapters.targets(spark, sf_dir)
+    counts = evidence.genotype_counts(adapters.reads(spark, sf_dir), sites)
+    alt, ref = F.col("alt"), F.col("ref")
+    dose = F.when(alt + ref < 1, 0.0).otherwise(2 - 2 * evidence.fraction(alt, ref))
+    calls = counts.select("tid", "sample", evidence.genotype_call(alt, ref, 1).alias("gt"), dose.alias("dose"))
+    info = F.concat(F.lit("ELT="), "class")
+    return text.vcf_lines(sites.withColumn("pos", F.col("s")), calls, ["0", "1", "2"], info).select("tid", "line")
+
+
+@query("""x1 AS (SELECT user_id, sample, count(*) AS n, max(mapq) AS m FROM reads GROUP BY ALL)
+SELECT user_id, max(n)::DOUBLE AS most_reads, max(m)::DOUBLE AS most_mapq FROM x1 GROUP BY user_id""")
+def list_field_maxima(spark, sf_dir):
+    r = adapters.reads(spark, sf_dir).groupBy("user_id", "sample").agg(F.count(F.lit(1)).alias("n"), F.max("mapq").alias("m"))
+    listed = r.groupBy("user_id").agg(F.array_join(F.collect_list(F.concat_ws("|", "sample", "n", "m")), ",").alias("l"))
+    return listed.select("user_id", evidence.list_field_max(F.col("l"), 2).alias("most_reads"), evidence.list_field_max(F.col("l"), 3).alias("most_mapq"))
+
+
+@query()
+def isolation_scores(spark, sf_dir):
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    out = outliers.isolation_scores(table(spark, sf_dir, "lineitem"), "l_returnflag", features, CALL, train=F.col("l_linenumber") > 1, known=F.col("l_quantity") > 49)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query()
+def quality_shift(spark, sf_dir):
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(outliers.quality_shift("text", half), 6).alias("p"))
+
+
 @query("SELECT doc_id, md5(reverse(translate(seq, 'acgtrymkbdhvACGTRYMKBDHV', 'tgcayrkmvhdbTGCAYRKMVHDB'))) AS rc_md5 FROM seqs")
 def seq_revcomp(spark, sf_dir):
     return adapters.sequences(spark, sf_dir).select("doc_id", F.md5(seqs.reverse_complement(F.col("seq"))).alias("rc_md5"))

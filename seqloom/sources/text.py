@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,3 +39,34 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NA", emptyValue="")
+
+
+#: The columns before the samples, and the version line.
+VCF_VERSION, VCF_COLUMNS = "##fileformat=VCFv4.1", "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split()
+
+
+def vcf_lines(sites: DataFrame, calls: DataFrame, samples: list[str], info: Column) -> DataFrame:
+    """tid, contig, pos, line: one VCF line per site (tid, contig, pos), GT:DS of each sample in the given order.
+
+    calls (tid, sample, gt, dose) hold the genotypes; a sample without one has ./.:0.000. Null fields are dots.
+    """
+    text = F.format_string("%s:%.3f", F.coalesce("gt", F.lit("./.")), F.round(F.coalesce("dose", F.lit(0.0)), 3))
+    of_site = calls.groupBy("tid").agg(*[F.max(F.when(F.col("sample").cast("string") == s, text)).alias(f"_s{i}") for i, s in enumerate(samples)])
+    dot = lambda c: F.coalesce(c.cast("string"), F.lit("."))
+    fields = [dot(F.col("contig")), dot(F.col("pos")), *map(F.lit, [".", "REF", "ALT", "100", "PASS"]), dot(info), F.lit("GT:DS")]
+    fields += [F.coalesce(f"_s{i}", F.lit("./.:0.000")) for i in range(len(samples))]
+    return sites.join(of_site, "tid", "left").select("tid", "contig", "pos", F.concat_ws("\t", *fields).alias("line"))
+
+
+def write_vcf(lines: DataFrame, samples: list[str], path: str) -> None:
+    """Part files that are one VCF when read by name: header first, then lines by contig and position."""
+    head = lines.sparkSession.createDataFrame([(k, x) for k, x in enumerate([VCF_VERSION, "\t".join([*VCF_COLUMNS, *samples])])], "pos long, line string")
+    rows = head.select(F.lit(0).alias("kind"), F.lit("").alias("contig"), "pos", "line").unionByName(lines.select(F.lit(1).alias("kind"), "contig", F.col("pos").cast("long").alias("pos"), "line"))
+    rows.orderBy("kind", "contig", "pos", "line").select("line").write.mode("overwrite").text(path)
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """Records of reads (kind, name, seq, qual), a folder per kind such as SR and DR; null qual is the best (I)."""
+    qual = F.coalesce("qual", F.expr("repeat('I', char_length(seq))"))
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), qual)
+    reads.select("kind", record.alias("value")).write.mode("overwrite").partitionBy("kind").text(path)

@@ -1,12 +1,14 @@
 """Order-dependent operators against plain Python, and the quirks of boundaries."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as seqs
-from seqloom.operators import clustering, evidence, intervals
+from seqloom.operators import clustering, evidence, intervals, outliers
 from seqloom.sources import text
 
 
@@ -106,3 +108,62 @@ def test_text_formats(spark, tmp_path):
     assert [r.contig for r in text.read_fai(spark, str(tmp_path / "a.fai"), ["z"], 5).collect()] == ["x"]
     text.write_table(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "t"))
     assert [tuple(r) for r in text.read_table(spark, str(tmp_path / "t"), "a int, b string").collect()] == [(1, None)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_windows_and_depth_over_range_partitions(spark, parts):
+    rows = some(300, 8)
+    by = lambda c: sorted((s, i) for i, d, s, _ in rows if d == c)
+    want = {(c, k // 40, g[0][0], g[-1][0], len(g)) for c in "xy" for k in range(0, len(by(c)), 40) if (g := by(c)[k : k + 40])}
+    got = clustering.equal_count_windows(frame(spark, rows).repartition(parts), 40).select("contig", "window", "start", "end", "rows").collect()
+    assert set(map(tuple, got)) == want
+    deep = {c: [sum(d == c and s <= p < e for _, d, s, e in rows) > 3 for p in range(3200)] for c in "xy"}
+    want = set()
+    for c, d in deep.items():
+        start = None
+        for p, now in enumerate(d):
+            if now and start is None:
+                start = p
+            if not now and start is not None:
+                if p - start >= 5:
+                    want.add((c, start, p))
+                start = None
+    got = evidence.depth_segments(frame(spark, rows).repartition(parts), 3, 5).select("contig", "start", "end").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    none = frame(spark, [])
+    assert clustering.equal_count_windows(none, 3).count() == evidence.depth_segments(none, 1, 1).count() == clustering.overlap_dedup(none).count() == 0
+
+
+def test_isolation_finds_what_lies_apart(spark):
+    r = random.Random(9)
+    rows = [(i, "a" if i % 2 else None, r.gauss(0, 1), r.gauss(5, 1), False) for i in range(600)] + [(1000, "a", 30.0, -20.0, False), (1001, None, 30.0, -20.0, True), (1002, "z", None, 1.0, False)]
+    df = spark.createDataFrame(rows, "id long, kind string, x double, y double, known boolean")
+    run = lambda d: {q.id: (q.score, q.pred) for q in outliers.isolation_scores(d, "kind", ["x", "y"], ["id"], F.lit(True), F.col("known")).collect()}
+    got = run(df.repartition(5))
+    assert len(got) == len(rows) and got == run(df.repartition(2))
+    assert got[1000][1] == -1 and got[1001][1] == 1 and got[1002] == (0.5, 1)
+    assert min(got[1000][0], got[1001][0]) >= max(v[0] for k, v in got.items() if k < 1000)
+    assert run(df.limit(0)) == {}
+
+
+def test_rank_test_by_pairs():
+    r = random.Random(10)
+    for _ in range(20):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(1, 30))] for _ in range(2))
+        u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+        n, m, both = len(a), len(b), a + b
+        var = n * m / 12 * (n + m + 1 - sum(both.count(v) ** 3 - both.count(v) for v in set(both)) / ((n + m) * (n + m - 1)))
+        want = math.erfc(max(0, abs(u - n * m / 2) - 0.5) / math.sqrt(2 * var)) if var > 1e-9 else 1.0
+        assert abs(outliers.mann_whitney(np.array(a), np.array(b)) - want) < 1e-9
+    assert outliers.mann_whitney(np.array([]), np.array([1])) == outliers.mann_whitney(np.array([2, 2]), np.array([2])) == 1.0
+
+
+def test_vcf_and_fastq(spark, tmp_path):
+    sites = spark.createDataFrame([(1, "x", 20, "L1"), (2, "x", 5, None)], "tid long, contig string, pos long, class string")
+    calls = spark.createDataFrame([(1, "s2", "0/1", 1.0)], "tid long, sample string, gt string, dose double")
+    text.write_vcf(text.vcf_lines(sites, calls, ["s1", "s2"], F.col("class")), ["s1", "s2"], str(tmp_path / "v"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part-*"))).splitlines()
+    assert lines[0] == "##fileformat=VCFv4.1" and lines[1].split("\t")[-3:] == ["FORMAT", "s1", "s2"]
+    assert lines[2:] == ["x\t5\t.\tREF\tALT\t100\tPASS\t.\tGT:DS\t./.:0.000\t./.:0.000", "x\t20\t.\tREF\tALT\t100\tPASS\tL1\tGT:DS\t./.:0.000\t0/1:1.000"]
+    text.write_fastq(spark.createDataFrame([("SR", "r1", "ACG", None), ("DR", "r2", "T", "#")], "kind string, name string, seq string, qual string"), str(tmp_path / "q"))
+    assert "".join(p.read_text() for p in (tmp_path / "q/kind=SR").glob("part-*")) == "@r1\nACG\n+\nIII\n"
