@@ -31,6 +31,24 @@ def locate_first(seq: Column, part: str) -> Column:
     return F.when(at > 0, at - 1)
 
 
+def locate_last(seq: Column, part: str) -> Column:
+    """0-based start of the last occurrence, null if there is none."""
+    at = F.locate(part[::-1], F.reverse(seq))
+    return F.when(at > 0, F.length(seq) - at + 1 - len(part))
+
+
+def oriented(seq: Column, part: Column) -> Column:
+    """part or its reverse complement, whichever seq contains (part first); null for neither."""
+    other = reverse_complement(part)
+    return F.when(F.contains(seq, part), part).when(F.contains(seq, other), other)
+
+
+def cigar_matched(cigar: Column) -> Column:
+    """Sum of the lengths of a CIGAR string's M operations, 0 without one."""
+    lengths = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)M")), lambda v: v.cast("long"))
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
 def swap_strand(strand: Column) -> Column:
     return F.translate(strand, "+-", "-+")
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seqloom.plans import catalogue
+from seqloom.plans import calls, catalogue  # noqa: F401  calls adds its queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents".split()
