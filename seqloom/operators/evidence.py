@@ -19,6 +19,15 @@ def genotype_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int
     return met.groupBy("tid", "sample").agg(F.count_if(alt).alias("alt"), F.count_if(~alt & spans).alias("ref"))
 
 
+def genotype_counts_all(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1, least_mapq: int = 10) -> DataFrame:
+    """tid, sample, alt, ref as genotype_counts, with a row for every site and every sample of the reads (whatever
+    their mapq), 0 and 0 where no read lies. Samples are few and broadcast; zero rows are added in one aggregation."""
+    samples = reads.select("sample").distinct()
+    none = sites.select("tid").crossJoin(F.broadcast(samples)).withColumns({"alt": F.lit(0).cast("long"), "ref": F.lit(0).cast("long")})
+    counts = none.unionByName(genotype_counts(reads, sites, pad, flex, least_mapq))
+    return counts.groupBy("tid", "sample").agg(F.sum("alt").alias("alt"), F.sum("ref").alias("ref"))
+
+
 def fraction(alt: Column, ref: Column) -> Column:
     return F.coalesce(F.try_divide(alt, alt + ref), F.lit(0.0))
 

@@ -127,6 +127,25 @@ def genotype_calls(spark, sf_dir):
     return counts.select("tid", "sample", F.round(evidence.fraction(alt, ref), 6).alias("vaf"), evidence.genotype_call(alt, ref, 1).alias("gt"))
 
 
+ALL_GENOTYPES = GENOTYPES + """, x3 AS (
+  SELECT t.tid, n.sample, coalesce(alt, 0) AS alt, coalesce(ref, 0) AS ref FROM targets t CROSS JOIN (SELECT DISTINCT sample FROM reads) n
+  LEFT JOIN x2 ON x2.tid = t.tid AND x2.sample = n.sample)
+"""
+
+
+@query(ALL_GENOTYPES + "SELECT * FROM x3")
+def genotype_counts_all(spark, sf_dir):
+    return evidence.genotype_counts_all(adapters.reads(spark, sf_dir), adapters.targets(spark, sf_dir))
+
+
+@query(ALL_GENOTYPES + """, x4 AS (SELECT *, coalesce(alt::DOUBLE / nullif(alt + ref, 0), 0.0)::DOUBLE AS vaf FROM x3)
+SELECT tid, sample, round(vaf, 6) AS vaf, CASE WHEN alt + ref < 1 THEN './.' WHEN 2 - 2 * vaf > 0.3 AND 2 - 2 * vaf < 1.7 THEN '0/1' WHEN 2 - 2 * vaf < 0.3 THEN '0/0' ELSE '1/1' END AS gt FROM x4""")
+def genotype_calls_all(spark, sf_dir):
+    counts = evidence.genotype_counts_all(adapters.reads(spark, sf_dir), adapters.targets(spark, sf_dir))
+    alt, ref = F.col("alt"), F.col("ref")
+    return counts.select("tid", "sample", F.round(evidence.fraction(alt, ref), 6).alias("vaf"), evidence.genotype_call(alt, ref, 1).alias("gt"))
+
+
 @query("""x0 AS (SELECT * FROM reads WHERE mapq > 10),
 x1 AS (SELECT contig, unnest(range(s // 3600, (e - 1) // 3600 + 1)) AS bin FROM x0), x2 AS (SELECT contig, bin, count(*) AS n FROM x1 GROUP BY contig, bin),
 x3 AS (SELECT contig, unnest(range(0, max(bin) + 1)) AS bin FROM x2 GROUP BY contig),
