@@ -3,8 +3,11 @@ greedy pairing, and windows of equal counts."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.scratch import saved, shared_folder
@@ -49,61 +52,98 @@ def cluster_summary(clustered: DataFrame, least: int, key: str = "id") -> DataFr
     return out.where(F.col("n") >= least).select("contig", "cluster", F.col("f.s").alias("start"), F.col("l.e").alias("end"), strand.alias("strand"), "n", "samples")
 
 
-def median_clusters(df: DataFrame, distance: int, longest: int, key: str = "id") -> DataFrame:
-    """contig, key, cluster by an evolving median of break positions (contig, pos, mid).
+def folded(parts: DataFrame, columns: list[str], step: Callable, schema: pa.Schema, close: Callable | None = None) -> DataFrame:
+    """Ordered fold over the rows (columns, in their order) of all range partitions: a part streams through one
+    task, which holds a state of constant size and no group of rows.
 
-    In order of position, a row joins the open cluster unless it lies more than distance from its median: the
-    first member's mid, later the upper median of the members' positions. Rows are first cut where the gap
-    exceeds distance + longest (the longest row), where no median can reach, so that a group of the fold
-    is one dense stretch and not a contig.
+    step(state, row) gives the next state and a row to return or None, close(state) the last row of all; a state is
+    None at first and goes through JSON. Each part's last state enters the next part. Parts run from no state
+    first, then those whose entering state has changed, until none has; one state a part is gathered for that.
     """
-    cut = gap_clusters(df.select("contig", F.col("pos").alias("s"), F.col("pos").alias("e"), "mid", key), distance + longest, key)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["s", key])
-        members: list[int] = []
-        median, head, out = 0.0, None, []
-        for pos, mid, k in zip(frame["s"], frame["mid"], frame[key], strict=True):
-            if members and abs(median - pos) <= distance:
-                members.append(pos)
-                median = members[len(members) // 2]
-            else:
-                members, median, head = [pos], mid, k
-            out.append(head)
-        return pd.DataFrame({"contig": frame["contig"], key: frame[key], "cluster": out})
+    def over(df: DataFrame, entering: dict, last: int | None, out: pa.Schema, kind: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, state, rows, ends = None, None, [], []
+            batch_of = lambda got: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), out.types, strict=True)], schema=out)
+            for batch in batches:
+                for p, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    if p != part:
+                        if part is not None:
+                            ends.append((part, json.dumps(state)))
+                        part, state = p, json.loads(entering.get(p, "null"))
+                    state, made = step(state, row)
+                    if made is not None:
+                        rows.append(made)
+                if last is not None and rows:
+                    yield batch_of(rows)
+                rows = []
+            if part is not None:
+                ends.append((part, json.dumps(state)))
+            if last is None and ends:
+                yield batch_of(ends)
+            if last is not None and part == last and close:
+                yield batch_of([close(state)])
+
+        return df.repartition("_part").sortWithinPartitions("_part", *columns).select("_part", *columns).mapInArrow(run, kind)
+
+    ends_schema, ends, entering, changed = pa.schema([("part", pa.int32()), ("state", pa.string())]), {}, {}, None
+    while changed is None or changed:
+        again = parts if changed is None else parts.where(F.col("_part").isin(changed))
+        ends |= {r.part: r.state for r in over(again, entering, None, ends_schema, "part int, state string").collect()}
+        order = sorted(ends)
+        now = {p: ends[before] for before, p in zip(order, order[1:], strict=False)}
+        changed = [p for p in now if now[p] != entering.get(p)]
+        entering = now
+    kind = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in schema)
+    return over(parts, entering, max(ends, default=-1), schema, kind)
 
-    return cut.groupBy("contig", F.col("cluster").alias("_cut")).applyInPandas(fold, f"contig string, {key} long, cluster long")
 
+def median_clusters(df: DataFrame, distance: int, longest: int, key: str = "id") -> DataFrame:
+    """contig, key, cluster by an evolving median of break positions (contig, pos, mid).
+
+    In order of position, a row joins the open cluster unless it lies more than distance from its median: the
+    first member's mid, later the upper median of the members' positions. The open cluster is known by how many
+    members lie at each position from the median on, at most distance + 1 positions however many rows; the
+    longest row does not matter.
+    """
 
-def running_max(parts: DataFrame, value: Column, name: str, order: list[str], inclusive: bool) -> DataFrame:
-    """Adds name, by contig the maximum of value over the rows before each one in the order over all parts (and
-    the row itself): a running maximum in each part, and one row a contig and part for what lies below it."""
-    per_part = parts.groupBy("contig", "_part").agg(F.max(value).alias("_m"))
-    below = F.max("_m").over(Window.partitionBy("contig").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    in_part = Window.partitionBy("contig", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return parts.join(per_part.select("contig", "_part", below.alias("_below")), ["contig", "_part"]).withColumn(name, F.greatest(F.max(value).over(in_part), "_below")).drop("_below")
+    def step(state, row):
+        contig, pos, k, mid = row
+        if state is None or state[0] != contig or abs(state[2] - pos) > distance:
+            return [contig, k, mid, 1, 0, [[pos, 1]]], (contig, k, k)
+        _, head, _, n, before, at = state
+        if at[-1][0] == pos:
+            at[-1][1] += 1
+        else:
+            at.append([pos, 1])
+        n += 1
+        while before + at[0][1] <= n // 2:
+            before += at.pop(0)[1]
+        return [contig, head, at[0][0], n, before, at], (contig, k, head)
+
+    columns = ["contig", "pos", key, "mid"]
+    schema = pa.schema([("contig", pa.string()), (key, pa.int64()), ("cluster", pa.int64())])
+    return folded(ranged(df.select(columns), columns), columns, step, schema)
 
 
 def overlap_dedup(df: DataFrame, key: str = "id") -> DataFrame:
     """Ordered fold per contig: of a row and the one kept last, if they overlap, the longer stays (ties: the one
-    kept); else both. Rows are parted where none before reaches, over range partitions and not whole contigs, and
-    each such stretch is folded natively."""
-    order = ["s", key]
-    rows = running_max(ranged(df, ["contig", *order]), F.col("e"), "_reach", order, False)
-    head = F.when(F.col("_reach").isNull() | (F.col("s") >= F.col("_reach")), F.struct(*order))
-    rows = running_max(rows.withColumn("_head", head), F.col("_head"), "_island", order, True)
-    row = F.struct("s", key, "e")
-    groups = rows.groupBy("contig", "_island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = f"array<struct<s:bigint,{key}:bigint,e:bigint>>"
-
-    def step(kept, x):
-        last = F.element_at(kept, -1)
-        meets = F.least(last["e"], x["e"]) - F.greatest(last["s"], x["s"]) > 0
-        shorter = x["e"] - x["s"] <= last["e"] - last["s"]
-        return F.when(F.size(kept) == 0, F.array(x)).when(~meets, F.concat(kept, F.array(x))).when(shorter, kept).otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
-
-    kept = F.aggregate(F.col("rows").cast(kind), F.array().cast(kind), step)
-    return groups.select("contig", F.explode(kept).alias("x")).select("contig", "x.s", "x.e", F.col(f"x.{key}").alias(key))
+    kept); else both. Rows stream over range partitions; only the one kept last is held."""
+
+    def result(kept):
+        contig, s, k, e = kept
+        return contig, s, e, k
+
+    def step(kept, row):
+        if kept is None:
+            return row, None
+        if kept[0] == row[0] and min(kept[3], row[3]) - max(kept[1], row[1]) > 0:
+            return (row if row[3] - row[1] > kept[3] - kept[1] else kept), None
+        return row, result(kept)
+
+    columns = ["contig", "s", key, "e"]
+    schema = pa.schema([("contig", pa.string()), ("s", pa.int64()), ("e", pa.int64()), (key, pa.int64())])
+    return folded(ranged(df.select(columns), columns), columns, step, schema, result)
 
 
 def greedy_pairs(pairs: DataFrame, folder: str | None = None) -> DataFrame:

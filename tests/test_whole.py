@@ -1,8 +1,11 @@
 """Operators whose results have a row for everything that was asked, and folds that cross range partitions."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import evidence
+from seqloom.operators import clustering, evidence
 
 
 def test_genotypes_of_every_site_and_sample(spark):
@@ -12,3 +15,47 @@ def test_genotypes_of_every_site_and_sample(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "a", 1, 1), (1, "b", 0, 0), (2, "a", 0, 0), (2, "b", 0, 0)]
     calls = got.select("tid", "sample", evidence.genotype_call(F.col("alt"), F.col("ref"), 1).alias("gt")).collect()
     assert {(c.tid, c.sample): c.gt for c in calls} == {(1, "a"): "0/1", (1, "b"): "./.", (2, "a"): "./.", (2, "b"): "./."}
+
+
+@pytest.fixture
+def many_parts(spark):
+    held = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_folds_stream_one_stretch_over_many_parts(spark, many_parts, dense):
+    r = random.Random(11)
+    rows = [(i, r.choice("xy"), s := r.randrange(400 if dense else 9000), s + 1 + r.randrange(40)) for i in range(600)]
+    rows += [(1000 + i, "z", 77, 90 + i % 3) for i in range(200)]  # one locus over several parts
+    df, ordered = spark.createDataFrame(rows, "id long, contig string, s long, e long"), sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    kept, last, cluster, members, median, head, contig = [], None, {}, [], 0, None, None
+    for i, c, s, e in ordered:
+        if last and last[1] == c and min(e, last[3]) - max(s, last[2]) > 0:
+            if e - s > last[3] - last[2]:
+                kept[-1] = last = (i, c, s, e)
+        else:
+            last = (i, c, s, e)
+            kept.append(last)
+        if contig == c and members and abs(median - s) <= 20:
+            members.append(s)
+            median = sorted(members)[len(members) // 2]
+        else:
+            members, median, head, contig = [s], (s + e) // 2, i, c
+        cluster[i] = head
+    assert clustering.ranged(df, ["contig", "s", "id"]).select("_part").distinct().count() > 4
+    dedup = clustering.overlap_dedup(df)
+    assert sorted(map(tuple, dedup.select("id", "contig", "s", "e").collect())) == sorted(kept)
+    split = clustering.median_clusters(df.select("id", "contig", F.col("s").alias("pos"), ((F.col("s") + F.col("e")) / 2).cast("long").alias("mid")), 20, 40)
+    assert {x.id: x.cluster for x in split.collect()} == cluster
+    # no task holds a stretch: rows stream, and are not gathered into a group or an array
+    assert "collect_list" not in plan(dedup) and "FlatMapGroups" not in plan(split)
