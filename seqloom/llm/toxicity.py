@@ -28,29 +28,54 @@ def grams(text: str | None, order: int) -> np.ndarray:
     return keys
 
 
-def class_probabilities(keys: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+def class_probabilities(keys: np.ndarray, counts: np.ndarray, order: int, levels: list) -> np.ndarray:
     """Kneser-Ney probability of each n-gram's last byte in either class (counts: 2 rows).
 
     Orders above the lowest discount a class's own counts, below the highest those of distinct left
     extensions, and back off to the next; the lowest order's counts are shared by both classes, as is an
-    n-gram's backoff where a class never saw its context.
+    n-gram's backoff where a class never saw its context. levels gets a tuple per order, the lowest first: keys,
+    probabilities, contexts and their backoff weights (of the lowest order: no context, and an unseen byte's share).
     """
     if order == 1:
         shared = counts.sum(0) + 0.5
-        return np.vstack([shared / shared.sum()] * 2)
+        p = np.vstack([shared / shared.sum()] * 2)
+        levels.append((keys, p, None, np.full((2, 1), 0.5 / shared.sum())))
+        return p
     low, low_at = np.unique(keys & np.uint64((1 << 8 * (order - 1)) - 1), return_inverse=True)
-    below = class_probabilities(low, np.vstack([np.bincount(low_at, c > 0, len(low)) for c in counts]), order - 1)[:, low_at]
+    below = class_probabilities(low, np.vstack([np.bincount(low_at, c > 0, len(low)) for c in counts]), order - 1, levels)[:, low_at]
     contexts, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-    out = []
+    out, weights = [], []
     for c, back in zip(counts, below, strict=True):
         total, types = np.bincount(at, c, len(contexts)), np.bincount(at, c > 0, len(contexts))
         rest = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
         out.append(np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * back)
+        weights.append(rest)
+    levels.append((keys, np.vstack(out), contexts, np.vstack(weights)))
     return np.vstack(out)
 
 
-def ratios(ordinary: Sequence[str], toxic: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram keys, log-likelihood ratio toxic to ordinary of the last byte), sorted by key.
+def backed_off(g: np.ndarray, levels: list) -> np.ndarray:
+    """Probability of any n-gram's last byte in either class: that of its longest known suffix, times the backoff
+    weights of the contexts above it (1 for a context that no class has seen)."""
+    keys, p, contexts, rest = levels[-1]
+    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+    known = keys[at] == g
+    out = p[:, at]
+    if known.all():
+        return out
+    unseen = g[~known]
+    if contexts is None:
+        out[:, ~known] = rest
+        return out
+    h = unseen >> np.uint64(8)
+    c = np.minimum(np.searchsorted(contexts, h), len(contexts) - 1)
+    weight = np.where(contexts[c] == h, rest[:, c], 1.0)
+    out[:, ~known] = weight * backed_off(unseen & np.uint64((1 << 8 * (len(levels) - 1)) - 1), levels[:-1])
+    return out
+
+
+def ratios(ordinary: Sequence[str], toxic: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """(n-gram keys, log-likelihood ratio toxic to ordinary of the last byte, levels for others), sorted by key.
 
     The classes get about the same amount of text, so that neither is smoothed more than the other.
     """
@@ -64,17 +89,22 @@ def ratios(ordinary: Sequence[str], toxic: Sequence[str], order: int) -> tuple[n
     counts = np.zeros((2, len(keys)))
     for row, (k, n) in zip(counts, found, strict=True):
         row[np.searchsorted(keys, k)] = n
-    p = class_probabilities(keys, counts, order)
-    return keys, np.log(p[1] / p[0]).astype(np.float32)
+    levels: list = []
+    p = class_probabilities(keys, counts, order, levels)
+    return keys, np.log(p[1] / p[0]).astype(np.float32), levels
 
 
-def features(text: str | None, model: tuple[np.ndarray, np.ndarray], order: int, spans: Sequence[int]) -> list[float]:
+def features(text: str | None, model: tuple[np.ndarray, np.ndarray, list], order: int, spans: Sequence[int]) -> list[float]:
     """Log-likelihood ratio per byte of the whole text, and of its most toxic span of each length."""
-    g, (keys, ratio) = grams(text, order), model
+    g, (keys, ratio, levels) = grams(text, order), model
     if not len(g):
         return [0.0] * (1 + len(spans))
     at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-    upto = np.concatenate([[0.0], np.cumsum(np.where(keys[at] == g, ratio[at], 0), dtype=np.float64)])
+    each, new = ratio[at], keys[at] != g
+    if new.any():
+        p = backed_off(g[new], levels)
+        each[new] = np.log(p[1] / p[0])
+    upto = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
     out = [upto[-1] / len(g)]
     for n in spans:
         n = min(n, len(g))
