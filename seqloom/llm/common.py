@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.scratch import delete, saved, shared_folder
+
+__all__ = ["LOWER", "LOWER_TABLE", "UPPER", "WORD", "ascii_lower", "crc_mod", "delete", "drop_shuffles", "own_ids", "saved", "shared_folder", "table", "words_of"]
+
 #: The A-Z letters that contracts lower-case, and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: a word, by the contracts.
@@ -16,26 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_TABLE = bytes(range(65)) + LOWER.encode() + bytes(range(91, 256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests on one machine), a local folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_seqloom_shared", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark._seqloom_shared = base
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it back: its lineage ends there."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,3 +36,27 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text after lower-casing A-Z; bytes.split() parts at exactly x20 and x09-x0D."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split() if text else []
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs whose results are saved: it does so once nothing refers to them
+    and both garbage collections have run. Otherwise they would stay until the driver happens to collect."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def own_ids(docs: DataFrame, id_col: str, name: str, folder: str) -> DataFrame:
+    """docs with the column `name`, a different long in every row, in the order of id_col (nulls first).
+
+    Where ids are neither null nor repeated it is the id itself. Else rows are numbered by id, then by all
+    columns, over range partitions (one count a part is gathered), and written, so that equal rows keep their numbers.
+    """
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    order = [id_col, F.xxhash64(*docs.columns)]
+    parts = saved(docs.repartitionByRange(*order).withColumn("_own_part", F.spark_partition_id()), folder, "own-parts")
+    below = F.sum("n").over(Window.orderBy("_own_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = parts.groupBy("_own_part").agg(F.count(F.lit(1)).alias("n")).select("_own_part", F.coalesce(below, F.lit(0)).alias("_own_below"))
+    at = F.row_number().over(Window.partitionBy("_own_part").orderBy(*order))
+    return saved(parts.join(F.broadcast(sizes), "_own_part").withColumn(name, F.col("_own_below") + at).drop("_own_part", "_own_below"), folder, "own-ids")

@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 
 import numpy as np
@@ -178,50 +177,6 @@ def test_fingerprints_by_hand(spark):
     assert got[3].fingerprint == "" and got[3].near_next == 0.0 and got[3].near_edited == 1.0
 
 
-def test_pitman_yor_is_a_distribution_and_the_base_exact(spark):
-    r = random.Random(5)
-    rows = [(i, " ".join(r.choice("the of a b c d e".split()) + str(r.randrange(3)) for _ in range(30))) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: x for x in pitman_yor.score_texts(df, F.col("doc_id") < 50).collect()}
-    c = collections.Counter(w for i, t in rows if i < 50 for w in [*t.split(), None])
-    n, v = sum(c.values()), len(c)
-    for i, t in rows:
-        want = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*t.split(), None])
-        assert abs(got[i].base_score - want) < 1e-6 and got[i].train_tokens == n and got[i].n_tokens == 31
-    fitted, g = pitman_yor.fit(df.where("doc_id < 50").select("text"), shared_folder(spark), 3, 8, 3)
-    total = np.full(pitman_yor.CONTEXTS, pitman_yor.unknown(g))
-    total = (pitman_yor.CONCENTRATION + g["d"] * g["tables"]) / (pitman_yor.CONCENTRATION + g["customers"]) * total / g["z"]
-    for row in fitted.collect():
-        dishes = np.frombuffer(row.dishes, pitman_yor.DISHES)
-        x = np.zeros((2, pitman_yor.CONTEXTS))
-        x[0, dishes["ctx"]], x[1, dishes["ctx"]] = dishes["n"], dishes["t"]
-        total += pitman_yor.probability(g, np.arange(pitman_yor.CONTEXTS), np.full(pitman_yor.CONTEXTS, row.p), x[0], x[1])
-    assert np.abs(total - 1).max() < 1e-3
-
-
-def test_pitman_yor_joins_what_is_not_broadcast(spark, monkeypatch):
-    rows = [(i, f"a b c{i % 7} d{i}") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    hot = {x.doc_id: x.score for x in pitman_yor.score_texts(df, F.lit(True)).collect()}
-    monkeypatch.setattr(pitman_yor, "HOT_ENTRIES", 0)
-    joined = {x.doc_id: x.score for x in pitman_yor.score_texts(df, F.lit(True)).collect()}
-    assert all(abs(hot[i] - joined[i]) < 1e-4 for i in hot)
-
-
-def test_seating_follows_customers_one_by_one():
-    n, d, rest, p = 12, 0.7, 30.0, 0.02
-    key = np.arange(20_000, dtype=np.uint64)
-    got = pitman_yor.seated(np.full(len(key), n), d, np.full(len(key), rest), np.full(len(key), p), key, 1)
-    r, want = np.random.default_rng(6), []
-    for _ in range(20_000):
-        t = 1
-        for i in range(1, n):
-            fresh = (1 + d * (rest + t)) * p
-            t += r.random() < fresh / (i - d * t + fresh)
-        want.append(t)
-    assert abs(got.mean() - np.mean(want)) < 0.03 and got.min() >= 1 and got.max() <= n
-
-
 def test_bpe_is_the_tokenizers_library(spark, vocabulary):
     from tokenizers import Tokenizer
 
