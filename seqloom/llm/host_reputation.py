@@ -25,11 +25,27 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, pattern, 1), UPPER, LOWER), F.regexp_extract(url, pattern, 2)
 
 
-def suffix_and_domain(host: Column, two_label_suffixes: Sequence[str]) -> tuple[Column, Column]:
-    """Public suffix (last label, or last two where listed) and registered domain (one label more)."""
-    two = F.substring_index(host, ".", -2).isin(list(two_label_suffixes))
-    suffix = F.when(two, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
-    return suffix, F.when(two, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+#: Labels under which country domains register names at the third level (the default rule).
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
+
+
+def suffix_and_domain(host: Column, second_levels: Sequence[str], suffixes: Column | None = None) -> tuple[Column, Column]:
+    """Public suffix and registered domain (one label more) of a host.
+
+    User names and ports are taken off first; numeric addresses are a suffix and a domain of their own. By default
+    the suffix is the last label, or the last two where a two-letter label follows one of second_levels. suffixes, an
+    array column of a public suffix list's names, goes before that rule: the longest that the host ends with.
+    """
+    name = F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":[0-9]*$", "")
+    labels = F.split(name, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
+    two = (F.size(labels) > 2) & F.length(last(F.lit(1))).eqNullSafe(F.lit(2)) & F.get(labels, F.size(labels) - 2).isin(list(second_levels))
+    n = F.when(two, 2).otherwise(1)
+    if suffixes is not None:
+        listed = F.array_max(F.transform(F.filter(suffixes, lambda s: (name == s) | name.endswith(F.concat(F.lit("."), s))), lambda s: F.size(F.split(s, r"\."))))
+        n = F.coalesce(listed, n)
+    address = name.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+    return F.when(address, name).otherwise(last(n)), F.when(address, name).otherwise(last(n + 1))
 
 
 def strength(level: DataFrame) -> float:
@@ -76,7 +92,7 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host").agg(F.sort_array(F.collect_set(F.struct(F.length("rule").alias("n"), "rule", "at", "verdict")), asc=False).alias("rules"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", two_label_suffixes: Sequence[str] = ("co.uk", "com.au", "co.jp"), z: float = 1.645, least_good: float = 0.75) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", second_levels: Sequence[str] = SECOND_LEVELS, suffix_list: Sequence[str] | None = None, z: float = 1.645, least_good: float = 0.75) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, good_mean, good_bound, n_labelled.
 
     outcomes (page_id, good 0/1) are the labelled pages. A host's good pages are shrunk towards its registered
@@ -88,6 +104,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, id_col:
     A null URL or one without :// has empty host and path, which are a host like any other and fit no rule.
     Outcomes with null good count nowhere; repeated pages or outcomes each count. Equally long rules: the
     greater text wins. Without any outcome the mean is 0.5. An empty table gives no rows.
+    Public suffixes are told by a rule (second_levels under two-letter domains), or by suffix_list, names of a public
+    suffix list that the caller holds; ports, user names and numeric addresses: see suffix_and_domain.
     Per page only id, host and path are shuffled; hosts are counted with a map-side combine first.
     """
     folder = shared_folder(pages.sparkSession)
@@ -95,7 +113,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame, id_col:
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     good = outcomes.where("good is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     seen = urls.join(good, urls["id"] == good["page_id"], "left")
-    suffix, domain = suffix_and_domain(F.col("host"), two_label_suffixes)
+    listed = F.array(*map(F.lit, suffix_list)) if suffix_list else None
+    suffix, domain = suffix_and_domain(F.col("host"), second_levels, listed)
     zero = F.lit(0).cast("long")
     hosts = seen.groupBy("host").agg(F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum("good"), zero).alias("good"))
     hosts = saved(hosts.withColumns({"suffix": suffix, "domain": domain}), folder, "hosts")

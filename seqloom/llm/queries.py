@@ -72,10 +72,13 @@ WITH urls AS (
     regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 good AS (SELECT doc_id, count(*) AS n, sum(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 parts AS (
-  SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good, string_split(host, '.') AS l
+  SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good, regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$', '') AS name
   FROM urls LEFT JOIN good ON page_id = doc_id GROUP BY host),
-two AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'com.au', 'co.jp') THEN 2 ELSE 1 END AS k FROM parts),
-hosts AS (SELECT host, n, good, array_to_string(l[-k:], '.') AS suffix, array_to_string(l[-k-1:], '.') AS domain FROM two),
+cut AS (SELECT *, string_split(name, '.') AS l, regexp_full_match(name, '[0-9]+(\.[0-9]+){3}|\[.*\]') AS address FROM parts),
+two AS (
+  SELECT *, CASE WHEN len(l) > 2 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gov', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'sch') THEN 2 ELSE 1 END AS k FROM cut),
+hosts AS (
+  SELECT host, n, good, CASE WHEN address THEN name ELSE array_to_string(l[-k:], '.') END AS suffix, CASE WHEN address THEN name ELSE array_to_string(l[-k-1:], '.') END AS domain FROM two),
 s0 AS (
   SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 0.5) / (sum(n) + 1) FROM hosts) AS mu FROM hosts GROUP BY suffix),
 s1 AS (SELECT sum(pow(good - n * mu, 2) - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0) AS rho FROM s0),
