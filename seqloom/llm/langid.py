@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import LOWER_TABLE
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter: a character of category L, for what is learned and what is read alike.
+LETTER = r"\p{L}"
 #: Symbols are the 256 bytes and the padding after a text's end, whose input is 0, so that the state stays 0.
 PAD = 256
 
@@ -114,9 +114,9 @@ class ByteNetwork:
                 second[k] += 0.01 * (v * v - second[k])
                 self.p[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
 
-    def position_sums(self, text: np.ndarray) -> np.ndarray:
-        """(rows, classes) sums of the probabilities of all real positions: states() and log_scores() for
-        reading, with rows as the last axis and buffers that are used again."""
+    def position_sums(self, text: np.ndarray, margin: int = 0) -> np.ndarray:
+        """(rows, classes) sums of the probabilities of all real positions but `margin` at either end: states() and
+        log_scores() for reading, with rows as the last axis and buffers that are used again."""
         h, (rows, time) = self.h, text.shape
         scale = np.repeat(np.float32([0.5, 0.5, 1]), h)[:, None]
         x, u = self.p["x"].transpose(0, 2, 1) * scale, self.p["u"].transpose(0, 2, 1) * scale
@@ -142,7 +142,7 @@ class ByteNetwork:
                 now *= gates[:h]
                 now += new
         total = np.zeros((len(self.p["bias"]), rows), np.float32)
-        for t in range(time):
+        for t in range(margin, time - margin):
             score = out[0] @ states[0, t + 1]
             score += out[1] @ states[1, time - t]
             score += self.p["bias"][:, None]
@@ -152,66 +152,74 @@ class ByteNetwork:
             total += score
         return total.T
 
-    def pooled(self, texts: list[bytes], time: int, rows: int) -> np.ndarray:
-        """Mean probabilities (texts, classes) over all positions of whole texts, read in windows of `time`."""
-        counts = [-(-len(x) // time) for x in texts]
+    def pooled(self, texts: list[bytes], time: int, rows: int, margin: int) -> np.ndarray:
+        """Mean probabilities (texts, classes) over all positions of whole texts.
+
+        A text is read in windows of `time` bytes; each overlaps its neighbours by `margin` bytes on either side,
+        which only bring the states of both directions up to date and are not counted, so that no counted
+        position but those next to the text's ends starts from an empty state.
+        """
+        step = time - 2 * margin
+        counts = [max(0, -(-len(x) // step)) for x in texts]
         total = np.zeros((len(texts), len(self.p["bias"])))
-        flat = np.full(sum(counts) * time, PAD, np.int64)
-        at = 0
-        for x, n in zip(texts, counts, strict=True):
-            flat[at : at + len(x)] = np.frombuffer(x, np.uint8)
-            at += n * time
-        windows, of = flat.reshape(-1, time), np.repeat(np.arange(len(texts)), counts)
-        for i in range(0, len(windows), rows):
-            np.add.at(total, of[i : i + rows], self.position_sums(windows[i : i + rows]))
+        of = np.repeat(np.arange(len(texts)), counts)
+        at = np.concatenate([[0], np.cumsum([n * step + 2 * margin for n in counts])]).astype(np.int64)
+        flat = np.full(at[-1], PAD, np.int64)
+        for x, start in zip(texts, at, strict=False):
+            flat[start + margin : start + margin + len(x)] = np.frombuffer(x, np.uint8)
+        first = np.concatenate([s + step * np.arange(n) for s, n in zip(at, counts, strict=False)]) if len(of) else np.zeros(0, np.int64)
+        for i in range(0, len(first), rows):
+            windows = flat[first[i : i + rows, None] + np.arange(time)]
+            np.add.at(total, of[i : i + rows], self.position_sums(windows, margin))
         return total / np.maximum(1, [[len(x)] for x in texts])
 
 
-def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hidden: int = 8, sample: int = 3000, sample_chars: int = 400, steps: int = 200, train_rows: int = 128, window: int = 48, read_window: int = 64, read_rows: int = 2048, seed: int = 7) -> DataFrame:
+def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", hidden: int = 8, sample: int = 3000, sample_chars: int = 400, steps: int = 200, train_rows: int = 128, window: int = 48, read_window: int = 256, read_margin: int = 24, read_rows: int = 1024, seed: int = 7) -> DataFrame:
     """One row per input row: id, lang_pred, score.
 
-    learn holds the rows to learn from; rows with null language or text aside, about `sample` of them are
-    taken by a hash of the id, as many of each language as there are, and of each one stretch of sample_chars
+    learn holds the rows to learn from; rows with null language or without a letter aside, about `sample` of them
+    are taken by a hash of the id, as many of each language as there are, and of each one stretch of sample_chars
     characters at a hashed place (the bound of what reaches the driver). There a bidirectional gated
     recurrent network over lower-cased bytes is fitted by backpropagation through time on windows. It then
-    labels every byte of every whole text, read in windows of read_window bytes; the document's
+    labels every byte of every whole text, read in overlapping windows of read_window bytes; the document's
     probabilities are the mean over its bytes, lang_pred the largest (ties: the first by code point), score
     its probability.
 
-    lang_pred is und, with score 0, for null texts and texts without a letter, and for all where there is
-    nothing to learn from. Repeated rows each get a row; an empty table gives none.
+    lang_pred is und, with score 0, for null texts and texts without a letter (category L), and for all where there
+    is nothing to learn from. Repeated rows each get a row; an empty table gives none.
     """
-    rows = learn.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = learn.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(LETTER)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs, data, labels = sorted(counts), [], []
-    for k, lang in enumerate(langs):
+    if langs:
         most = max(1, sample // len(langs))
-        h = F.xxhash64(F.lit(seed), F.col(id_col))
-        share = min(1.0, 1.5 * most / counts[lang] + 20 / counts[lang])
-        near = rows.where(F.col(lang_col) == lang).where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000))
-        start = F.pmod(F.xxhash64(h), F.greatest(F.lit(1), F.length(text_col) - sample_chars + 1)) + 1
-        got = near.select(h.alias("h"), F.substring(F.col(text_col), start.cast("int"), F.lit(sample_chars)).alias("t")).orderBy("h", "t").limit(most)
-        for r in got.collect():
+        h = F.xxhash64(F.lit(seed), "id")
+        share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1e6 * min(1.0, 1.5 * most / counts[lang] + 20 / counts[lang])))])
+        near = rows.where(F.pmod(h, F.lit(1_000_000)) < share[F.col("lang")])
+        start = F.pmod(F.xxhash64(h), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
+        near = near.select("lang", h.alias("h"), F.substring("text", start.cast("int"), F.lit(sample_chars)).alias("t"))
+        got = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= most)
+        for r in sorted(got.collect(), key=lambda r: (r.lang, r.h, r.t)):
             data.append(prepared(r.t))
-            labels.append(k)
+            labels.append(langs.index(r.lang))
     network = ByteNetwork(hidden, max(1, len(langs)), seed)
     if len(langs) > 1:
         network.fit(data, np.array(labels), steps, train_rows, window, 0.02, seed)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
                 texts = part["text"].to_pylist()
-                said = [bool(langs and x and LETTER.search(x)) for x in texts]
-                p = network.pooled([prepared(x) if ok else b"" for x, ok in zip(texts, said, strict=True)], read_window, read_rows)
+                said = [bool(langs) and x is not None for x in texts]
+                p = network.pooled([prepared(x) if ok else b"" for x, ok in zip(texts, said, strict=True)], read_window, read_rows, read_margin)
                 best = p.argmax(1)
                 yield pa.RecordBatch.from_arrays([
                     part["id"], pa.array([langs[k] if ok else "und" for k, ok in zip(best, said, strict=True)], pa.string()),
                     pa.array([float(min(1.0, q[k])) if ok else 0.0 for q, k, ok in zip(p, best, said, strict=True)], pa.float64()),
                 ], names=["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(text_col).rlike(LETTER), F.col(text_col)).alias("text"))
     return rows.mapInArrow(label, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
