@@ -2,78 +2,114 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import ascii_lower, saved, shared_folder
 
-ROCKS = {
+STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every state partition reserves megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",  # executors let go of an ended stream's stores this soon
 }
 
 
-def dedup_state(arrivals_path: str, schema, spark, folder: str, files_per_batch: int) -> DataFrame:
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for the stream's settings, so that other queries of the session keep theirs."""
+    session = spark.newSession()
+    for k, v in STATE_STORE.items():
+        session.conf.set(k, v)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return session
+
+
+def dedup_state(arrivals_path: str, schema, spark: SparkSession, folder: str, files_per_batch: int) -> DataFrame:
     """Run the stream over all arrivals; its keyed state, one row per digest: keep_id, locator, group_size.
 
     The state lives in RocksDB on the executors' disks with its changelog in the shared folder, and has no
     watermark, so no key ever expires. Each micro-batch writes the keys that it changed under its own epoch
     (a replayed batch overwrites the same folder), and the last epoch of a digest is its state.
     """
-    before = {k: spark.conf.get(k, None) for k in ROCKS}
-    for k, v in ROCKS.items():
-        spark.conf.set(k, v)
-    try:
-        state = (
-            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals_path)
-            .groupBy("digest")
-            .agg(F.max(F.struct("id", "locator")).alias("kept"), F.count(F.lit(1)).alias("group_size"))
-        )
-        query = (
-            state.writeStream.outputMode("update")
-            .foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}"))
-            .option("checkpointLocation", f"{folder}/stream")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kept = "kept struct<id: bigint, locator: string>"
+    state = (
+        streaming_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals_path)
+        .groupBy("digest")
+        .agg(F.max(F.struct("id", "locator")).alias("kept"), F.count(F.lit(1)).alias("group_size"))
+    )
+    query = (
+        state.writeStream.outputMode("update")
+        .foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}"))
+        .option("checkpointLocation", f"{folder}/stream")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    kept = "kept struct<id: bigint, locator: struct<file: string, place: bigint>>"
     epochs = spark.read.schema(f"digest binary, {kept}, group_size bigint, epoch int").parquet(f"{folder}/state")
     last = epochs.groupBy("digest").agg(F.max_by(F.struct("kept", "group_size"), "epoch").alias("s"))
-    return last.select("digest", F.col("s.kept.id").alias("keep_id"), F.col("s.kept.locator").alias("locator"), F.col("s.group_size").alias("group_size"))
+    last = last.select("digest", F.col("s.kept.id").alias("keep_id"), F.col("s.kept.locator").alias("locator"), F.col("s.group_size").alias("group_size"))
+    return saved(last, folder, "last")
+
+
+def located(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """id, text, locator (file and place in it) of rows that come straight from files; others are written first."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("locator")
+    try:
+        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), at)
+    except AnalysisException:
+        return saved(rows, folder, "contents").select("id", "text", at)
+
+
+def by_content(places: DataFrame, contents: DataFrame) -> DataFrame:
+    """digest, norm, keep_id, group_size: the whole texts behind places (locator, digest, id).
+
+    Each text is found through its locator, so that a hot digest is as spread as its rows are; equal texts fall
+    together, byte by byte, in the task that reads them, before they move by digest.
+    """
+    found = contents.join(places, "locator")
+    return found.groupBy("digest", ascii_lower(F.col("text")).alias("norm")).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
+def sha256(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 2000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 2000, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, locator.
 
     Texts are equal when identical after lower-casing A-Z; the row with the largest id stays. The arriving
-    digests pass through a stream whose disk-backed keyed state holds digest, stable id and the file where
-    the content lies. The bytes behind every digest are compared in full as well: rows are grouped by digest
-    and whole text with a map-side combine, so a group of copies of any size shuffles one row per task; if a
-    digest should ever stand for several texts, they are told apart by text.
+    digests pass through a stream whose disk-backed keyed state holds digest, stable id and the place of the
+    content, a file and a row in it. A digest that arrived more than once is a hit: the whole bytes of its rows
+    are read again through their locators and compared; texts that only share a digest are told apart by
+    their bytes, those of rows without a hit are not read again. digest makes the key of the state from the text.
 
     Null and empty text are one text. Of repeated rows with one id each is kept or dropped by its text, like
     any other (two equal rows with the largest id both say kept). A null id is smaller than any id.
     An empty table gives no rows; other columns are ignored.
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    text = ascii_lower(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("norm"), F.input_file_name().alias("locator"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    arrivals = saved(rows.select("digest", "id", "locator"), folder, "arrivals")
+    contents = located(docs, id_col, text_col, folder)
+    norm = ascii_lower(F.col("text"))
+    arrivals = saved(contents.select(digest(norm).alias("digest"), "id", "locator", sha256(norm).alias("sha")), folder, "arrivals")
     state = dedup_state(f"{folder}/arrivals", arrivals.schema, spark, folder, files_per_batch)
 
-    texts = rows.groupBy("digest", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = saved(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), folder, "several")
-    told = [F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "locator"]
+    hits = state.where("group_size > 1").select("digest")
+    places = saved(arrivals.join(hits, "digest").select("locator", "digest", "id"), folder, "places")
+    texts = by_content(places, contents.select("text", "locator")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"))
+    several = saved(texts.where("texts > 1").select("digest"), folder, "several")
+    kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
+    told = [F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "locator"]
+    own = arrivals.select("digest", "id", "sha", "locator")
     if several.isEmpty():
-        return arrivals.drop("locator").join(state, "digest").select(told)
-    plain = arrivals.drop("locator").join(state.join(several, "digest", "left_anti"), "digest")
-    shared = rows.join(several.select("digest"), "digest", "left_semi").join(texts, ["digest", "norm"])
-    return plain.select(told).unionByName(shared.select(told))
+        return own.join(state.drop("locator"), "digest").select(told)
+    plain = own.join(state.join(several, "digest", "left_anti").drop("locator"), "digest")
+    mixed = saved(places.join(several, "digest"), folder, "mixed")
+    apart = by_content(mixed, contents.select("text", "locator"))
+    rows = contents.join(mixed.select("locator", "digest"), "locator").select("id", "digest", norm.alias("norm"), sha256(norm).alias("sha"), "locator")
+    return plain.select(told).unionByName(rows.join(apart, ["digest", "norm"]).select(told))
