@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import words_of
 
 DISCOUNT = 0.75
+#: The n-grams of a longer text count as much as so many, all together.
+WEIGHED = 5000
 
 
 def grams(text: str | None, order: int) -> np.ndarray:
@@ -46,9 +48,9 @@ def class_probabilities(keys: np.ndarray, counts: np.ndarray, order: int, levels
     contexts, at = np.unique(keys >> np.uint64(8), return_inverse=True)
     out, weights = [], []
     for c, back in zip(counts, below, strict=True):
-        total, types = np.bincount(at, c, len(contexts)), np.bincount(at, c > 0, len(contexts))
-        rest = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
-        out.append(np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[at] + rest[at] * back)
+        total, taken = np.bincount(at, c, len(contexts)), np.bincount(at, np.minimum(c, DISCOUNT), len(contexts))
+        rest = np.where(total > 0, taken / np.where(total > 0, total, 1), 1.0)
+        out.append(np.maximum(c - DISCOUNT, 0) / np.where(total > 0, total, 1)[at] + rest[at] * back)
         weights.append(rest)
     levels.append((keys, np.vstack(out), contexts, np.vstack(weights)))
     return np.vstack(out)
@@ -77,18 +79,22 @@ def backed_off(g: np.ndarray, levels: list) -> np.ndarray:
 def ratios(ordinary: Sequence[str], toxic: Sequence[str], order: int) -> tuple[np.ndarray, np.ndarray, list]:
     """(n-gram keys, log-likelihood ratio toxic to ordinary of the last byte, levels for others), sorted by key.
 
-    The classes get about the same amount of text, so that neither is smoothed more than the other.
+    All texts of either class count whole; in those of more than WEIGHED n-grams each counts in proportion less, so
+    that a long text, most of which is of neither kind, is no more than a long text of that size. The counts of the class with more n-grams are scaled down to
+    1.5 times the other's sum before they are discounted (a count under the discount goes to the backoff as a
+    whole), so that neither class is smoothed much more than the other.
     """
-    each = [[grams(x, order) for x in texts] for texts in (ordinary, toxic)]
-    least = min(sum(map(len, e)) for e in each)
-    for e in each:
-        while sum(map(len, e)) > 1.5 * least and len(e) > 1:
-            e.pop()
-    found = [np.unique(np.concatenate(e), return_counts=True) for e in each]
+    found = []
+    for texts in (ordinary, toxic):
+        each = [g for g in (grams(x, order) for x in texts) if len(g)]
+        known, at = np.unique(np.concatenate(each or [np.zeros(0, np.uint64)]), return_inverse=True)
+        weight = np.repeat([min(1.0, WEIGHED / len(g)) for g in each], [len(g) for g in each])
+        found.append((known, np.bincount(at, weight, len(known))))
     keys = np.union1d(found[0][0], found[1][0])
     counts = np.zeros((2, len(keys)))
     for row, (k, n) in zip(counts, found, strict=True):
         row[np.searchsorted(keys, k)] = n
+    counts *= np.minimum(1.0, 1.5 * counts.sum(1).min() / counts.sum(1, keepdims=True))
     levels: list = []
     p = class_probabilities(keys, counts, order, levels)
     return keys, np.log(p[1] / p[0]).astype(np.float32), levels
@@ -126,12 +132,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4, spans: Sequence[int] = (10, 16), docs_per_class: int = 1500, longest_fitted: int = 50_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4, spans: Sequence[int] = (10, 16), docs_per_class: int = 1500) -> DataFrame:
     """One row per input row: id, score (0 to 1), predicted (1 if score >= 0.5), llr, span_llr.
 
     labels (id, toxic 0/1) are the rows to learn from. The models are fitted on a bounded sample of them: for
-    each class the first docs_per_class ids in the order of a hash, their texts whole, texts of more than
-    longest_fitted characters aside. Every document is then scored by its whole text: log-likelihoods under
+    each class the first docs_per_class ids in the order of a hash, their texts whole. Every document is then scored by its whole text: log-likelihoods under
     the toxic and the ordinary model, per byte, over the text and over its most toxic spans, turned into a
     probability by a logistic curve that was fitted on five folds of the sample, each under models of the other four, and set to the rate of
     toxic labels. Only the text enters a score.
@@ -146,8 +151,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts: list[list[str]] = [[], []]
     for kind in (0, 1):
         ids = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(docs_per_class).select("id")
-        found = rows.where(F.length("text") <= longest_fitted).join(F.broadcast(ids), "id").select(F.xxhash64("id").alias("h"), "id", "text")
-        texts[kind] = [r[2] for r in sorted(found.collect(), key=lambda r: (r[0], r[1], r[2]))[:docs_per_class]]
+        found = rows.join(F.broadcast(ids), "id").select(F.xxhash64("id").alias("h"), "id", "text")
+        texts[kind] = [r[2] for r in sorted(found.collect(), key=lambda r: (r[0], r[1], r[2] or ""))[:docs_per_class]]
     base = rate.get(1, 0) / max(1, sum(rate.values()))
     model = weights = None
     if all(sum(1 for x in t if words_of(x)) >= 2 for t in texts):
