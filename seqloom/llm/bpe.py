@@ -8,8 +8,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters before which a letter's run always ends, whatever follows.
 BREAKS = frozenset(" \n\r\t,.;:!?\"()")
+#: Columns of a piece of a long text: its row, how often that row occurs, its place, its ids once encoded.
+WORK = ["id", "sha", "n", "piece", "text", "ids"]
 
 
 @functools.cache
@@ -100,14 +102,27 @@ def halves(text: str, most: int) -> list[str]:
     return pieces
 
 
+def by_bytes(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Slices of consecutive texts of about `most` bytes each, at least one text a slice."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = 32768) -> DataFrame:
     """One row per input row: id, ids (binary: little-endian unsigned 32-bit), decoded.
 
     Ids are those of the tokenizers library for the JSON file `tokenizer`, without special tokens added;
     strings of special tokens in a text become these tokens, as there. Texts of more than piece_chars
     characters are halved into rows, encoded in parallel, and joined pairwise as a tree: each round joins
-    neighbours of the same text by re-encoding a growing window around the cut. The file is read by the
-    driver; its content (a vocabulary of fixed size) goes to the tasks.
+    neighbours of the same text by re-encoding a growing window around the cut; the first round encodes the
+    pieces that it joins, the last one decodes. Every stage runs one Python worker a core, on a few megabytes of
+    text at a time. The file is read by the driver; its content (a vocabulary of fixed size) goes to the tasks.
 
     Null text is empty: no ids, empty decoded text. Repeated rows, ids or null ids each give a row. An empty
     table gives no rows; other columns are ignored.
@@ -119,33 +134,35 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(spec)
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
+            for at in by_bytes(batch["text"], 1 << 20):
+                part = batch.slice(at.start, at.stop - at.start)
                 ids = [encoded(enc, x) for x in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decoded(enc, x) for x in ids], pa.string())], names=["id", "ids", "decoded"])
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                cut = halves(row.text, piece_chars)
-                yield pd.DataFrame({"id": row.id, "sha": row.sha, "n": row.n, "piece": range(len(cut)), "text": cut})
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(spec)
-        for frame in frames:
-            yield frame.assign(ids=[encoded(enc, x).tobytes() for x in frame.text])
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        enc, frame = encoding(spec), frame.sort_values("piece")
-        ids = [np.frombuffer(x, "<u4") for x in frame.ids]
-        if len(frame) > 1:
-            ids = [joined(enc, frame.text.iloc[0], ids[0], frame.text.iloc[1], ids[1])]
-        return frame[:1].assign(piece=frame.piece[:1] // 2, text="".join(frame.text), ids=ids[0].tobytes())
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(spec)
-        for frame in frames:
-            yield frame.assign(decoded=[decoded(enc, np.frombuffer(x, "<u4")) for x in frame.ids])[["id", "sha", "n", "ids", "decoded"]]
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch["text"]):
+                cut, one = halves(text.as_py(), piece_chars), batch.slice(i, 1)
+                for first in range(0, len(cut), 16):
+                    part = cut[first : first + 16]
+                    same = one.take(pa.array([0] * len(part)))
+                    yield pa.RecordBatch.from_arrays([same["id"], same["sha"], same["n"], pa.array(range(first, first + len(part)), pa.int32()), pa.array(part, pa.string()), pa.nulls(len(part), pa.binary())], names=WORK)
+
+    def join(pair: pa.Table, last: bool) -> pa.Table:
+        enc, pair = encoding(spec), pair.sort_by("piece")
+        texts, ids = pair["text"].to_pylist(), [None if x is None else np.frombuffer(x, "<u4") for x in pair["ids"].to_pylist()]
+        ids = [encoded(enc, x) if got is None else got for x, got in zip(texts, ids, strict=True)]
+        out = joined(enc, texts[0], ids[0], texts[1], ids[1]) if len(texts) > 1 else ids[0]
+        one = pair.slice(0, 1)
+        if last:
+            return pa.table([one["id"], one["n"], pa.array([out.tobytes()], pa.binary()), pa.array([decoded(enc, out)], pa.string())], names=["id", "n", "ids", "decoded"])
+        return pa.table([one["id"], one["sha"], one["n"], pa.array([one["piece"][0].as_py() // 2], pa.int32()), pa.array(["".join(texts)], pa.string()), pa.array([out.tobytes()], pa.binary())], names=WORK)
+
+    def next_joined(pair: pa.Table) -> pa.Table:
+        return join(pair, False)
+
+    def last_joined(pair: pa.Table) -> pa.Table:
+        return join(pair, True)
 
     short = rows.where(F.length("text") <= piece_chars).mapInArrow(whole, f"id {kind}, ids binary, decoded string")
     long = rows.where(F.length("text") > piece_chars)
@@ -154,11 +171,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         return short.withColumnRenamed("id", id_col)
     # a row is known by its id and text from here on; equal rows are worked on once and counted
     texts = long.groupBy("id", F.sha2("text", 256).alias("sha"), "text").agg(F.count(F.lit(1)).alias("n"))
-    of = f"id {kind}, sha string, n long"
-    work = texts.mapInPandas(pieces, f"{of}, piece int, text string").repartition("sha", "piece").mapInPandas(encode, f"{of}, piece int, text string, ids binary")
+    of = f"id {kind}, sha string, n long, piece int, text string, ids binary"
+    work = texts.select("id", "sha", "n", "text").mapInArrow(pieces, of)
     while longest > piece_chars:
-        work = work.groupBy("id", "sha", F.expr("piece div 2")).applyInPandas(join, f"{of}, piece int, text string, ids binary")
         longest = (longest + 1) // 2
-    done = work.mapInPandas(decode, f"{of}, ids binary, decoded string")
-    repeated = done.select("id", F.explode(F.array_repeat(F.struct("ids", "decoded"), F.col("n").cast("int"))).alias("x")).select("id", "x.ids", "x.decoded")
+        last = longest <= piece_chars
+        pairs = work.groupBy("id", "sha", F.expr("piece div 2"))
+        work = pairs.applyInArrow(last_joined if last else next_joined, f"id {kind}, n long, ids binary, decoded string" if last else of)
+    repeated = work.select("id", F.explode(F.array_repeat(F.struct("ids", "decoded"), F.col("n").cast("int"))).alias("x")).select("id", "x.ids", "x.decoded")
     return short.unionByName(repeated).withColumnRenamed("id", id_col)
