@@ -54,12 +54,116 @@ def swap_strand(strand: Column) -> Column:
 
 
 def match_fraction(mismatches: Column, aligned: Column) -> Column:
-    return 1 - mismatches / aligned
+    """1 - mismatches / aligned; null where nothing is aligned."""
+    return 1 - F.try_divide(mismatches, aligned)
+
+
+#: Shape, scale and gamma(shape) of the density in the pair score.
+SHAPE, SCALE, GAMMA = 2.5, 3.0, 1.329340388179137
 
 
 def breakend_score(dist: Column, overlap: Column, n1: Column, n2: Column) -> Column:
     """gamma density (shape 2.5, scale 3) of the overlap times its square, less the distance that the overlap
     does not explain, plus both ends' evidence."""
-    density = F.pow(overlap, F.lit(1.5)) * F.exp(-overlap / 3) / (1.329340388179137 * 3**2.5)
+    density = F.pow(overlap, F.lit(SHAPE - 1)) * F.exp(-overlap / SCALE) / (GAMMA * SCALE**SHAPE)
     penalty = F.when(overlap > 0, F.abs(dist - overlap)).otherwise(dist)
     return F.when(overlap > 0, density * overlap * overlap).otherwise(0.0) - penalty + n1 + n2
+
+
+def homopolymer_start(seq: Column, base: str) -> Column:
+    """0-based start of the first longest run of a base, 0 without one."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(seq, F.lit(f"({base}+)")), lambda r: F.length(r)))
+    return F.coalesce(F.position(F.repeat(F.lit(base), longest), seq) - 1, F.lit(0))
+
+
+def only_poly_at(query: Column, least: float = 0.95) -> Column:
+    """Whether A or T make up more than `least` of an aligned query, gaps counted."""
+    return poly_at_fraction(F.upper(query)) > least
+
+
+def columns_matched(query: Column, target: Column) -> Column:
+    """Columns of an alignment in which both sides have the same letter, whatever its case; a gap matches nothing."""
+    pairs = F.zip_with(F.split(F.upper(query), ""), F.split(F.upper(target), ""), lambda a, b: ((a == b) & (a != "") & (a != "-")).cast("int"))
+    return F.aggregate(pairs, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+
+
+def quality_trimmed(seq: Column, qual: Column, least: int = 35, window: int = 4, mean: float = 5) -> Column:
+    """seq up to the first window whose qualities less `least` average under `mean`; the last window of qual is not
+    looked at. Whole without such a window."""
+    codes = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - least)
+    starts = F.when(F.length(qual) > window, F.sequence(F.lit(1), F.length(qual) - window))
+    at = F.array_min(F.filter(starts, lambda i: F.aggregate(F.slice(codes, i, window), F.lit(0), lambda n, x: n + x) / window < mean))
+    return F.coalesce(F.substring(seq, F.lit(1), at - 1), seq)
+
+
+def uncovered(length: Column, covered: Column) -> Column:
+    """Segments (start, end, both within) of 0..length - 1 that no interval [a, b) of `covered` (array of structs s, e)
+    has. As callers of this rule expect, every segment but the first starts one base later; segments of one base after
+    the first vanish."""
+    free = F.filter(F.sequence(F.lit(0), length - 1), lambda p: ~F.exists(covered, lambda c: (c["s"] <= p) & (p < c["e"])))
+    starts = F.filter(free, lambda p: ~F.array_contains(free, p - 1))
+    ends = F.filter(free, lambda p: ~F.array_contains(free, p + 1))
+    segments = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x, i: F.struct(F.when(i == 0, x["s"]).otherwise(x["s"] + 1).alias("s"), x["e"].alias("e")))
+    return F.when(length > 0, F.filter(segments, lambda x: x["s"] <= x["e"])).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda x: F.lit(False)))
+
+
+def holding(mappings: Column, at: Column, inside: bool) -> Column:
+    """Mappings (array of structs s, e) that contain a break position, or those that don't."""
+    has = lambda m: (m["s"] <= at) & (at <= m["e"])
+    return F.filter(mappings, has if inside else lambda m: ~has(m))
+
+
+def overlap_of(s: Column, e: Column, s2: Column, e2: Column) -> Column:
+    """Struct s, e of the overlap of two intervals whose ends are bases of their own; null unless longer than one base."""
+    a, b = F.greatest(s, s2), F.least(e, e2)
+    return F.when(b - a > 0, F.struct(a.alias("s"), b.alias("e")))
+
+
+def distance_of(s: Column, e: Column, s2: Column, e2: Column) -> Column:
+    """Distance of two such intervals; negative where they overlap."""
+    return F.greatest(s, s2) - F.least(e, e2)
+
+
+def duplicated_bases(seq: Column, start: Column, query_start: Column, overlap: Column) -> Column:
+    """Bases of a read (aligned from start on, its base query_start first) within an overlap, both ends included."""
+    return F.when(overlap.isNotNull(), F.substring(seq, (overlap["s"] - start + query_start + 1).cast("int"), (overlap["e"] - overlap["s"] + 1).cast("int")))
+
+
+def more_a_than_t(seq: Column) -> Column:
+    """Whether a sequence reads forward, to its poly-A."""
+    return F.length(F.replace(seq, F.lit("A"))) < F.length(F.replace(seq, F.lit("T")))
+
+
+def blocks_score(match: Column, repeats: Column, mismatch: Column, query_gaps: Column, target_gaps: Column) -> Column:
+    return match + F.shiftright(repeats, 1) - mismatch - query_gaps - target_gaps
+
+
+def blocks_identity(match: Column, repeats: Column, mismatch: Column, query_gaps: Column, query_span: Column, target_span: Column) -> Column:
+    """Identity of a blocked alignment in percent: 100 less the share of mismatches, query gaps and the logarithm of the
+    difference of spans, per thousand."""
+    total = match + repeats + mismatch
+    apart = F.greatest(query_span - target_span, F.lit(0))
+    bad = F.when(F.least(query_span, target_span) > 0, F.try_divide(1000 * (mismatch + query_gaps + F.round(3 * F.log(1 + apart.cast("double")))), total))
+    return F.when(total > 0, 100 - F.coalesce(bad, F.lit(0.0)) * 0.1).otherwise(F.lit(0.0))
+
+
+def tail_at(seq: Column, letter: str, n: int, start: bool) -> Column:
+    run = F.lit(letter * n)
+    return F.startswith(seq, run) if start else F.endswith(seq, run)
+
+
+def region_text(contig: Column, start: Column, end: Column) -> Column:
+    return F.concat(contig, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def region_parts(text: Column) -> Column:
+    """Struct contig, s, e of contig:start-end; null for other texts. The contig may hold colons."""
+    get = lambda i: F.regexp_extract(text, r"^(.+):(\d+)-(\d+)$", i)
+    return F.when(text.rlike(r"^.+:\d+-\d+$"), F.struct(get(1).alias("contig"), get(2).cast("long").alias("s"), get(3).cast("long").alias("e")))
+
+
+def spliced(seq: Column, starts: Column, ends: Column, strand: Column) -> Column:
+    """Exons [start, end) of a sequence, one after the other, reverse-complemented on the - strand."""
+    exons = F.zip_with(starts, ends, lambda s, e: F.substring(seq, (s + 1).cast("int"), (e - s).cast("int")))
+    whole = F.array_join(exons, "")
+    return F.when(strand == "-", reverse_complement(whole)).otherwise(whole)

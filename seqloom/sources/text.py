@@ -8,10 +8,13 @@ from pyspark.sql.types import StructType
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """seq_id (first token of the header), seq (wrapped lines joined)."""
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head, body = F.regexp_extract("value", r"^(\S+)", 1), F.regexp_replace("value", r"^[^\n]*\n?", "")
-    return rows.select(head.alias("seq_id"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    """seq_id (first token of the header), seq (wrapped lines joined). A record starts at a > that begins a line; of
+    equal ids the last record by file name and place stays."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    text = F.regexp_replace("value", "^>", "")
+    head, body = F.regexp_extract(text, r"^(\S+)", 1), F.regexp_replace(text, r"^[^\n]*\n?", "")
+    found = rows.where(F.trim(text) != "").select("at", head.alias("seq_id"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    return found.groupBy("seq_id").agg(F.max_by("seq", "at").alias("seq"))
 
 
 def write_fasta(df: DataFrame, path: str) -> None:
