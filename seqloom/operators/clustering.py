@@ -174,3 +174,29 @@ def equal_count_windows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     rows = rows.join(sizes.select("contig", "_part", F.coalesce(below, F.lit(0)).alias("_below")), ["contig", "_part"])
     rank = F.col("_below") + F.row_number().over(Window.partitionBy("contig", "_part").orderBy("s", key)) - 1
     return rows.withColumn("window", F.floor(rank / n)).groupBy("contig", "window").agg(F.min("s").alias("start"), F.max("s").alias("end"), F.count(F.lit(1)).alias("rows"))
+
+
+def label_clusters(clustered: DataFrame, label: str, least: int) -> DataFrame:
+    """contig, cluster, label, n, start, end: clusters divided by a label of their rows, those of at least `least` rows."""
+    out = clustered.groupBy("contig", "cluster", label).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("start"), F.max("e").alias("end"))
+    return out.where(F.col("n") >= least)
+
+
+def even_windows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """contig, window, start, end, rows: windows of n rows by start and key, anew on each contig. The row that fills a
+    window opens the next one: that starts at its start and does not count it, and the full window ends where the row
+    before it ends. A contig's first window starts at its first row, its last one ends with its last row. n over 1.
+    """
+    rows = ranged(df.select("contig", "s", key, "e"), ["contig", "s", key])
+    sizes = rows.groupBy("contig", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    below = F.sum("_n").over(Window.partitionBy("contig").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(sizes.select("contig", "_part", F.coalesce(below, F.lit(0)).alias("_below")), ["contig", "_part"])
+    rows = rows.withColumn("_at", F.col("_below") + F.row_number().over(Window.partitionBy("contig", "_part").orderBy("s", key)) - 1)
+    window, fills = F.floor(F.col("_at") / n), (F.col("_at") + 1) % n == 0
+    own = F.struct(window.alias("window"), F.lit(1).alias("own"), F.lit(None).cast("bigint").alias("opens"))
+    following = F.struct((window + 1).alias("window"), F.lit(0).alias("own"), F.col("s").alias("opens"))
+    each = rows.select("contig", "s", "e", "_at", fills.alias("_fills"), F.explode(F.when(fills, F.array(own, following)).otherwise(F.array(own))).alias("w")).select("contig", "s", "e", "_at", "_fills", "w.*")
+    counted = F.col("own") == 1
+    out = each.groupBy("contig", "window").agg(
+        F.coalesce(F.max("opens"), F.min("s")).alias("start"), F.max_by("e", F.when(counted & ~F.col("_fills"), F.col("_at"))).alias("end"), F.sum("own").alias("rows"))
+    return out.where("rows > 0")

@@ -92,3 +92,19 @@ def all_reasons(rules: list[tuple[str, Column]]) -> Column:
     """Names of all rules that fail, joined by commas; PASS if none does."""
     text = F.array_join(F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules])), ",")
     return F.when(text == "", "PASS").otherwise(text)
+
+
+def covered_segments(reads: DataFrame, least_depth: int, least_length: int) -> DataFrame:
+    """contig, start, end of runs of covered positions, both within, end - start at least least_length.
+
+    A run goes on over the next position if more than least_depth reads cover it; its first position needs one read
+    only. So the position before each deep stretch begins it, if it is covered. Runs come from depth changes, not
+    positions: see depth_segments for how depth is summed over range partitions.
+    """
+    deep = depth_segments(reads, least_depth, 1)
+    any_depth = depth_segments(reads, 0, 1).select("contig", F.col("start").alias("s"), F.col("end").alias("e"))
+    before = deep.select("contig", F.col("start").alias("at"), "start", "end", (F.col("start") - 1).alias("s"), F.col("start").alias("e")).drop("at")
+    covered = overlap_pairs(before, any_depth).select("contig", "start").distinct().withColumn("_before", F.lit(1))
+    rows = deep.join(covered, ["contig", "start"], "left")
+    start = F.col("start") - F.coalesce("_before", F.lit(0))
+    return rows.select("contig", start.alias("start"), (F.col("end") - 1).alias("end")).where(F.col("end") - F.col("start") >= least_length)

@@ -71,8 +71,8 @@ def read_variants(spark: SparkSession, path: str, single: bool = False) -> DataF
 
 def read_table_twice(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A tab-separated table with a header: with NA as null, and word for word."""
-    read = spark.read.option("sep", "\t").option("header", True)
-    return read.option("nullValue", "NA").csv(path), read.csv(path)
+    read = lambda: spark.read.option("sep", "\t").option("header", True)
+    return read().option("nullValue", "NA").csv(path), read().csv(path)
 
 
 def read_repeats(spark: SparkSession, path: str, types: list[str], contigs: list[str], most_left: int = 150, most_divergence: float = 20.0) -> DataFrame:
