@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as seqs
+from seqloom.operators.alignments import DUPLICATE, UNMAPPED, clip, has
+from seqloom.operators.evidence import of_every_sample
 from seqloom.operators.intervals import overlap_pairs
 
 
@@ -54,11 +56,8 @@ def break_counts(alignments: DataFrame, sites: DataFrame, pad: int = 5, flex: in
 
     Of mapped, not duplicate reads of least_mapq in the padded site: alt if clipped by more than the site's length and
     pad at a break within flex of s or e; else ref if unclipped and spanning the site. An end without such a clip breaks
-    at 0. The site starts at pad at least, but for its length. Samples are few and broadcast; sites without reads have 0, 0.
+    at 0. The site starts at pad at least, but for its length. Sites without reads have 0, 0.
     """
-    from seqloom.operators.alignments import DUPLICATE, UNMAPPED, clip, has
-
-    samples = alignments.select("sample").distinct()
     good = alignments.where(~has(UNMAPPED) & ~has(DUPLICATE) & (F.col("mapq") >= least_mapq))
     good = good.select("contig", "s", "e", "sample", clip(F.col("cigar"), True).alias("lclip"), clip(F.col("cigar"), False).alias("rclip"))
     length = F.col("e") - F.col("s")
@@ -70,7 +69,7 @@ def break_counts(alignments: DataFrame, sites: DataFrame, pad: int = 5, flex: in
     alt = near(right) | near(left)
     ref = ~alt & (F.col("lclip") + F.col("rclip") == 0) & (F.col("r_s") < F.col("from")) & (F.col("r_e") > F.col("p2"))
     counts = met.groupBy("tid", "sample").agg(F.count_if(alt).alias("alt"), F.count_if(ref).alias("ref"))
-    none = sites.select("tid").crossJoin(F.broadcast(samples)).withColumns({"alt": F.lit(0).cast("long"), "ref": F.lit(0).cast("long")})
+    none = of_every_sample(sites.select("tid"), alignments).withColumns({"alt": F.lit(0).cast("long"), "ref": F.lit(0).cast("long")})
     return none.unionByName(counts).groupBy("tid", "sample").agg(F.sum("alt").alias("alt"), F.sum("ref").alias("ref"))
 
 
@@ -87,8 +86,8 @@ def genome_windows(contigs: DataFrame, n: int, pad: int = 0, order: str = "ordin
     A row per contig passes one window; that list is small whatever the data."""
     w = Window.orderBy(order)
     placed = contigs.withColumn("_to", F.sum("length").over(w)).withColumn("_from", F.col("_to") - F.col("length"))
-    size = contigs.agg(F.floor(F.sum("length") / n).alias("_size")).where("_size > 0")
-    cut = placed.crossJoin(F.broadcast(size)).where(F.col("length") > 0)
+    size = (contigs.agg(F.sum("length")).first()[0] or 0) // n
+    cut = placed.where((F.col("length") > 0) & F.lit(size > 0)).withColumn("_size", F.lit(max(1, size)))
     last = F.least(F.floor((F.col("_to") - 1) / F.col("_size")), F.lit(n - 1))
     first = F.floor(F.col("_from") / F.col("_size"))
     cut = cut.where(first <= last).withColumn("window", F.explode(F.sequence(first, last)))

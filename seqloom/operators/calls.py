@@ -1,4 +1,8 @@
-"""What is decided on clusters, chunks and pileups of reads before they become calls."""
+"""What is decided on clusters, chunks and pileups of reads before they become calls.
+
+Null is a contig of its own; null strands and values differ from all others but null. Names that begin with an underscore are
+taken by these operators.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +22,8 @@ def strand_switch_clusters(reads: DataFrame, spacing: int, key: str = "id") -> D
     cols = ["contig", "s", key, "e", "strand", "mate_strand", "cluster"]
     clustered = gap_clusters(reads.select(*cols[:-1]), spacing, key)
     rows = with_previous(ranged(clustered.select(*cols), cols), cols)
-    inside = (F.col("_prev.contig") == F.col("contig")) & (F.col("_prev.cluster") == F.col("cluster"))
-    own, mate = (inside & (F.col(f"_prev.{c}") != F.col(c)) for c in ("strand", "mate_strand"))
+    inside = F.col("_prev").isNotNull() & F.col("_prev.contig").eqNullSafe(F.col("contig")) & (F.col("_prev.cluster") == F.col("cluster"))
+    own, mate = (inside & ~F.col(f"_prev.{c}").eqNullSafe(F.col(c)) for c in ("strand", "mate_strand"))
     counts = rows.groupBy("contig", "cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("a"), F.count_if(mate).alias("b"), F.count_if(own & mate).alias("both"))
     return counts.where("a = 1 and b = 1 and both = 1").select("contig", "cluster", "n")
 
@@ -28,8 +32,8 @@ def consecutive_distinct(df: DataFrame, value: str, key: str = "id") -> DataFram
     """contig, s, key, value of the rows whose value is not that of the row before on their contig."""
     cols = ["contig", "s", key, value]
     rows = with_previous(ranged(df.select(*cols), cols), cols)
-    before = F.when(F.col("_prev.contig") == F.col("contig"), F.col(f"_prev.{value}"))
-    return rows.where(~before.eqNullSafe(F.col(value))).select(*cols)
+    same = F.col("_prev").isNotNull() & F.col("_prev.contig").eqNullSafe(F.col("contig")) & F.col(f"_prev.{value}").eqNullSafe(F.col(value))
+    return rows.where(~same).select(*cols)
 
 
 def over_dense(n: Column, length: Column, most: int, density: float) -> Column:

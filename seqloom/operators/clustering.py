@@ -1,5 +1,10 @@
 """Ordered clustering: gap clusters over range partitions, evolving-median clusters, overlap de-duplication,
-greedy pairing, and windows of equal counts."""
+greedy pairing, and windows of equal counts.
+
+Null is a contig of its own, the first. Rows with a null start, end or position take part in nothing and are left out of
+results, except that gap_clusters gives them a cluster by their place (nulls first). Other columns pass through or
+are ignored; names that begin with an underscore are taken by these operators.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +39,7 @@ def gap_clusters(df: DataFrame, spacing: int, key: str = "id") -> DataFrame:
     changes or the start lies more than spacing beyond the end of the row before (not of all rows before)."""
     order = ["contig", "s", key, "e"]
     rows = with_previous(ranged(df, order), order)
-    new = F.col("_prev").isNull() | (F.col("_prev.contig") != F.col("contig")) | (F.col("s") - F.col("_prev.e") > spacing)
+    new = F.col("_prev").isNull() | ~F.col("_prev.contig").eqNullSafe(F.col("contig")) | F.coalesce(F.col("s") - F.col("_prev.e") > spacing, F.lit(True))
     rows = rows.withColumn("_head", F.when(new, F.struct(*order)))
     heads = rows.groupBy("_part").agg(F.max("_head").alias("_h"))
     open_head = heads.select("_part", F.max("_h").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
@@ -122,6 +127,7 @@ def median_clusters(df: DataFrame, distance: int, longest: int, key: str = "id")
         return [contig, head, at[0][0], n, before, at], (contig, k, head)
 
     columns = ["contig", "pos", key, "mid"]
+    df = df.where("pos is not null and mid is not null")
     schema = pa.schema([("contig", pa.string()), (key, pa.int64()), ("cluster", pa.int64())])
     return folded(ranged(df.select(columns), columns), columns, step, schema)
 
@@ -142,6 +148,7 @@ def overlap_dedup(df: DataFrame, key: str = "id") -> DataFrame:
         return row, result(kept)
 
     columns = ["contig", "s", key, "e"]
+    df = df.where("s is not null and e is not null")
     schema = pa.schema([("contig", pa.string()), ("s", pa.int64()), ("e", pa.int64()), (key, pa.int64())])
     return folded(ranged(df.select(columns), columns), columns, step, schema, result)
 
@@ -166,14 +173,23 @@ def greedy_pairs(pairs: DataFrame, folder: str | None = None) -> DataFrame:
     return taken if taken is not None else left
 
 
-def equal_count_windows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """contig, window, start, end, rows: windows of n rows each by start and key, anew on each contig."""
-    rows = ranged(df.select("contig", "s", key), ["contig", "s", key])
-    sizes = rows.groupBy("contig", "_part").agg(F.count(F.lit(1)).alias("_n"))
+def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number (from 0) on their contig in the order, over range partitions: see ranged. One count a
+    contig and part is gathered."""
+    parts = ranged(rows, ["contig", *order])
+    sizes = parts.groupBy("contig", "_part").agg(F.count(F.lit(1)).alias("_n"))
     below = F.sum("_n").over(Window.partitionBy("contig").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.join(sizes.select("contig", "_part", F.coalesce(below, F.lit(0)).alias("_below")), ["contig", "_part"])
-    rank = F.col("_below") + F.row_number().over(Window.partitionBy("contig", "_part").orderBy("s", key)) - 1
-    return rows.withColumn("window", F.floor(rank / n)).groupBy("contig", "window").agg(F.min("s").alias("start"), F.max("s").alias("end"), F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.select(F.col("contig").alias("_contig"), F.col("_part").alias("_p"), F.coalesce(below, F.lit(0)).alias("_below"))
+    met = parts.join(sizes, parts["contig"].eqNullSafe(sizes["_contig"]) & (parts["_part"] == sizes["_p"]))
+    at = F.col("_below") + F.row_number().over(Window.partitionBy("contig", "_part").orderBy(*order)) - 1
+    return met.withColumn(name, at).drop("_contig", "_p", "_below", "_part")
+
+
+def equal_count_windows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """contig, window, start, end, rows: windows of n rows each by start and key, anew on each contig. Every row is in one
+    window; even_windows is the variant in which windows share a row."""
+    rows = placed(df.where("s is not null").select("contig", "s", key), ["s", key], "_at")
+    return rows.withColumn("window", F.floor(F.col("_at") / n)).groupBy("contig", "window").agg(F.min("s").alias("start"), F.max("s").alias("end"), F.count(F.lit(1)).alias("rows"))
 
 
 def label_clusters(clustered: DataFrame, label: str, least: int) -> DataFrame:
@@ -187,11 +203,7 @@ def even_windows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     window opens the next one: that starts at its start and does not count it, and the full window ends where the row
     before it ends. A contig's first window starts at its first row, its last one ends with its last row. n over 1.
     """
-    rows = ranged(df.select("contig", "s", key, "e"), ["contig", "s", key])
-    sizes = rows.groupBy("contig", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy("contig").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.join(sizes.select("contig", "_part", F.coalesce(below, F.lit(0)).alias("_below")), ["contig", "_part"])
-    rows = rows.withColumn("_at", F.col("_below") + F.row_number().over(Window.partitionBy("contig", "_part").orderBy("s", key)) - 1)
+    rows = placed(df.where("s is not null").select("contig", "s", key, "e"), ["s", key], "_at")
     window, fills = F.floor(F.col("_at") / n), (F.col("_at") + 1) % n == 0
     own = F.struct(window.alias("window"), F.lit(1).alias("own"), F.lit(None).cast("bigint").alias("opens"))
     following = F.struct((window + 1).alias("window"), F.lit(0).alias("own"), F.col("s").alias("opens"))

@@ -1,4 +1,8 @@
-"""Counts of evidence: genotypes, coverage, support of samples, rule lists."""
+"""Counts of evidence: genotypes, coverage, support of samples, rule lists.
+
+Rows with a null contig, start or end overlap nothing and count nowhere; a null mapq is under every limit. A null sample
+is a sample of its own. r_s, r_e and names that begin with an underscore are taken by these operators.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.clustering import ranged
 from seqloom.operators.intervals import overlap_pairs
+from seqloom.scratch import saved, shared_folder
 
 
 def genotype_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1, least_mapq: int = 10) -> DataFrame:
@@ -19,11 +24,20 @@ def genotype_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int
     return met.groupBy("tid", "sample").agg(F.count_if(alt).alias("alt"), F.count_if(~alt & spans).alias("ref"))
 
 
+def of_every_sample(sites: DataFrame, reads: DataFrame, most: int = 100_000) -> DataFrame:
+    """A row of sites for each sample of the reads: their names, one a file and so few, are a constant of the plan.
+    More than `most` are an error."""
+    kind = dict(reads.dtypes)["sample"]
+    names = [r[0] for r in reads.select("sample").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} samples")
+    return sites.withColumn("sample", F.explode(F.array(*map(F.lit, names)).cast(f"array<{kind}>")))
+
+
 def genotype_counts_all(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1, least_mapq: int = 10) -> DataFrame:
     """tid, sample, alt, ref as genotype_counts, with a row for every site and every sample of the reads (whatever
-    their mapq), 0 and 0 where no read lies. Samples are few and broadcast; zero rows are added in one aggregation."""
-    samples = reads.select("sample").distinct()
-    none = sites.select("tid").crossJoin(F.broadcast(samples)).withColumns({"alt": F.lit(0).cast("long"), "ref": F.lit(0).cast("long")})
+    their mapq), 0 and 0 where no read lies. Zero rows are added in one aggregation."""
+    none = of_every_sample(sites.select("tid"), reads).withColumns({"alt": F.lit(0).cast("long"), "ref": F.lit(0).cast("long")})
     counts = none.unionByName(genotype_counts(reads, sites, pad, flex, least_mapq))
     return counts.groupBy("tid", "sample").agg(F.sum("alt").alias("alt"), F.sum("ref").alias("ref"))
 
@@ -32,10 +46,14 @@ def fraction(alt: Column, ref: Column) -> Column:
     return F.coalesce(F.try_divide(alt, alt + ref), F.lit(0.0))
 
 
+#: Doses between which a call is heterozygous.
+LOW_DOSE, HIGH_DOSE = 0.3, 1.7
+
+
 def genotype_call(alt: Column, ref: Column, least_depth: int = 10) -> Column:
     """./. under the depth; dose = 2 - 2 * fraction; 0/1 strictly between 0.3 and 1.7, 0/0 under 0.3, else 1/1."""
     dose = 2 - 2 * fraction(alt, ref)
-    return F.when(alt + ref < least_depth, "./.").when((dose > 0.3) & (dose < 1.7), "0/1").when(dose < 0.3, "0/0").otherwise("1/1")
+    return F.when(alt + ref < least_depth, "./.").when((dose > LOW_DOSE) & (dose < HIGH_DOSE), "0/1").when(dose < LOW_DOSE, "0/0").otherwise("1/1")
 
 
 def bin_cpm(reads: DataFrame, size: int, least_mapq: int) -> DataFrame:
@@ -44,9 +62,9 @@ def bin_cpm(reads: DataFrame, size: int, least_mapq: int) -> DataFrame:
     bins = F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))
     counts = good.select("contig", F.explode(bins).alias("bin")).groupBy("contig", "bin").agg(F.count(F.lit(1)).alias("n"))
     spine = counts.groupBy("contig").agg(F.max("bin").alias("last")).select("contig", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
-    total = good.agg(F.count(F.lit(1)).alias("total")).first()["total"]
+    total = good.count()
     all_bins = spine.join(counts, ["contig", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    all_bins = all_bins.withColumn("cpm", F.col("n") / F.lit(total / 1e6) / size)
+    all_bins = saved(all_bins.withColumn("cpm", F.col("n") / F.lit(total / 1e6) / size), shared_folder(reads.sparkSession), "bins")
     of = all_bins.agg(F.avg("cpm").alias("mean"), F.stddev_pop("cpm").alias("sd")).first()
     return all_bins.withColumn("z", F.try_divide(F.col("cpm") - F.lit(of["mean"]), F.lit(of["sd"])))
 

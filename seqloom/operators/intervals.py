@@ -1,4 +1,8 @@
-"""Interval joins as binned equi-joins, and what is built on them. Intervals are half-open unless said otherwise."""
+"""Interval joins as binned equi-joins, and what is built on them. Intervals are half-open unless said otherwise.
+
+Rows with a null contig, start or end overlap nothing. r_s, r_e and names that begin with an underscore are taken by these
+operators.
+"""
 
 from __future__ import annotations
 

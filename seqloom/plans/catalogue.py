@@ -183,18 +183,37 @@ def breakend_pair_scores(spark, sf_dir):
     return pair_scores(spark, sf_dir)
 
 
-@query()
+@query("""x1 AS (SELECT a.id AS a, b.id AS b, abs(a.pos - b.pos)::DOUBLE AS dist, greatest(0, least(a.e, b.e) - greatest(a.s, b.s))::DOUBLE AS ov, a.n AS n1, b.n AS n2
+  FROM breakends a JOIN breakends b ON a.contig = b.contig AND a.dir = 'left' AND b.dir = 'right' AND abs(a.pos - b.pos) <= 100),
+x2 AS (SELECT a, b, round(CASE WHEN ov > 0 THEN pow(ov, 1.5) * exp(-ov / 3) / (1.329340388179137 * pow(3, 2.5)) * ov * ov - abs(dist - ov) ELSE -dist END + n1 + n2, 6)::DOUBLE AS score FROM x1),
+x3 AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS k FROM x2),
+x4(k, used, taken) AS (
+  SELECT 0::BIGINT, []::BIGINT[], false UNION ALL
+  SELECT x3.k, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE list_concat(used, [a, b]) END, NOT (list_contains(used, a) OR list_contains(used, b)) FROM x4 JOIN x3 ON x3.k = x4.k + 1)
+SELECT a, b, score FROM x3 JOIN x4 USING (k) WHERE taken""")
 def breakend_greedy_pairs(spark, sf_dir):
     return clustering.greedy_pairs(pair_scores(spark, sf_dir))
 
 
-@query()
+@query("""x1 AS (SELECT id, contig, s AS pos, ((s + e) / 2)::DOUBLE AS m, row_number() OVER (PARTITION BY contig ORDER BY s, id) AS k FROM reads),
+x2(contig, k, id, head, members, median) AS (
+  SELECT contig, k, id, id, [pos], floor(m)::BIGINT FROM x1 WHERE k = 1 UNION ALL
+  SELECT x1.contig, x1.k, x1.id, CASE WHEN abs(median - pos) > 100 THEN x1.id ELSE head END, CASE WHEN abs(median - pos) > 100 THEN [pos] ELSE list_append(members, pos) END,
+    CASE WHEN abs(median - pos) > 100 THEN floor(m)::BIGINT ELSE list_append(members, pos)[(len(members) + 1) // 2 + 1] END
+  FROM x2 JOIN x1 ON x1.contig = x2.contig AND x1.k = x2.k + 1)
+SELECT contig, id, head AS cluster FROM x2""")
 def split_clusters(spark, sf_dir):
     r = adapters.reads(spark, sf_dir).select("id", "contig", F.col("s").alias("pos"), ((F.col("s") + F.col("e")) / 2).cast("long").alias("mid"))
     return clustering.median_clusters(r, 100, 500)
 
 
-@query()
+@query("""x1 AS (SELECT id, contig, s, e, row_number() OVER (PARTITION BY contig ORDER BY s, id, e) AS k, count(*) OVER (PARTITION BY contig) AS n FROM reads),
+x2(contig, k, n, s, e, id, os, oe, oid) AS (
+  SELECT contig, k, n, s, e, id, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM x1 WHERE k = 1 UNION ALL
+  SELECT x1.contig, x1.k, x1.n, CASE WHEN o AND x2.e - x2.s >= x1.e - x1.s THEN x2.s ELSE x1.s END, CASE WHEN o AND x2.e - x2.s >= x1.e - x1.s THEN x2.e ELSE x1.e END, CASE WHEN o AND x2.e - x2.s >= x1.e - x1.s THEN x2.id ELSE x1.id END,
+    CASE WHEN NOT o THEN x2.s END, CASE WHEN NOT o THEN x2.e END, CASE WHEN NOT o THEN x2.id END
+  FROM (SELECT x2.*, least(x1.e, x2.e) - greatest(x1.s, x2.s) > 0 AS o FROM x2 JOIN x1 ON x1.contig = x2.contig AND x1.k = x2.k + 1) x2 JOIN x1 ON x1.contig = x2.contig AND x1.k = x2.k + 1)
+SELECT contig, os AS s, oe AS e, oid AS id FROM x2 WHERE oid IS NOT NULL UNION ALL SELECT contig, s, e, id FROM x2 WHERE k = n""")
 def overlap_dedup(spark, sf_dir):
     return clustering.overlap_dedup(adapters.reads(spark, sf_dir).select("id", "contig", "s", "e"))
 
