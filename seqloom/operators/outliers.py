@@ -43,23 +43,19 @@ def path_length(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     return tree[at, 4]
 
 
-def isolation_scores(df: DataFrame, group: str, features: Sequence[str], key: Sequence[str], train: Column, known: Column, trees: int = 100, rows_per_tree: int = 256, sample: int = 8192, most_groups: int = 64, seed: int = 42) -> DataFrame:
+def isolation_scores(df: DataFrame, group: str, features: Sequence[str], key: Sequence[str], train: Column, known: Column, trees: int = 100, rows_per_tree: int = 256, sample: int = 8192, most_groups: int = 64, slot: int = 50_000, seed: int = 42) -> DataFrame:
     """group, key columns, score (0 to 1, outliers high), pred (-1 for scores over 0.5, else 1; known rows always 1).
 
     One forest a group, fitted on a sample of about `sample` of its training rows, drawn by a hash of the key;
-    so a group of any size fits into a task. Forests are of fixed size and there are at most most_groups of them
-    (more raise an error), so they go to all tasks, where every row is scored. Null features count as 0; null is
-    a group of its own; a group without training rows has score 0.5. An empty table gives no rows.
+    so a group of any size fits into a task. Forests are of fixed size: up to most_groups of them go to all tasks, where
+    every row is scored; more stay a table that rows meet by group, in slots of about `slot` rows, so that a large group is
+    spread. Null features count as 0; null is a group of its own; a group without training rows has score 0.5. An empty
+    table gives no rows.
     """
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)]
     h = F.xxhash64(F.lit(seed), *key)
     rows = df.select(F.col(group).alias("g"), *key, F.coalesce(known, F.lit(False)).alias("known"), F.coalesce(train, F.lit(False)).alias("train"), h.alias("h"), *cols)
-    sizes = rows.where("train").groupBy("g").agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).collect()
-    if len(sizes) > most_groups:
-        raise ValueError(f"more than {most_groups} groups")
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("g").eqNullSafe(F.lit(r.g)), F.lit(min(1_000_000, int(1e6 * sample / r.n) + 1))).otherwise(share)
+    sizes = rows.groupBy("g").agg(F.count_if("train").alias("n"), F.count(F.lit(1)).alias("m"))
     names = [f"f{i}" for i in range(len(features))]
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
@@ -69,24 +65,49 @@ def isolation_scores(df: DataFrame, group: str, features: Sequence[str], key: Se
         return pd.DataFrame({"g": frame["g"].iloc[:1].astype(object), "size": [min(rows_per_tree, len(x))], "ends": [np.cumsum([len(t) for t in forest]).tolist()], "nodes": [np.concatenate(forest).tobytes()]})
 
     kind = dict(rows.dtypes)["g"]
-    picked = rows.where(F.col("train") & (F.pmod("h", F.lit(1_000_000)) < share))
-    found = picked.groupBy("g").applyInPandas(fit, f"g {kind}, size int, ends array<int>, nodes binary").collect()
-    forests = {r.g: (r["size"], np.split(np.frombuffer(r.nodes).reshape(-1, 5), r.ends[:-1])) for r in found}
+    share = F.coalesce(F.least(F.lit(1_000_000), F.floor(F.try_divide(F.lit(1e6 * sample), F.col("n"))) + 1), F.lit(0))
+    of_group = sizes.select(F.col("g").alias("_g"), share.alias("share"), F.ceil(F.col("m") / slot).cast("int").alias("slots"))
+    many = sizes.limit(most_groups + 1).count() > most_groups
+    placed = rows.join(of_group if many else F.broadcast(of_group), rows["g"].eqNullSafe(of_group["_g"]))
+    picked = placed.where(F.col("train") & (F.pmod("h", F.lit(1_000_000)) < F.col("share"))).select(*rows.columns)
+    forests = picked.groupBy("g").applyInPandas(fit, f"g {kind}, size int, ends array<int>, nodes binary")
+
+    def scores(frame: pd.DataFrame, size: int, forest: list[np.ndarray]) -> np.ndarray:
+        x = frame[names].to_numpy(float)
+        if size < 2 or not len(x):
+            return np.full(len(x), 0.5)
+        return 2.0 ** (-np.mean([path_length(t, x) for t in forest], axis=0) / max(mean_depth(size), 1e-9))
+
+    def told(frame: pd.DataFrame, out: np.ndarray) -> pd.DataFrame:
+        pred = np.where((out > 0.5) & ~frame["known"].to_numpy(bool), -1, 1)
+        return frame[["g", *key]].assign(score=out, pred=pred.astype(np.int32))
+
+    trees_of = lambda r: np.split(np.frombuffer(r.nodes).reshape(-1, 5), r.ends[:-1])
+    known_forests = {} if many else {r.g: (r["size"], trees_of(r)) for r in forests.collect()}
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = np.full(len(frame), 0.5)
             groups = frame["g"].astype(object).where(frame["g"].notna(), None)
-            for g, (size, forest) in forests.items():
+            for g, (size, forest) in known_forests.items():
                 at = np.flatnonzero(groups.isna() if g is None else groups == g)
-                x = frame[names].to_numpy(float)[at]
-                depth = np.mean([path_length(t, x) for t in forest], axis=0) if len(at) else np.zeros(0)
-                out[at] = 2.0 ** (-depth / max(mean_depth(size), 1e-9)) if size > 1 else 0.5
-            pred = np.where((out > 0.5) & ~frame["known"].to_numpy(bool), -1, 1)
-            yield frame[["g", *key]].assign(score=out, pred=pred.astype(np.int32))
+                out[at] = scores(frame.iloc[at], size, forest)
+            yield told(frame, out)
+
+    def score_group(frame: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        out = np.full(len(frame), 0.5)
+        if len(forest):
+            r = next(forest.itertuples(index=False))
+            out = scores(frame, int(r.size), np.split(np.frombuffer(r.nodes).reshape(-1, 5), list(r.ends)[:-1]))
+        return told(frame, out)
 
     of = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c in ("g", *key))
-    return rows.drop("train", "h").mapInPandas(score, f"{of}, score double, pred int").withColumnRenamed("g", group)
+    schema = f"{of}, score double, pred int"
+    if not many:
+        return rows.drop("train", "h").mapInPandas(score, schema).withColumnRenamed("g", group)
+    dealt = placed.withColumn("slot", F.pmod("h", F.col("slots")).cast("int")).select("slot", *rows.columns).drop("train", "h")
+    copies = forests.join(of_group, forests["g"].eqNullSafe(of_group["_g"])).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select("slot", *forests.columns)
+    return dealt.groupBy("g", "slot").cogroup(copies.groupBy("g", "slot")).applyInPandas(score_group, schema).withColumnRenamed("g", group)
 
 
 def mann_whitney(a: np.ndarray, b: np.ndarray) -> float:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import clustering, evidence
+from seqloom.operators import clustering, evidence, outliers
 
 
 def test_genotypes_of_every_site_and_sample(spark):
@@ -59,3 +59,12 @@ def test_folds_stream_one_stretch_over_many_parts(spark, many_parts, dense):
     assert {x.id: x.cluster for x in split.collect()} == cluster
     # no task holds a stretch: rows stream, and are not gathered into a group or an array
     assert "collect_list" not in plan(dedup) and "FlatMapGroups" not in plan(split)
+
+
+def test_isolation_forests_of_many_groups(spark):
+    r = random.Random(2)
+    rows = [(i, f"g{i % 70}" if i % 70 else None, r.gauss(0, 1), i % 70 != 5) for i in range(1400)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, t boolean")
+    score = lambda **k: {x.id: (x.score, x.pred) for x in outliers.isolation_scores(df, "g", ["x"], ["id"], F.col("t"), F.lit(False), trees=10, **k).collect()}
+    few, many = score(most_groups=100), score(most_groups=5, slot=7)
+    assert len(few) == 1400 and many == pytest.approx(few) and all(few[i] == (0.5, 1) for i in range(5, 1400, 70))
