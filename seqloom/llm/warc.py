@@ -23,12 +23,17 @@ def write_archives(pages: DataFrame, path: str, folder: str, id_col: str = "page
 
     Of such payloads the row with the largest id is the response, the others revisit it (a null id is smaller
     than any; repeated rows with the largest id are all responses). Line breaks in URLs are percent-encoded.
+    Copies are told by their digests and ids alone; pages then meet that table by digest and id, so that a payload which a
+    million pages share is as spread as they are.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"n": F.octet_length("payload"), "key": F.unhex(F.sha2("payload", 256))})
-    first = rows.where(F.col("n") >= least_bytes).groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    rows = rows.join(saved(first.where("copies > 1").select("key", "first"), folder, "first"), "key", "left")
+    narrow = rows.where(F.col("n") >= least_bytes).select("key", "id")
+    first = narrow.groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = saved(narrow.distinct().join(first.select("key", "first"), "key"), folder, "copies")
+    of = copies.select(F.col("key").alias("of_key"), F.col("id").alias("of_id"), "first")
+    rows = rows.join(of, (rows["key"] == of["of_key"]) & rows["id"].eqNullSafe(of["of_id"]), "left")
     revisit = (F.col("n") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
