@@ -167,3 +167,19 @@ def spliced(seq: Column, starts: Column, ends: Column, strand: Column) -> Column
     exons = F.zip_with(starts, ends, lambda s, e: F.substring(seq, (s + 1).cast("int"), (e - s).cast("int")))
     whole = F.array_join(exons, "")
     return F.when(strand == "-", reverse_complement(whole)).otherwise(whole)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix."""
+    n = F.least(F.length(a), F.length(b))
+    differs = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, i, 1) != F.substring(b, i, 1))
+    return F.coalesce(F.array_min(differs) - 1, n)
+
+
+def walked_duplication(before: Column, left: Column, right: Column, after: Column, most: int = 100) -> Column:
+    """Target-site duplication around a gap: bases that two windows share on from their starts (left, right) and back
+    from them (before, after, which end where the windows start), at most `most`; NA beyond that or without any."""
+    back = common_prefix(F.reverse(before), F.reverse(after))
+    on = common_prefix(left, right)
+    text = F.concat(F.right(before, back), F.substring(left, F.lit(1), on))
+    return F.when((back + on > most) | (back + on == 0), "NA").otherwise(text)

@@ -68,3 +68,12 @@ def run_times(started: DataFrame, finished: DataFrame, key: str) -> DataFrame:
     first = started.groupBy(key).agg(F.min("s").alias("_from"))
     last = finished.groupBy(key).agg(F.max("s").alias("_to"))
     return first.join(last, key, "left").select(key, F.coalesce((F.col("_to") - F.col("_from")).cast("string"), F.lit("UNFINISHED")).alias("took"))
+
+
+def variants(seqs: DataFrame, reference: DataFrame, least_depth: int) -> DataFrame:
+    """contig, pos, variant (pos:ref>alt) where more than half of at least least_depth sequences (contig, seq) agree on another
+    base than the reference's (contig, seq). A base more frequent by one wins; N is no base."""
+    best = pileup_majority(seqs.withColumn("seq", F.upper("seq")), least_depth).where("base <> 'N'")
+    ref = reference.select("contig", F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "ref")).where("ref <> ''")
+    met = best.join(ref, ["contig", "pos"]).where("ref <> base and ref <> 'N'")
+    return met.select("contig", "pos", F.concat(F.col("pos").cast("string"), F.lit(":"), "ref", F.lit(">"), "base").alias("variant"))

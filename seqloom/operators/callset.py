@@ -395,3 +395,55 @@ def isoform_choice(calls: DataFrame, library: DataFrame, scores: DataFrame, key:
     met = calls.select(key, prefix(F.col("element")).alias("_prefix")).join(F.broadcast(library.select(F.col("element").alias("element"), prefix(F.col("element")).alias("_prefix"))), "_prefix")
     best = met.join(scores, [key, "element"]).groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "element")).alias("_b"))
     return best.select(key, F.col("_b.element").alias("element"))
+
+
+def without_last_part(name: Column) -> Column:
+    """A name without its last '.' part."""
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def overlapping_genes(calls: DataFrame, genes: DataFrame, key: str, family: str) -> DataFrame:
+    """key of calls (contig, s, e) that overlap the gene (contig, s, e, gene) which their family is a copy of: the family
+    less its last '.' part."""
+    left = calls.select(key, "contig", "s", "e", without_last_part(F.col(family)).alias("_name"))
+    return overlap_pairs(left, genes.select("contig", "s", "e", "gene")).where("_name = gene").select(key).distinct()
+
+
+def near_family(calls: DataFrame, known: DataFrame, key: str, families: str, pad: int = 0, most_divergence: float | None = None) -> DataFrame:
+    """key, near: whether a known element (contig, s, e, family, divergence) of one of the call's families (joined by
+    commas) lies within pad of it; true as well on contigs that the table does not have."""
+    rows = known if most_divergence is None else known.where(F.col("divergence") < most_divergence)
+    left = calls.select(key, "contig", "s", "e", F.split(families, ",").alias("_families"))
+    hit = overlap_pairs(left, rows.select("contig", "s", "e", F.col("family").alias("_family")), pad=pad).where(F.array_contains("_families", F.col("_family")))
+    hit = hit.select(key).distinct().withColumn("_hit", F.lit(True))
+    seen = known.select(F.col("contig").alias("_contig")).distinct().withColumn("_seen", F.lit(True))
+    out = left.join(hit, key, "left").join(seen, left["contig"].eqNullSafe(seen["_contig"]), "left")
+    return out.select(key, (F.col("_hit").isNotNull() | F.col("_seen").isNull()).alias("near"))
+
+
+def screened(calls: DataFrame, mappings: DataFrame, key: str, least: float = 0.9, invert: bool = False) -> DataFrame:
+    """Calls of which some mapping (key, mismatches, aligned) matches in more than `least`; with invert the others."""
+    good = mappings.where(1 - F.try_divide(F.col("mismatches").cast("double"), F.col("aligned")) > least).select(key).distinct()
+    return calls.join(good, key, "left_anti" if invert else "left_semi")
+
+
+def outlier_features() -> dict[str, Column]:
+    """Numbers that the outlier model reads off a call: lengths, the distance of both duplications, distinct bases, the
+    element's span and the count of known calls (text joined by commas), 0 where one is NA."""
+    here = lambda c: F.nullif(col(c), F.lit("NA"))
+    size = lambda c: F.coalesce(F.length(here(c)), F.lit(0))
+    bases = lambda c: F.coalesce(F.size(F.array_distinct(F.filter(F.split(here(c), ""), lambda x: x != ""))), F.lit(0))
+    return {
+        "tsd_len": F.greatest(size("TSD_5prime"), size("TSD_3prime")), "tsd_dist": F.coalesce(F.levenshtein(here("TSD_5prime"), here("TSD_3prime")), F.lit(0)), "tsd_bases": F.greatest(bases("TSD_5prime"), bases("TSD_3prime")),
+        "elt_len": F.coalesce(number("TE_Align_End") - number("TE_Align_Start"), F.lit(0.0)), "nr_count": F.coalesce(F.size(F.split(here("NonRef"), ",")), F.lit(0)),
+    }
+
+
+def per_sample(name: str) -> Column:
+    """A support count for each sample of a call; 0 without samples."""
+    return F.coalesce(F.try_divide(number(name), number("Sample_count")), F.lit(0.0))
+
+
+def break_stands(direction: Column, left: bool, identity: Column, start: Column, at: Column, window: int = 10, least: float = 0.9) -> Column:
+    """Whether a breakend of the wanted side has a blocked alignment of identity over `least` that starts within the window."""
+    return F.coalesce((direction == ("left" if left else "right")) & (identity > least) & (F.abs(start - at) <= window), F.lit(False))

@@ -126,3 +126,16 @@ def covered_segments(reads: DataFrame, least_depth: int, least_length: int) -> D
     rows = deep.join(covered, ["contig", "start"], "left")
     start = F.col("start") - F.coalesce("_before", F.lit(0))
     return rows.select("contig", start.alias("start"), (F.col("end") - 1).alias("end")).where(F.col("end") - F.col("start") >= least_length)
+
+
+def bin_rates(reads: DataFrame, contigs: DataFrame, size: int, least_mapq: int) -> DataFrame:
+    """contig, bin, start, end, n, cpm of every bin of contigs (contig, length): reads of more than least_mapq in each bin that
+    they touch, per million of all such reads and per base. The last bin ends with its contig; a bin without length has 0.0."""
+    good = reads.where(F.col("mapq") > least_mapq)
+    total = good.count()
+    touched = F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))
+    counts = good.select("contig", F.explode(touched).alias("bin")).groupBy("contig", "bin").agg(F.count(F.lit(1)).alias("n"))
+    spine = contigs.select("contig", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / size))).alias("bin"))
+    rows = spine.join(counts, ["contig", "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "start": F.col("bin") * size, "end": F.least((F.col("bin") + 1) * size, "length")})
+    cpm = F.coalesce(F.try_divide(F.col("n") / F.lit(max(total, 1) / 1e6), F.col("end") - F.col("start")), F.lit(0.0))
+    return rows.select("contig", "bin", "start", "end", "n", cpm.alias("cpm"))

@@ -249,3 +249,8 @@ def write_elements(rows: DataFrame, path: str) -> None:
 def regions_of(df: DataFrame) -> DataFrame:
     """region: contig:start-end of rows (contig, s, e)."""
     return df.select(region_text(F.col("contig"), F.col("s"), F.col("e")).alias("region"))
+
+
+def write_matching(alignments: DataFrame, names: DataFrame, path: str) -> None:
+    """All records of alignments whose name is among names (qname), with the same columns; names are few or many."""
+    alignments.join(names.select("qname").distinct(), "qname", "left_semi").select(alignments.columns).write.mode("overwrite").parquet(path)

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seqloom.plans import calls, callsets, catalogue, records  # noqa: F401  the others add their queries to the catalogue
+from seqloom.plans import calls, callsets, catalogue, more, records  # noqa: F401  the others add their queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents".split()
