@@ -7,9 +7,9 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.scratch import delete, saved, shared_folder
+from seqloom.scratch import delete, exists, saved, shared_folder
 
-__all__ = ["LOWER", "LOWER_TABLE", "UPPER", "WORD", "ascii_lower", "crc_mod", "delete", "drop_shuffles", "own_ids", "saved", "shared_folder", "table", "words_of"]
+__all__ = ["LOWER", "LOWER_TABLE", "UPPER", "WORD", "ascii_lower", "crc_mod", "delete", "drop_shuffles", "exists", "own_ids", "saved", "shared_folder", "table", "words_of"]
 
 #: The A-Z letters that contracts lower-case, and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

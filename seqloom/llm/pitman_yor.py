@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import LOWER_TABLE, drop_shuffles, saved, shared_folder
+from seqloom.llm.common import LOWER_TABLE, delete, drop_shuffles, exists, saved, shared_folder
 
 CONCENTRATION = 1.0
 #: Tokens of a block of texts (a task's unit of work before the shuffle) and of a part (its unit after it).
-BLOCK_TOKENS, PART_TOKENS = 1_000_000, 1_500_000
+BLOCK_TOKENS, PART_TOKENS = 1_500_000, 1_500_000
+#: Words that all tasks know by their rank; the others travel with their keys. A block reports half as many.
+COMMON = 1 << 17
 #: Customers and tables up to which the weights of seatings are laid out, and the steps of a walk beyond these tables.
 EXACT, METROPOLIS = 1000, 25
 #: Bytes of text that are hashed at a time.
@@ -130,17 +132,27 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nd
 
 
 class Deal(NamedTuple):
-    """How tokens are dealt: number of parts, the words that are split (sorted) and into how many."""
+    """How tokens are dealt: number of parts, the words that are split (sorted) and into how many, and the most frequent
+    words (at most COMMON, by rank), which need no key on the way."""
 
     parts: int
     hot: np.ndarray
     splits: np.ndarray
+    common: np.ndarray
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """Ranks of words, -1 for those that are not common."""
+        if not len(self.common):
+            return np.full(len(words), -1)
+        order = np.argsort(self.common)
+        at = order[np.minimum(np.searchsorted(self.common, words, sorter=order), len(order) - 1)]
+        return np.where(self.common[at] == words, at, -1)
 
     def of(self, words: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Parts of tokens whose middle and last words are words[v] and words[w]."""
         with np.errstate(over="ignore"):
             h, n = mixed(words), self.splits_of(words)
-            return ((h[v] + h[w] % n[v] if len(self.hot) else h[v]) % np.uint64(self.parts)).astype(np.int64)
+            return ((h[v] + h[w] % n[v] if len(self.hot) else h[v]) % np.uint64(self.parts)).astype(np.int32)
 
     def splits_of(self, v: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -163,24 +175,27 @@ def unsmall(b: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.int64)
 
 
-def hot_words(rows: DataFrame, parts: int, block_tokens: int, part_tokens: int) -> list[tuple[int, int]]:
-    """(word, reported count) of the words that may take much of a part of their own.
+def frequent_words(rows: DataFrame, parts: int, block_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, reported counts) of the most frequent words, at most COMMON or those that may take much of a part.
 
-    A block reports the words that are over 1 / (8 * parts) of it; a word of over 1 / (4 * parts) of the corpus is
-    reported with at least half of its count.
+    A block reports its most frequent words: COMMON / 2 of them, and all that are over 1 / (8 * parts) of it; so a
+    word of over 1 / (4 * parts) of the corpus is reported with at least half of its count.
     """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _, _, _ in blocks(batches, block_tokens):
-            found, counts = np.unique(keys, return_counts=True)
-            many = counts > len(keys) / (8 * parts)
+            coded = pa.array(keys).dictionary_encode()
+            found, counts = coded.dictionary.to_numpy(), np.bincount(coded.indices.to_numpy())
+            least = np.partition(counts, -COMMON // 2)[-COMMON // 2] if len(counts) > COMMON // 2 else 0
+            many = (counts > max(1, least)) | (counts > len(keys) / (8 * parts))
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(counts[many])], names=["w", "n"])
 
-    got = rows.mapInArrow(report, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > part_tokens // 2)
-    return [(r.w % 2**64, r.n) for r in got.collect()]
+    got = rows.mapInArrow(report, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    got = got.orderBy(F.desc("n"), "w").limit(max(COMMON, 8 * parts)).toArrow()
+    return got["w"].to_numpy().view(np.uint64), got["n"].to_numpy()
 
 
-ASKED = ["part", "block", "words", "v", "u", "w", "train", "docs", "counts", "ids", "sizes"]
+ASKED = ["part", "block", "words", "v", "u", "w", "train", "counts", "docs", "each", "ids", "sizes"]
 ASKED_SCHEMA = "part int, block long, " + ", ".join(f"{x} binary" for x in ASKED[2:])
 
 
@@ -193,44 +208,44 @@ def stream(ids: pa.Array) -> bytes:
 
 
 def dealt(deal: Deal, block_tokens: int, with_docs: bool):
-    """mapInArrow function: a row per block and part with the block's tokens of that part, in order; where
-    with_docs, with the texts they are of and how many of each, and the block's first row with its ids and sizes."""
+    """mapInArrow function: a row per block and part. Without docs the distinct triples of the block's tokens in order,
+    with how often they are learned from; with docs the tokens in their order, which of them are learned from, the texts
+    they are of and how many of each, and in the block's first row its ids and sizes. Words are ranks of common ones, or from
+    the number of these on places in the row's own list of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         for keys, n, train, ids in blocks(batches, block_tokens):
             coded = pa.array(keys).dictionary_encode()
-            w, found = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy()
+            w, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
             end = int(np.flatnonzero(found == END)[0])
-            v = np.concatenate([[end], w[:-1]])
-            u = np.concatenate([[end], v[:-1]])
+            v = np.concatenate([np.int32([end]), w[:-1]])
+            u = np.concatenate([np.int32([end]), v[:-1]])
             u[v == end] = end
             part = deal.of(found, v, w)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(deal.parts + 1))
-            mark, lut = np.zeros(len(found), bool), np.zeros(len(found), np.int64)
-            rows = []
-            for p in range(deal.parts) if deal.parts < len(keys) else np.unique(part):
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            order = np.argsort(part, kind="stable").astype(np.int32)
+            edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=deal.parts))])
+            number, rows = deal.ranks(found), []
+            rare = number < 0
+            for p in np.flatnonzero(np.diff(edges)):
                 at = order[edges[p] : edges[p + 1]]
-                if not len(at):
-                    continue
-                if 8 * len(at) > len(found):
-                    mark[:] = False
-                    for x in (u, v, w):
-                        mark[x[at]] = True
-                    used = np.flatnonzero(mark)
-                else:
-                    used = np.unique(np.concatenate([x[at] for x in (u, v, w)]))
-                lut[used] = np.arange(len(used))
-                row = [int(p), block, found[used].tobytes(), *(small(lut[x[at]]) for x in (v, u, w)), np.packbits(train[doc[at]]).tobytes()]
+                triple = [x[at] for x in (v, u, w)]
+                own = np.unique(np.concatenate([x[rare[x]] for x in triple]))
+                number[own] = len(deal.common) + np.arange(len(own))
+                row = [int(p), block, found[own].tobytes()]
                 if with_docs:
-                    docs, counts = np.unique(doc[at], return_counts=True)
-                    row += [small(np.diff(docs, prepend=0)), small(counts), *((None, None) if rows else (stream(ids), small(n)))]
+                    docs, each = np.unique(doc[at], return_counts=True)
+                    row += [*(small(number[x]) for x in triple), np.packbits(train[doc[at]]).tobytes(), None, small(np.diff(docs, prepend=0)), small(each), *((None, None) if rows else (stream(ids), small(n)))]
                 else:
-                    row += [None] * 4
+                    a, b, c = (number[x].astype(np.uint64) for x in triple)
+                    code = np.sort(a << np.uint64(43) | b << np.uint64(22) | c << np.uint64(1) | train[doc[at]].astype(np.uint64))
+                    first = np.flatnonzero(np.concatenate([[True], code[1:] >> np.uint64(1) != code[:-1] >> np.uint64(1)]))
+                    counts, code = np.add.reduceat((code & np.uint64(1)).astype(np.int64), first), code[first]
+                    a, b, c = code >> np.uint64(43), code >> np.uint64(22) & np.uint64(2**21 - 1), code >> np.uint64(1) & np.uint64(2**21 - 1)
+                    row += [small(np.diff(a, prepend=np.uint64(0))), small(b), small(c), None, small(counts), *[None] * 4]
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 9], strict=True)], names=ASKED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 10], strict=True)], names=ASKED)
             block += 1
 
     return run
@@ -244,13 +259,26 @@ class Part:
     """
 
     def __init__(self, rows: pa.Table, deal: Deal):
-        words = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
-        self.words, number = np.unique(np.concatenate(words), return_inverse=True)
-        below = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-        each = lambda c: np.concatenate([number[unsmall(x) + b] for x, b in zip(rows[c].to_pylist(), below, strict=False)])
-        v, u, w = each("v"), each("u"), each("w")
-        sizes = [int.from_bytes(x[1:9], "little") for x in rows["v"].to_pylist()]
-        train = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(rows["train"].to_pylist(), sizes, strict=True)])
+        lists = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
+        n, below = len(deal.common), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        own, place = np.unique(np.concatenate(lists), return_inverse=True)
+        sorted_v = rows["counts"].null_count == 0
+        each = lambda c: [unsmall(x) for x in rows[c].to_pylist()]
+        triple = [[np.cumsum(x) for x in each("v")] if sorted_v else each("v"), each("u"), each("w")]
+        sizes = [len(x) for x in triple[0]]
+        triple = [np.concatenate([np.where(x < n, x, n + place[np.minimum(x - n + b, len(place) - 1)]) if len(place) else x for x, b in zip(of, below, strict=False)]) for of in triple]
+        met = np.zeros(n + len(own), bool)
+        for x in triple:
+            met[x] = True
+        met, keys = np.flatnonzero(met), np.concatenate([deal.common, own])
+        met = met[np.argsort(keys[met])]
+        number = np.zeros(n + len(own), np.int64)
+        number[met], self.words = np.arange(len(met)), keys[met]
+        v, u, w = (number[x] for x in triple)
+        if sorted_v:
+            learned = np.concatenate(each("counts"))
+        else:
+            learned = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for x, m in zip(rows["train"].to_pylist(), sizes, strict=True)])
         k = len(self.words)
         if k**3 < 2**63:
             code, self.type = np.unique((v * k + u) * k + w, return_inverse=True)
@@ -262,7 +290,7 @@ class Part:
             pair = pairs[pair]
         self.v, self.u = np.divmod(pair, k)
         self.token_word = w
-        self.c = np.bincount(self.type, train, len(code)).astype(np.int64)
+        self.c = np.bincount(self.type, learned, len(code)).astype(np.int64)
         self.r3 = np.cumsum(np.concatenate([[0], (np.diff(pair) != 0)]))[: len(code)]
         self.pairs = int(self.r3[-1]) + 1 if len(code) else 0
         doubles, self.b = np.unique(self.v * k + self.w, return_inverse=True)
@@ -361,7 +389,7 @@ def seating_weights(d: float, most: int = EXACT) -> tuple[np.ndarray, np.ndarray
             stay = out[n] + np.log(np.maximum(1 - d * t / n, 0))
             out[n + 1, 1:] = np.logaddexp(out[n, :-1] - math.log(n), stay[1:])
         at, row = math.log(most), out[most].copy()
-        logs, rows, step = [at], [row.copy()], 0.001
+        logs, rows, step = [at], [row.copy()], 0.00125
 
         def slope(x, log_n):
             up = np.zeros(most + 1)
@@ -370,12 +398,12 @@ def seating_weights(d: float, most: int = EXACT) -> tuple[np.ndarray, np.ndarray
             return n * np.log1p(np.maximum((up - d * t) / n, -0.999))
 
         row[0] = 0
-        for k in range(1, 16_001):  # to 16 in log n beyond most, nine million times as many
+        for k in range(1, 11_201):  # to 14 in log n beyond most, a million times as many; above, what changes is far below 1e-6
             a = slope(row, at)
             b = slope(row + step / 2 * a, at + step / 2)
             row, at = row + step * b, at + step
             row[0] = 0
-            if k % 20 == 0:
+            if k % 16 == 0:
                 logs.append(at)
                 rows.append(row.copy())
     rows = np.array(rows)
@@ -524,12 +552,12 @@ class Still:
             t3, t2 = t3.copy(), t2.copy()
             for at in turns[0]:
                 new = seated(self.c[at], rule.d3, tables3[self.r3[at]] - t3[at], p2[self.b3[at]], r)
-                np.add.at(tables3, self.r3[at], new - t3[at])
+                tables3 += np.bincount(self.r3[at], new - t3[at], len(tables3))
                 t3[at] = new
             b = self.B + np.bincount(self.b3, t3, len(self.B)).astype(np.int64)
             for at in turns[1]:
                 new = seated(b[at], rule.d2, tables2[self.bv[at]] - t2[at], p0[self.bw[at]], r)
-                np.add.at(tables2, self.bv[at], new - t2[at])
+                tables2 += np.bincount(self.bv[at], new - t2[at], len(tables2))
                 t2[at] = new
         return t3, t2
 
@@ -646,8 +674,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     rows = settled(rows, folder)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(chars / 6 / part_tokens))
-    hot = sorted(hot_words(rows, parts, block_tokens, part_tokens)) if parts > 1 else []
-    deal = Deal(parts, np.array([w for w, _ in hot], np.uint64), np.array([math.ceil(2 * n / part_tokens) for _, n in hot], np.uint64))
+    common, counts = frequent_words(rows, parts, block_tokens)
+    hot = sorted(zip(common.tolist(), counts.tolist(), strict=True)) if parts > 1 else []
+    hot = [(w, math.ceil(2 * n / part_tokens)) for w, n in hot if n > part_tokens // 2]
+    deal = Deal(parts, np.array([w for w, _ in hot], np.uint64), np.array([n for _, n in hot], np.uint64), common[:COMMON])
     bits = math.ceil(math.log2(parts))
 
     def first(group: pa.Table) -> pa.Table:
@@ -657,14 +687,28 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         stats = [float((p.c == 1).sum()), float((p.c == 2).sum()), float((x["customers2"] == 1).sum()), float((x["customers2"] == 2).sum())]
         return state_rows(number, sent, *p.start().values(), stats, [p.words.tobytes(), p.context_keys.tobytes(), *Still.of(p).packed()])
 
-    state = saved(rows.mapInArrow(dealt(deal, block_tokens, False), ASKED_SCHEMA).groupBy("part").applyInArrow(first, STATE_SCHEMA), folder, "round0")
-    drop_shuffles(spark)
+    def held(result: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
+        """(parts' own rows, sums over all parts) of a round; what the parts sent goes once it is summed."""
+        result.withColumn("sent", F.col("kind") >= 0).write.mode("overwrite").option("compression", "zstd").partitionBy("sent").parquet(f"{folder}/round{r}")
+        empty = spark.createDataFrame([], STATE_SCHEMA)
+        del result  # else its shuffles can't go
+        drop_shuffles(spark)
+        table = lambda sent: spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/round{r}/sent={sent}")
+        own, sent = (table(x) if exists(spark, f"{folder}/round{r}/sent={x}") else empty for x in ("false", "true"))
+        sums = saved(summed(sent, rules[-1] if r else None, seed + r), folder, f"sums{r}")
+        delete(spark, f"{folder}/round{r}/sent=true")
+        drop_shuffles(spark)
+        return own, sums
+
+    rules: list[Rule] = []
+    state, total = held(rows.mapInArrow(dealt(deal, block_tokens, False), ASKED_SCHEMA).groupBy("part").applyInArrow(first, STATE_SCHEMA), 0)
     still = state.where("kind = -1").select("part", "keys_0", "keys_1", *STILL_COLUMNS)
-    sums = [saved(summed(state, None, seed), folder, "sums0")]
+    sums = [total]
     n31, n32, n21, n22 = totals_of(state.where("kind = -1"), 4)
     v, n, customers, tables, once, twice = totals_of(sums[0], 6)
     rule = Rule(discount(n31, n32), discount(n21, n22), discount(once, twice), v, n, customers, tables)
-    rules, states = [rule], [state]
+    states = [state]
+    rules.append(rule)
 
     def round_of(r: int, rule: Rule):
         def sampled(own: pa.Table, got: pa.Table) -> pa.Table:
@@ -688,13 +732,18 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         own = still.select("*", *nothing("t3", "t2"))
         own = own.unionByName(states[-1].where("kind = -1").select("part", *nothing("keys_0", "keys_1", *STILL_COLUMNS), "t3", "t2"))
         told = sums[-1].where("part >= 0").select("part", "kind", "bucket", "a", "b")
-        states.append(saved(own.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(round_of(r, rule), STATE_SCHEMA), folder, f"round{r}"))
-        sums.append(saved(summed(states[-1], rule, seed + r), folder, f"sums{r}"))
-        drop_shuffles(spark)
+        state, total = held(own.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(round_of(r, rule), STATE_SCHEMA), r)
+        states.append(state)
+        sums.append(total)
         _, _, customers, tables, _, _ = totals_of(sums[-1], 6)
         rule = rule._replace(customers=customers, tables=tables)
         rules.append(rule)
     kept = range(min(burn, rounds - 1) + 1, rounds + 1)
+    for r in range(rounds + 1):  # what scoring does not read goes before it begins
+        if r not in kept:
+            delete(spark, f"{folder}/round{r}")
+        if r and r not in kept:
+            delete(spark, f"{folder}/sums{r}")
 
     def scored(asked: pa.Table, known: pa.Table) -> pa.Table:
         p, out = Part(asked, deal), None
@@ -709,7 +758,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         base = np.log10((count + 0.1) / (rules[0].n + 0.1 * (rules[0].v + 1)))[p.token_word]
         seen = (count > 0)[p.token_word]
         rows, at = [], 0
-        for block, docs, counts, ids, sizes in zip(*(asked[c].to_pylist() for c in ("block", "docs", "counts", "ids", "sizes")), strict=True):
+        for block, docs, counts, ids, sizes in zip(*(asked[c].to_pylist() for c in ("block", "docs", "each", "ids", "sizes")), strict=True):
             counts = unsmall(counts)
             edges = at + np.concatenate([[0], np.cumsum(counts)[:-1]])
             at += int(counts.sum())
@@ -721,8 +770,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     known = None
     for r in (0, *kept):
         of = sums[r].where("part >= 0").select("part", F.lit(r).alias("round"), "kind", "bucket", *(["n", *nothing("a", "b")] if r == 0 else [*nothing("n"), "a", "b"]), *nothing("t3", "t2"))
-        own = states[r].where("kind = -1").select("part", F.lit(r).alias("round"), "kind", "bucket", *nothing("n", "a", "b"), "t3", "t2")
-        of = of.where("kind = 0") if r == 0 else of.unionByName(own)
+        if r == 0:
+            of = of.where("kind = 0")
+        else:
+            of = of.unionByName(states[r].where("kind = -1").select("part", F.lit(r).alias("round"), "kind", "bucket", *nothing("n", "a", "b"), "t3", "t2"))
         known = of if known is None else known.unionByName(of)
     asked = rows.mapInArrow(dealt(deal, block_tokens, True), ASKED_SCHEMA)
     by_text = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(scored, "block long, " + ", ".join(f"{x} binary" for x in TEXT_SUMS[1:]))

@@ -166,11 +166,12 @@ def test_scores_are_those_of_a_plain_sampler(spark):
         assert abs(got[k] - want) < 0.03 * abs(want) + 0.05, (k, got[k], want)
 
 
-def test_probabilities_after_a_context_add_up_to_one():
+@pytest.mark.parametrize("docs", [True, False])
+def test_probabilities_after_a_context_add_up_to_one(docs):
     texts = ["a b c", "a b d", "a b c", "b c d d"] + [f"a b {w}" for w in ("a", "b", "c", "d", "new")] + ["a b"]
     train = [True] * 4 + [False] * 6
     batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts), pa.array(train)], names=["id", "text", "train"])
-    deal, keys = py.Deal(1, np.zeros(0, np.uint64), np.zeros(0, np.uint64)), py.tokens_of(py.Words(), pa.array(["a b"]))[0]
+    deal, keys = py.Deal(1, *[np.zeros(0, np.uint64)] * 3), py.tokens_of(py.Words(), pa.array(["a b"]))[0]
     rows = []
     import seqloom.llm.pitman_yor as module
 
@@ -180,7 +181,7 @@ def test_probabilities_after_a_context_add_up_to_one():
 
     before, module.TaskContext = module.TaskContext, Context
     try:
-        rows = list(py.dealt(deal, 10**6, False)(iter([batch])))
+        rows = list(py.dealt(deal, 10**6, docs)(iter([batch])))
     finally:
         module.TaskContext = before
     part = py.Part(pa.Table.from_batches(rows), deal)
