@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import saved, shared_folder, words_of
@@ -135,9 +135,8 @@ def rest_links(buckets: DataFrame, least: float, percent: int) -> DataFrame:
     likeliest first; a confirmed link joins two components, whose other pairs need no look, so that a group
     emits fewer links than it has rows, and none that matters is lost.
     """
-    of_key = Window.partitionBy("key")
-    rows = buckets.withColumn("slots", F.ceil(F.count(F.lit(1)).over(of_key) / BLOCK).cast("int"))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
+    sizes = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots"))
+    rows = buckets.join(sizes, "key").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     rows = rows.withColumns({"low": F.least("slot", "other"), "high": F.greatest("slot", "other")})
 
@@ -179,7 +178,8 @@ def rest_links(buckets: DataFrame, least: float, percent: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"])
 
     cols = rows.select("key", "low", "high", "slot", "node", "component", "n", "signature", "hashes")
-    return cols.groupBy("key", "low", "high").applyInPandas(meet, "a binary, b binary").distinct()
+    # dealt anew, or the join's partitions by key would keep all slots of a bucket in one task
+    return cols.repartition("key", "low", "high").groupBy("key", "low", "high").applyInPandas(meet, "a binary, b binary").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 36, rows: int = 5) -> DataFrame:
@@ -189,8 +189,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (lower-cased A-Z); component_id is the smallest id that links reach, kept says that it is the row's own.
 
     Rows with equal sets are one class first, so that copies are never paired. Classes that share a band of
-    minima are candidates (36 bands of 5: a pair at 0.8 is missed once in a million). In a bucket each class
-    is compared with the bucket's leader, confirmed on full sets; four different orders choose leaders. Where
+    minima are candidates (36 bands of 5: a pair at 0.8 is missed once in a million). A bucket's leader and size come
+    from an aggregation and a join, so no task holds a bucket. In a bucket each class is compared with the leader, confirmed on full sets; four different orders choose leaders. Where
     a bucket still spans several components, all its pairs between different ones follow, the likeliest first:
     their b-bit signatures give the collision-corrected similarity by bit counts, and those not six deviations
     under the threshold are confirmed on full sets. Pairs inside a component can't change it: no look at them.
@@ -225,9 +225,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     each = classes.select("node", F.posexplode("keys").alias("band", "key"))
     order = F.struct(F.xxhash64(F.col("band") % 4, "node").alias("h"), "node")
-    of_key = Window.partitionBy("key")
-    buckets = each.select("key", "node", F.min(order).over(of_key)["node"].alias("leader"), F.count(F.lit(1)).over(of_key).alias("m"))
-    buckets = saved(buckets.where("m > 1").drop("m"), folder, "buckets")
+    leaders = each.groupBy("key").agg(F.min(order)["node"].alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = saved(each.select("key", "node").join(leaders.select("key", "leader"), "key"), folder, "buckets")
     stars = buckets.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     classes = classes.drop("keys")
     links = confirmed(likely(stars, classes, least, percent), docs, classes, shingle, percent, folder, "star")
