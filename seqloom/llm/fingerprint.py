@@ -61,7 +61,8 @@ def bits_of(text: Column, size: int) -> Column:
 
 
 def packed(bits: Column) -> Column:
-    return F.array_join(F.transform(bits, lambda v: F.lpad(F.lower(F.hex(v)), KEPT_BITS // 4, "0")), "")
+    """Hex text of the kept bits, which are held less half their range, as one byte each."""
+    return F.array_join(F.transform(bits, lambda v: F.lpad(F.lower(F.hex(v.cast("int") + 2 ** (KEPT_BITS - 1))), KEPT_BITS // 4, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -98,25 +99,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their predecessor; a null id comes first. A single id is its own next document. An empty table gives no
     rows; other columns are ignored.
 
-    Texts are shuffled once by id, and half texts once to their predecessors.
+    Whole texts are shuffled once, by id (both joins read the same exchange), half texts once to their
+    predecessors, and fingerprints as 128 bytes each. Keys are the id and whether it is null, so that what an
+    aggregation has dealt is not dealt again for the join after it.
     """
     folder = shared_folder(docs.sparkSession)
+    zero = F.lit(0).cast(dict(docs.dtypes)[id_col])
+    key = lambda c, name: [F.coalesce(c, zero).alias(name), c.isNull().alias(f"{name}_null")]
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    halves = docs.groupBy("id").agg(F.max(F.floor(F.char_length("text") / 2)).alias("need"))
+    half_chars = docs.groupBy("id").agg(F.max(F.floor(F.char_length("text") / 2)).cast("int").alias("need"))
     after = successors(docs, folder)
-    links = after.join(halves, after["id"].eqNullSafe(halves["id"])).select(after["id"].alias("before"), "next_id", "need")
+    links = after.join(half_chars, after["id"].eqNullSafe(half_chars["id"])).select(*key(after["id"], "before"), *key(F.col("next_id"), "next"), "need")
     links = saved(links, folder, "links")
-    head = docs.join(links, docs["id"].eqNullSafe(links["next_id"]))
-    head = head.select("before", F.struct(F.sha2("text", 256).alias("sha"), F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head")).alias("h"))
-    head = head.groupBy("before").agg(F.min("h")["head"].alias("head"))
+    docs = docs.select("text", *key(F.col("id"), "k"))  # the same columns for both joins: one exchange
+    of_next = (F.col("k") == F.col("next")) & (F.col("k_null") == F.col("next_null"))
+    of_own = (F.col("k") == F.col("before")) & (F.col("k_null") == F.col("before_null"))
+    head = docs.join(links, of_next).select("before", "before_null", F.struct(F.sha2("text", 256).alias("sha"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head")).alias("h"))
+    head = head.groupBy("before", "before_null").agg(F.min("h")["head"].alias("head"))
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    both = docs.join(head, docs["id"].eqNullSafe(head["before"])).select(
-        "id", "text", n.alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - half), F.substring(F.col("head"), F.lit(1), half)).alias("edited"))
-    made = both.select("id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"), bits_of(F.col("text"), shingle).alias("bits"), bits_of(F.col("edited"), shingle).alias("edited_bits"))
-    made = saved(made, folder, "made")
-    of_next = made.groupBy("id").agg(F.min(F.struct("sha", "bits"))["bits"].alias("next_bits")).withColumnRenamed("id", "nid")
-    of_next = links.select("before", "next_id").join(of_next, links["next_id"].eqNullSafe(of_next["nid"])).select("before", "next_bits")
-    return made.join(of_next, made["id"].eqNullSafe(of_next["before"])).select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", packed(F.col("bits")).alias("fingerprint"), packed(F.col("edited_bits")).alias("edited_fingerprint"),
+    both = docs.join(head, of_own).select(
+        F.when(~F.col("k_null"), F.col("k")).alias("id"), "text", n.alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n.cast("int") - half), F.substring(F.col("head"), F.lit(1), half)).alias("edited"))
+    kept = lambda c: F.transform(bits_of(F.col(c), shingle), lambda v: (v - 2 ** (KEPT_BITS - 1)).cast("tinyint"))
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    made = saved(both.select("id", "n_chars", digest("text").alias("sha"), digest("edited").alias("edited_sha"), kept("text").alias("bits"), kept("edited").alias("edited_bits")), folder, "made")
+    made = made.select("*", *key(F.col("id"), "k"))
+    following = made.groupBy("k", "k_null").agg(F.min(F.struct("sha", "bits"))["bits"].alias("next_bits"))
+    following = following.join(links, of_next).select("before", "before_null", "next_bits")
+    return made.join(following, of_own).select(
+        F.col("id").alias(id_col), "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), packed(F.col("bits")).alias("fingerprint"), packed(F.col("edited_bits")).alias("edited_fingerprint"),
         likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), likeness(F.col("bits"), F.col("next_bits")).alias("near_next"))
