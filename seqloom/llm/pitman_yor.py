@@ -266,7 +266,7 @@ class Part:
         each = lambda c: [unsmall(x) for x in rows[c].to_pylist()]
         triple = [[np.cumsum(x) for x in each("v")] if sorted_v else each("v"), each("u"), each("w")]
         sizes = [len(x) for x in triple[0]]
-        triple = [np.concatenate([np.where(x < n, x, n + place[np.minimum(x - n + b, len(place) - 1)]) if len(place) else x for x, b in zip(of, below, strict=False)]) for of in triple]
+        triple = [np.concatenate([np.where(x < n, x, n + place[np.clip(x - n + b, 0, len(place) - 1)]) if len(place) else x for x, b in zip(of, below, strict=False)]) for of in triple]
         met = np.zeros(n + len(own), bool)
         for x in triple:
             met[x] = True

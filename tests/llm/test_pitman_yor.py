@@ -166,6 +166,12 @@ def test_scores_are_those_of_a_plain_sampler(spark):
         assert abs(got[k] - want) < 0.03 * abs(want) + 0.05, (k, got[k], want)
 
 
+def test_few_own_words_beside_common_ones(spark):
+    rows = [(i, "the cat sat on the mat " * 3 + ("rare" if i == 7 else "")) for i in range(8)] + [(None, None), (9, "")]
+    got = py.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), rounds=2).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_tokens for r in got}[7] == 20 and all(r.score < 0 for r in got)
+
+
 @pytest.mark.parametrize("docs", [True, False])
 def test_probabilities_after_a_context_add_up_to_one(docs):
     texts = ["a b c", "a b d", "a b c", "b c d d"] + [f"a b {w}" for w in ("a", "b", "c", "d", "new")] + ["a b"]
