@@ -72,7 +72,7 @@ def by_content(places: DataFrame, contents: DataFrame) -> DataFrame:
     Each text is found through its locator, so that a hot digest is as spread as its rows are; equal texts fall
     together, byte by byte, in the task that reads them, before they move by digest.
     """
-    found = contents.join(places, "locator")
+    found = contents.join(places.hint("merge"), "locator")  # places grow with the input: never broadcast
     return found.groupBy("digest", ascii_lower(F.col("text")).alias("norm")).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
