@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, fingerprint, host_reputation, langid, minhash, mixing, pitman_yor, stream_dedup, toxicity, warc
+from seqloom.llm import alignment, bpe, fingerprint, host_reputation, langid, minhash, mixing, pitman_yor, quality, stream_dedup, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 
@@ -64,6 +65,20 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_pair_alignment(spark: SparkSession, sf_dir: str, tokenizer_a: str | None = None, tokenizer_b: str | None = None) -> DataFrame:
+    if tokenizer_a is None or tokenizer_b is None:
+        import public_tokenizers
+
+        tokenizer_a, tokenizer_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_a, tokenizer_b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents")).drop("lost", "n_lost", "cleaned")
+
+
 SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = r"""
@@ -147,9 +162,31 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS five FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+d AS (SELECT r, five FROM g GROUP BY r, five HAVING count(*) > 1),
+p AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT g.r, unnest(range(i, i + 5)) AS p FROM g JOIN d ON g.r = d.r AND g.five = d.five) GROUP BY r),
+l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM t),
+l1 AS (
+  SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY r, line ORDER BY k) AS again,
+    len(regexp_extract_all(line, '[|»›·•→]')) AS links, len(regexp_extract_all(line, '[^\x20\x09-\x0D]*(?:[#*$%&<>]|[!?]{2})[^\x20\x09-\x0D]*')) AS noisy FROM l0),
+l2 AS (
+  SELECT r, n, again, regexp_matches(lower(line), '(STOCK)') OR (links >= 2 AND links * 4 >= n) OR noisy * 3 >= n
+    OR (n >= 20 AND NOT regexp_matches(line, '[.!?…:;。！？；।؟۔]["''”’»)\]\x20\x09-\x0D]*$')) AS bad FROM l1 WHERE n > 0),
+l AS (SELECT r, sum(CASE WHEN bad OR again > 1 THEN n ELSE 0 END) AS lost, sum(CASE WHEN again > 1 THEN 1 ELSE 0 END) AS dup FROM l2 GROUP BY r),
+o AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost FROM w LEFT JOIN p USING (r) LEFT JOIN l USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= 50 * n_words AS kept FROM o
+""".replace("STOCK", "|".join(re.escape(x) for x in quality.STOCK))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree, op12_pair_alignment, op13_line_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_reputation": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_warc_chain": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_stream_dedup": OP8_SQL}
+    return {"op2_host_reputation": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_warc_chain": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_stream_dedup": OP8_SQL, "op13_line_quality": OP13_SQL}
