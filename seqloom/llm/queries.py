@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import alignment, bpe, fingerprint, host_reputation, langid, minhash, mixing, pitman_yor, quality, stream_dedup, toxicity, warc
+from seqloom.llm import alignment, bpe, fingerprint, hard_negatives, host_reputation, langid, minhash, mixing, pitman_yor, quality, stream_dedup, toxicity, warc
 from seqloom.llm.common import crc_mod, table
 
 
@@ -65,6 +65,14 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components are finite or their row takes no part; a label moves on by one where the id is divisible by 7."""
+    rows = table(spark, sf_dir, "embeddings").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vec = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), vec.alias("vec")), F.col("vec_id") % 100 == 0)
+
+
 def op12_pair_alignment(spark: SparkSession, sf_dir: str, tokenizer_a: str | None = None, tokenizer_b: str | None = None) -> DataFrame:
     if tokenizer_a is None or tokenizer_b is None:
         import public_tokenizers
@@ -162,6 +170,22 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL)
 """
 
 
+OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score, a.label = b.label AS same
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.ar, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 OP13_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
@@ -185,8 +209,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree, op12_pair_alignment, op13_line_quality)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_host_reputation, op3_near_dedup, op4_warc_chain, op5_fingerprints, op6_toxicity, op7_mix_sources, op8_stream_dedup, op9_language_id, op10_bpe_tree, op11_hard_negatives, op12_pair_alignment, op13_line_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_reputation": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_warc_chain": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_stream_dedup": OP8_SQL, "op13_line_quality": OP13_SQL}
+    return {"op2_host_reputation": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_warc_chain": OP4_SQL, "op7_mix_sources": OP7_SQL, "op8_stream_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op13_line_quality": OP13_SQL}
