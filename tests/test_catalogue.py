@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -7,14 +9,13 @@ import pytest
 from seqloom.plans import calls, callsets, catalogue, more, records  # noqa: F401  the others add their queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events documents".split()
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+    for path in Path(DATA).glob("*.parquet"):
+        con.sql(f"create view {path.stem} as select * from read_parquet('{path}')")
     return con
 
 
