@@ -22,7 +22,7 @@ BUCKETS = 256
 #: Tables of so many tasks are merged by one node of a tree.
 FAN = 64
 #: A space behind white space is no border: runs of it may be one token. Elsewhere both tokenizers part before a space.
-BORDER = re.compile(r"(?<=\S) ")
+BORDER, NO_BORDER = re.compile(r"(?<=\S) "), re.compile(r"\A |\s ")
 
 
 def mixed(keys: np.ndarray, level: int) -> np.ndarray:
@@ -110,45 +110,96 @@ class Aligner:
         self.pairs = self.a.n_vocab * self.n_b
         if self.pairs >= 1 << 46:
             raise ValueError("the vocabularies have too many pairs for a 64-bit key with a document's number")
-        self.text_a, self.text_b = [str(i) for i in range(self.a.n_vocab)], [str(i) for i in range(self.n_b)]
+        self.of_text = max(self.a.n_vocab, self.n_b)
+        self.texts = np.array([f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.of_text)], object)
 
     def units(self, text: str) -> list[str]:
         """The units of space + text, each without its first space."""
-        return BORDER.split(text) if self.cut else [text]
-
-    def aligned(self, units: list[str]) -> Iterator[tuple[int, int, int, np.ndarray, str] | None]:
-        """n_a, n_b, n_groups, links (a * n_b + b), groups of each unit; None where B's bytes are not the unit's."""
-        full = [" " + x for x in units]
-        a_ids, b_ids = [self.a.encode_ordinary(x) for x in full], self.b.encode(units, num_threads=1)
-        b_ids = [x if u else [self.b.piece_to_id("▁")] for u, x in zip(units, b_ids, strict=True)]  # a last space alone: the library adds none to an empty text
-        for text, a, b in zip(full, a_ids, b_ids, strict=True):
-            if b"".join(map(self.b_bytes.__getitem__, b)) != text.encode():
-                yield None
-            elif len(a) == 1 and len(b) == 1:
-                yield 1, 1, 1, np.array([a[0] * self.n_b + b[0]], np.int64), f"{a[0]}|{b[0]}"
-            else:
-                a, b = np.array(a, np.int64), np.array(b, np.int64)
-                a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-                ends = np.union1d(a_end, b_end)  # between two of them lies one token of each side: a link
-                at_a, at_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-                common = np.intersect1d(a_end, b_end, assume_unique=True)
-                stop_a, stop_b = np.searchsorted(a_end, common, "right").tolist(), np.searchsorted(b_end, common, "right").tolist()
-                own_a, own_b = [self.text_a[i] for i in a], [self.text_b[i] for i in b]
-                groups = ";".join(f"{','.join(own_a[i:j])}|{','.join(own_b[k:m])}" for i, j, k, m in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False))
-                yield len(a), len(b), len(common), a[at_a] * self.n_b + b[at_b], groups
+        if not self.cut:
+            return [text]
+        return BORDER.split(text) if NO_BORDER.search(text) else text.split(" ")
+
+    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray, np.ndarray]:
+        """A's and B's ids of stretches of units, how many units each has, whether B's bytes are the text's.
+
+        Units that end in no white space keep their tokens behind one another, so many are encoded as one text; where
+        that changes under B, each unit is encoded on its own.
+        """
+        parts, sizes, first = [], [], 0
+        step = 64 if self.cut else 1
+        while first < len(units):
+            part = units[first : first + step]
+            whole = [u[-1:].isspace() or not u for u in part]
+            part = part[: whole.index(True)] or part[:1] if any(whole) else part
+            parts.append(" ".join(part))
+            sizes.append(len(part))
+            first += len(part)
+        a_ids, b_ids = self.a.encode_ordinary_batch([" " + x for x in parts], num_threads=1), self.b.encode(parts, num_threads=1)
+        b_ids = [x if t else [self.b.piece_to_id("▁")] for t, x in zip(parts, b_ids, strict=True)]  # a last space alone: the library adds none to an empty text
+        of_b = self.b_bytes.__getitem__
+        ok = np.fromiter((b"".join(map(of_b, b)) == b" " + x.encode() for x, b in zip(parts, b_ids, strict=True)), bool, len(parts))
+        return a_ids, b_ids, np.array(sizes, np.int64), ok
+
+    def aligned(self, units: list[str], write: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """For each unit n_a, n_b, n_groups, n_links; whether B's bytes are the unit's (else all is 0); the links
+        (a * n_b + b) of all units one after the other; with write the units' groups.
+
+        All units are laid out behind each other. Every end of a token ends the overlap of one A and one B token, so
+        the union of the ends has a link each, and what both have in common ends the groups.
+        """
+        a_ids, b_ids, sizes, ok = self.encoded(units)
+        if not ok.all() and (sizes[~ok] > 1).any():  # those stretches unit by unit
+            got = [self.encoded([u]) for u in itertools.compress(units, np.repeat(~ok, sizes).tolist())]
+            alone = iter([(x[0][0], x[1][0], bool(x[3][0])) for x in got])
+            made = [(a, b, True, n) for a, b, good, n in zip(a_ids, b_ids, ok, sizes, strict=True)]
+            made = [y for (a, b, _, n), good in zip(made, ok, strict=True) for y in ([(a, b, True, n)] if good else [(*next(alone), 1) for _ in range(n)])]
+            a_ids, b_ids, ok, sizes = ([x[0] for x in made], [x[1] for x in made], np.array([x[2] for x in made]), np.array([x[3] for x in made], np.int64))
+        a_ids, b_ids = ([x if good else [] for x, good in zip(ids, ok.tolist(), strict=True)] for ids in (a_ids, b_ids))
+        ok = np.repeat(ok, sizes)
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        unit_end = np.cumsum(np.where(ok, [1 + len(u.encode()) for u in units], 0))
+        upto_a, upto_b = np.searchsorted(a_end, unit_end, "right"), np.searchsorted(b_end, unit_end, "right")
+        n_a, n_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        ends, common = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
+        links = a[np.searchsorted(a_end, ends)] * self.n_b + b[np.searchsorted(b_end, ends)]
+        n_links, n_groups = (np.bincount(np.searchsorted(unit_end, x), minlength=len(units)) for x in (ends, common))
+
+        numbers = np.stack([n_a, n_b, n_groups, n_links], 1)
+        if not write:
+            return numbers, ok, links, []
+        # a group's A tokens, then its B tokens, each with the mark that follows it
+        of_a, of_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        many_a, many_b = (np.bincount(x, minlength=len(common)) for x in (of_a, of_b))
+        last_a, last_b = (common[x] == e if len(e) else np.empty(0, bool) for x, e in ((of_a, a_end), (of_b, b_end)))
+        at_end = last_b & np.isin(b_end, unit_end)
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[of_a]] = self.texts[a + self.of_text * last_a]
+        out[np.arange(len(b)) + np.cumsum(many_a)[of_b]] = self.texts[b + self.of_text * (2 * last_b + at_end)]
+        stops, words = np.cumsum(n_a + n_b).tolist(), out.tolist()
+        return numbers, ok, links, ["".join(words[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
+
+
+class Numbered(dict):
+    """Numbers keys in the order in which they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 class Units:
     """The units met by a task and their alignments, forgotten now and then so that they stay within bounds."""
 
-    def __init__(self, aligner: Aligner, most_chars: int = 1 << 23):
-        self.aligner, self.most_chars, self.turn = aligner, most_chars, 0
+    def __init__(self, aligner: Aligner, most_chars: int = 1 << 26, write: bool = True):
+        self.aligner, self.most_chars, self.write, self.turn = aligner, most_chars, write, 0
         self.forget()
 
     def forget(self) -> None:
         self.turn += 1
-        self.index: dict[str, int] = {}
-        self.chars, self.numbers, self.links, self.groups, self.ok = 0, np.empty((0, 3), np.int64), [], [], np.empty(0, bool)
+        self.index = Numbered()
+        self.chars, self.numbers, self.ok, self.links, self.groups = 0, np.empty((0, 4), np.int64), np.empty(0, bool), np.empty(0, np.int64), []
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each unit of the texts, and how many units each text has; numbers hold within a turn."""
@@ -156,21 +207,21 @@ class Units:
             self.forget()
         parts = [self.aligner.units(t) if t else [] for t in texts]
         known, of_known = self.index, len(self.index)
-        numbers = np.fromiter((known.setdefault(u, len(known)) for p in parts for u in p), np.int64)
+        numbers = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(parts)), np.int64)
         if len(known) > of_known:
             new = list(itertools.islice(known, of_known, None))
             self.chars += sum(map(len, new)) + 100 * len(new)
-            got = [x or (0, 0, 0, np.empty(0, np.int64), "") for x in self.aligner.aligned(new)]
-            self.numbers = np.concatenate([self.numbers, np.array([x[:3] for x in got], np.int64)])
-            self.ok = np.concatenate([self.ok, np.array([x[0] > 0 for x in got])])
-            self.links += [x[3] for x in got]
-            self.groups += [x[4] for x in got]
+            got, ok, links, groups = self.aligner.aligned(new, self.write)
+            self.numbers, self.ok, self.links = np.concatenate([self.numbers, got]), np.concatenate([self.ok, ok]), np.concatenate([self.links, links])
+            self.groups += groups
+        self.stops = np.cumsum(self.numbers[:, 3])
         return numbers, np.array([len(p) for p in parts], np.int64)
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The links of units one after the other, and how many each has."""
-        links = [self.links[i] for i in numbers.tolist()]
-        return np.concatenate([np.empty(0, np.int64), *links]), np.array([len(x) for x in links], np.int64)
+        n = self.numbers[numbers, 3]
+        first = self.stops[numbers] - n
+        return self.links[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,7 +255,7 @@ def task_counts(texts: DataFrame, spec_a: str, model_b: bytes) -> DataFrame:
     """bucket, part (task), keys, counts: in how many of a task's documents each distinct pair is linked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(aligner(spec_a, model_b))
+        units = Units(aligner(spec_a, model_b), write=False)
         pairs = units.aligner.pairs
         total, waiting, size = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
         for batch in batches:
@@ -307,19 +358,19 @@ def looked_up(docs: DataFrame, spec_a: str, model_b: bytes, table: Broadcast, be
     kind = f"row {dict(docs.dtypes)['row']}, n_best long, count_sum long" + ", n_a long, n_b long, n_groups long, n_links long, groups string" * whole
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, (sizes, bits, keys, counts), highest = Units(aligner(spec_a, model_b)), table.value, best.value
-        h, n_b, values, turn = PerfectHash(sizes, bits, keys), units.aligner.n_b, np.empty((0, 3), np.int64), 0
+        units, (sizes, bits, keys, counts), highest = Units(aligner(spec_a, model_b), write=whole), table.value, best.value
+        h, n_b, values, turn = PerfectHash(sizes, bits, keys), units.aligner.n_b, np.empty((0, 2), np.int64), 0
         for batch in batches:
             for at in by_bytes(batch["text"], 1 << 20):
                 numbers, n_units = units(batch["text"][at.start : at.stop].to_pylist())
                 if turn != units.turn:
                     values, turn = values[:0], units.turn
-                new = np.arange(len(values), len(units.links))
+                new = np.arange(len(values), len(units.ok))
                 links, n = units.joined(new)
                 slot = h.slots(links)
                 count = np.where(slot >= 0, counts[np.maximum(slot, 0)], 0) if len(keys) else np.zeros(len(links), np.int64)
                 most = (slot >= 0) & (count == highest[links // n_b])
-                values = np.concatenate([values, summed(np.stack([most.astype(np.int64), count, np.ones(len(links), np.int64)], 1), n)])
+                values = np.concatenate([values, summed(np.stack([most.astype(np.int64), count], 1), n)])
                 ok = sound(units, numbers, n_units)
                 got = np.where(ok[:, None], summed(values[numbers], n_units), 0)
                 out = [batch["row"][at.start : at.stop], pa.array(got[:, 0]), pa.array(got[:, 1])]
@@ -327,7 +378,7 @@ def looked_up(docs: DataFrame, spec_a: str, model_b: bytes, table: Broadcast, be
                     own = np.where(ok[:, None], summed(units.numbers[numbers], n_units), 0)
                     ends = np.cumsum(n_units).tolist()
                     texts = [";".join(map(units.groups.__getitem__, numbers[i:j].tolist())) if good else "" for good, i, j in zip(ok.tolist(), [0, *ends], ends, strict=False)]
-                    out += [pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2]), pa.array(got[:, 2]), pa.array(texts, pa.string())]
+                    out += [pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2]), pa.array(own[:, 3]), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in kind.split(", ")])
 
     return docs.select("row", "text").mapInArrow(look, kind)
