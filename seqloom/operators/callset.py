@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequences import homopolymer
+from seqloom.operators.clustering import folded, ranged
 from seqloom.operators.evidence import all_reasons, first_reason
 from seqloom.operators.intervals import overlap_pairs
 
@@ -348,30 +350,44 @@ def duplicates_resolved(calls: DataFrame, order: list[str]) -> DataFrame:
     return calls.withColumn("_rank", F.row_number().over(Window.partitionBy("chrom", "be1_breakpos").orderBy(*best))).where("_rank = 1").drop("_rank")
 
 
-def cascaded(calls: DataFrame, order: list[str], key: str) -> DataFrame:
-    """key of the calls that a scan in `order` is left with: a call replaces the one held for its chrom and be1_breakpos
-    if it has two ends and that one has not, or more split reads, or more discordant reads, any of the three. A place
-    that the call held last for be2_breakpos is taken over as well. Places of one contig are scanned together; a contig's
-    places are split first where no call links them (be1_breakpos to be2_breakpos within max span), so groups stay small.
+def cascaded(calls: DataFrame, key: str) -> DataFrame:
+    """key of the calls that a scan by chrom, be1_breakpos and key is left with: a call replaces the one held for its
+    be1_breakpos if it has two ends and that one has not, or more split reads, or more discordant reads, any of the
+    three. It is then held for its be2_breakpos as well, whatever was held there. A call held for either place stays.
+
+    The scan is a fold over range partitions that holds open places only: with every call comes the last call that
+    touches each of its places, and behind that the place is closed and what it holds is returned. Calls with a
+    null place or key take no part, null counts are 0, a null chrom is one of its own. key is a text; of calls with one key, those that
+    repeat at a place are scanned by their ends and counts, and the key is returned once.
     """
-    span = F.greatest("be1_breakpos", "be2_breakpos")
-    w = Window.partitionBy("chrom").orderBy(F.least("be1_breakpos", "be2_breakpos"), key)
-    rows = calls.withColumn("_lo", F.least("be1_breakpos", "be2_breakpos")).withColumn("_new", (F.col("_lo") > F.coalesce(F.max(span).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    rows = rows.withColumn("_group", F.sum("_new").over(w))
-
-    def scan(frame):
-        import pandas as pd
-
-        held, rows = {}, frame.sort_values(order).to_dict("records")
-        for row in rows:
-            old = held.get(row["be1_breakpos"])
-            two = row["be1_breakpos"] != row["be2_breakpos"]
-            if old is None or (two and old["be1_breakpos"] == old["be2_breakpos"]) or row["be1_sr_count"] + row["be2_sr_count"] > old["be1_sr_count"] + old["be2_sr_count"] or row["dr_count"] > old["dr_count"]:
-                held[row["be1_breakpos"]] = held[row["be2_breakpos"]] = row
-        return pd.DataFrame({key: sorted({r[key] for r in held.values()})})
-
-    kind = dict(calls.dtypes)[key]
-    return rows.groupBy("chrom", "_group").applyInPandas(scan, f"{key} {kind}")
+    count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    rows = calls.select(
+        F.col("chrom").cast("string").alias("contig"), F.col("be1_breakpos").cast("long").alias("be1"), F.col(key).cast("string").alias("key"), F.col("be2_breakpos").cast("long").alias("be2"),
+        (count("be1_sr_count") + count("be2_sr_count")).alias("sr"), count("dr_count").alias("dr")).where("be1 is not null and be2 is not null and key is not null")
+    touch = F.explode(F.array("be1", "be2")).alias("_place")
+    last = rows.select("contig", touch, "be1", "key").groupBy("contig", "_place").agg(F.max(F.struct("be1", "key")).alias("_last"))
+    for end in ("be1", "be2"):
+        of = last.select(F.col("contig").alias("_contig"), "_place", F.col("_last.be1").alias(f"{end}_pos"), F.col("_last.key").alias(f"{end}_key"))
+        rows = rows.join(of, rows["contig"].eqNullSafe(of["_contig"]) & (rows[end] == of["_place"])).drop("_contig", "_place")
+
+    def closed(held: list, upto: list | None) -> tuple[list, list]:
+        """Places that stay open and the calls of those whose last touch lies before upto (None: all)."""
+        gone = [h for h in held if upto is None or h[1] < upto]
+        return [h for h in held if not (upto is None or h[1] < upto)], [(h[2],) for h in gone]
+
+    def step(state, row):
+        contig, be1, k, be2, sr, dr, pos1, key1, pos2, key2 = row
+        held, out = closed(*((state[1], None) if state and state[0] != contig else (state[1] if state else [], [be1, k])))
+        old, two = next((h for h in held if h[0] == be1), None), be1 != be2
+        if old is None or two and not old[3] or sr > old[4] or dr > old[5]:
+            held = [h for h in held if h[0] not in (be1, be2)]
+            held += [[p, last, k, two, sr, dr] for p, last in {be1: [pos1, key1], be2: [pos2, key2]}.items()]
+        return [contig, held], out
+
+    columns = ["contig", "be1", "key", "be2", "sr", "dr", "be1_pos", "be1_key", "be2_pos", "be2_key"]
+    schema = pa.schema([("key", pa.string())])
+    left = folded(ranged(rows.select(columns), columns), columns, step, schema, lambda state: closed(state[1], None)[1])
+    return left.distinct().withColumnRenamed("key", key)
 
 
 def renamed(calls: DataFrame, names: DataFrame, key: str, label: str) -> DataFrame:

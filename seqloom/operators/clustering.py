@@ -61,8 +61,8 @@ def folded(parts: DataFrame, columns: list[str], step: Callable, schema: pa.Sche
     """Ordered fold over the rows (columns, in their order) of all range partitions: a part streams through one
     task, which holds a state of constant size and no group of rows.
 
-    step(state, row) gives the next state and a row to return or None, close(state) the last row of all; a state is
-    None at first and goes through JSON. Each part's last state enters the next part. Parts run from no state
+    step(state, row) gives the next state and what to return, a row, a list of rows or None, close(state) the last rows
+    of all; a state is None at first and goes through JSON. Each part's last state enters the next part. Parts run from no state
     first, then those whose entering state has changed, until none has; one state a part is gathered for that.
     """
 
@@ -78,7 +78,7 @@ def folded(parts: DataFrame, columns: list[str], step: Callable, schema: pa.Sche
                         part, state = p, json.loads(entering.get(p, "null"))
                     state, made = step(state, row)
                     if made is not None:
-                        rows.append(made)
+                        rows += made if isinstance(made, list) else [made]
                 if last is not None and rows:
                     yield batch_of(rows)
                 rows = []
@@ -87,7 +87,9 @@ def folded(parts: DataFrame, columns: list[str], step: Callable, schema: pa.Sche
             if last is None and ends:
                 yield batch_of(ends)
             if last is not None and part == last and close:
-                yield batch_of([close(state)])
+                made = close(state)
+                if made:
+                    yield batch_of(made if isinstance(made, list) else [made])
 
         return df.repartition("_part").sortWithinPartitions("_part", *columns).select("_part", *columns).mapInArrow(run, kind)
 

@@ -1 +1 @@
-
+"""Event-time streams: sessions whose state expires by watermark."""

@@ -150,7 +150,7 @@ def test_runs_of_21_and_22(spark):
 def test_cascade_of_duplicates(spark):
     kind = "uuid string, chrom string, be1_breakpos long, be2_breakpos long, be1_sr_count int, be2_sr_count int, dr_count int"
     calls = [("a", "x", 10, 10, 5, 0, 9), ("b", "x", 10, 17, 1, 1, 1), ("c", "x", 10, 17, 1, 0, 3), ("d", "x", 50, 50, 1, 0, 1), ("e", "y", 10, 10, 1, 0, 1)]
-    got = callset.cascaded(spark.createDataFrame(calls, kind), ["uuid"], "uuid").collect()
+    got = callset.cascaded(spark.createDataFrame(calls, kind), "uuid").collect()
     assert sorted(r.uuid for r in got) == ["c", "d", "e"]
     best = callset.duplicates_resolved(spark.createDataFrame(calls, kind), ["uuid"]).collect()
     assert sorted(r.uuid for r in best) == ["b", "d", "e"]
