@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import saved, shared_folder
 
+#: So many trees are searched together, from one heap.
+FOREST = 8
 #: Columns of a tree: its number, then arrays as bytes. A node has a centre, a covering radius, its own rows
 #: [own, own_end), its children [child, child_end) and the range of labels below it.
 TREE = "tree int, ids binary, labels binary, vecs binary, nodes binary"
@@ -40,11 +42,11 @@ class Space:
     def __init__(self, longest: int, width: int):
         self.longest, self.width = longest, width
         self.kind = next(k for k in ("<i2", "<i4", "<i8") if math.isqrt(longest) <= np.iinfo(k).max)
-        self.floats = longest < 1 << 52  # inner products are exact in doubles
+        self.number = np.float32 if longest < 1 << 23 else np.float64 if longest < 1 << 52 else np.int64  # in which inner products are exact
 
     def products(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Exact inner products of the rows of x with y (a row, or the columns of a matrix)."""
-        return (x.astype(np.float64) @ y.astype(np.float64)).astype(np.int64) if self.floats else x.astype(np.int64) @ y.astype(np.int64)
+        return (x.astype(self.number) @ y.astype(self.number)).astype(np.int64)
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -58,8 +60,8 @@ class Space:
         low = np.maximum(product - around, (both - (far + radius) ** 2) / 2) - slack
         return low, np.minimum(product + around, (both - np.maximum(0, far - radius) ** 2) / 2) + slack
 
-    def read(self, data, width: int | None = None) -> np.ndarray:
-        return np.frombuffer(data, self.kind).reshape(-1, max(1, self.width))
+    def read(self, data) -> np.ndarray:
+        return np.frombuffer(data, self.kind).reshape(-1, max(1, self.width)).astype(self.number)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -128,43 +130,73 @@ class Best:
             self.low = max(self.low, self.scores[-1])  # an equal score may still have a smaller id
 
 
-def search(space: Space, query: np.ndarray, label: int, same: bool, windows: list[Best], tree: tuple) -> None:
-    """Best-first descent of one tree: rows of the label (same), or of others, are offered to the windows.
-
-    A node waits by its greatest possible product. It is passed over where its bounds leave no window a row better than
-    the window's last, or its labels are none of those asked for.
-    """
-    ids, labels, vecs, nodes, by_children, root_product = tree
-    norm2 = float(query @ query)
-
-    def open_to(low, high):
-        need = np.zeros(np.shape(high), bool)
-        for w in windows:
-            need |= (low <= w.high) & (np.minimum(high, w.high) >= w.low)
-        return need
-
-    low, high = space.bounds(root_product, norm2, nodes["radius"][0])
-    heap = [(-float(high), 0, float(low))]
-    while heap:
-        high, at, low = heapq.heappop(heap)
-        n = nodes[at]
-        if not open_to(low, -high):
-            continue
-        if n["own_end"] > n["own"]:
-            own = slice(n["own"], n["own_end"])
-            mine = (labels[own] == label) == same
-            if mine.any():
-                scores = (vecs[own][mine] @ query).astype(np.int64)
-                for w in windows:
-                    w.offer(scores, ids[own][mine])
-        if n["child_end"] > n["child"]:
-            here = slice(n["child"], n["child_end"])
-            if at not in by_children:
-                by_children[at] = vecs[nodes["centre"][here]]
-            low, high = space.bounds(by_children[at] @ query, norm2, nodes["radius"][here])
-            held = (nodes["low"][here] <= label) & (label <= nodes["high"][here]) if same else (nodes["low"][here] != label) | (nodes["high"][here] != label)
-            for i in np.flatnonzero(held & open_to(low, high)).tolist():
-                heapq.heappush(heap, (-float(high[i]), n["child"] + i, float(low[i])))
+class Forest:
+    """A few trees below one root, which searches descend together."""
+
+    def __init__(self, space: Space, trees: list[dict]):
+        self.space = space
+        parts = [(np.frombuffer(t["ids"], "<i8"), np.frombuffer(t["labels"], "<i8"), space.read(t["vecs"]), np.frombuffer(t["nodes"], NODE)) for t in trees]
+        self.ids, self.labels, self.vecs = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        roots, others, row, slot = [], [], 0, 1 + len(parts)
+        for ids, _, _, nodes in parts:
+            nodes = nodes.copy()
+            for name in ("centre", "own", "own_end"):
+                nodes[name] += row
+            for name in ("child", "child_end"):
+                nodes[name] += slot - 1  # the root's place is among the roots
+            roots.append(nodes[:1])
+            others.append(nodes[1:])
+            row, slot = row + len(ids), slot + len(nodes) - 1
+        top = np.array([(0, 0.0, 0, 0, 1, 1 + len(parts), 0, 0)], NODE)
+        nodes = np.concatenate([top, *roots, *others])
+        self.own, self.children = (list(zip(nodes[a].tolist(), nodes[b].tolist(), strict=True)) for a, b in (("own", "own_end"), ("child", "child_end")))
+        self.centres, self.radius, self.low, self.high = nodes["centre"], nodes["radius"], nodes["low"], nodes["high"]
+        self.below: dict[int, np.ndarray] = {}
+        self.norms: dict[int, set[int]] = {}
+
+    def search(self, query: np.ndarray, label: int, same: bool, windows: list[Best]) -> None:
+        """Best-first descent: rows of the label (same), or of others, are offered to the windows.
+
+        A node waits by its greatest possible product. It is passed over where its bounds leave no window a row better than
+        the window's last, or its labels are none of those asked for.
+        """
+        norm2 = float(query @ query)
+
+        def open_to(low, high):
+            need = np.zeros(np.shape(high), bool)
+            for w in windows:
+                need |= (low <= w.high) & (np.minimum(high, w.high) >= w.low)
+            return need
+
+        heap = [(-np.inf, 0, -np.inf)]
+        while heap:
+            high, at, low = heapq.heappop(heap)
+            if not any(low <= w.high and min(-high, w.high) >= w.low for w in windows):
+                continue
+            first, last = self.own[at]
+            if last > first:
+                scores, least, most = self.vecs[first:last] @ query, min(w.low for w in windows), max(w.high for w in windows)
+                fit = np.flatnonzero((scores >= least) & (scores <= most) & ((self.labels[first:last] == label) == same))
+                if len(fit):
+                    scores, ids = scores[fit].astype(np.int64), self.ids[first:last][fit]
+                    for w in windows:
+                        w.offer(scores, ids)
+            first, last = self.children[at]
+            if last > first:
+                if at not in self.below:
+                    self.below[at] = self.vecs[self.centres[first:last]]
+                low, high = self.space.bounds((self.below[at] @ query).astype(np.float64), norm2, self.radius[first:last])
+                held = (self.low[first:last] <= label) & (label <= self.high[first:last]) if same else (self.low[first:last] != label) | (self.high[first:last] != label)
+                for i in np.flatnonzero(held & open_to(low, high)).tolist():
+                    heapq.heappush(heap, (-float(high[i]), first + i, float(low[i])))
+
+    def equal(self, query: np.ndarray, ids: list[int], scores: list[int]) -> list[bool]:
+        """Whether rows with these ids and products with the query are the query's own vector: then all norms are one."""
+        norm2 = int(query.astype(np.int64) @ query.astype(np.int64))
+        if norm2 in scores and not self.norms:
+            for i, x in zip(self.ids.tolist(), (self.vecs.astype(np.int64) ** 2).sum(1).tolist(), strict=True):
+                self.norms.setdefault(i, set()).add(x)
+        return [x == norm2 and x in self.norms[i] for i, x in zip(ids, scores, strict=True)]
 
 
 def trees_of(rows: DataFrame, space: Space) -> DataFrame:
@@ -181,44 +213,36 @@ def trees_of(rows: DataFrame, space: Space) -> DataFrame:
 
 
 def searched(routed: DataFrame, trees: DataFrame, space: Space, k: int, same: bool, blocks: int) -> DataFrame:
-    """qid, goal, id, score, own: the first k rows of each query and window, of all the trees that it is sent to.
+    """qid, goal, id, score, own: the first k rows of each query and window, of all the forests that it is sent to.
 
-    routed: tree, qid, label, vec (bytes), windows (goal, low, high). A tree meets the queries sent to it block by block.
+    routed: forest, qid, label, vec (bytes), windows (goal, low, high). A forest meets the queries sent to it block by block.
     """
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):
-            one = right.slice(0, 1).to_pylist()[0]
-            exact = np.float64 if space.floats else np.int64
-            vecs = space.read(one["vecs"]).astype(exact)
-            nodes, norms = np.frombuffer(one["nodes"], NODE), (vecs * vecs).sum(1)
-            tree = [np.frombuffer(one["ids"], "<i8"), np.frombuffer(one["labels"], "<i8"), vecs, nodes, {}]
-            norm_of = dict()
+            forest = Forest(space, right.select(["ids", "labels", "vecs", "nodes"]).to_pylist())
             for row in left.to_pylist():
-                query = space.read(row["vec"])[0].astype(exact)
-                windows = [Best(k, w["low"], w["high"]) for w in row["windows"]]
-                search(space, query, row["label"], same, windows, (*tree, float(vecs[nodes["centre"][0]] @ query)))
+                query, windows = space.read(row["vec"])[0], [Best(k, w["low"], w["high"]) for w in row["windows"]]
+                forest.search(query, row["label"], same, windows)
                 for w, best in zip(row["windows"], windows, strict=True):
-                    equal = best.scores == int(query @ query)
-                    if same and equal.any() and not norm_of:
-                        for i, x in zip(tree[0].tolist(), norms.tolist(), strict=True):
-                            norm_of.setdefault(i, set()).add(int(x))
-                    out += [(row["qid"], w["goal"], i, s, bool(same and e and s in norm_of[i])) for i, s, e in zip(best.ids.tolist(), best.scores.tolist(), equal.tolist(), strict=True)]
+                    ids, scores = best.ids.tolist(), best.scores.tolist()
+                    own = forest.equal(query, ids, scores) if same else [False] * len(ids)
+                    out += [(row["qid"], w["goal"], *x) for x in zip(ids, scores, own, strict=True)]
         columns = list(zip(*out, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qid", "goal", "id", "score", "own"])
 
     left = routed.withColumn("block", F.expr(f"cast(pmod(xxhash64(qid), {blocks}) as int)"))
-    right = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("tree", "block").cogroup(right.groupBy("tree", "block")).applyInArrow(look, "qid long, goal long, id long, score long, own boolean")
+    right = trees.withColumns({"forest": F.expr(f"tree div {FOREST}").cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    found = left.groupBy("forest", "block").cogroup(right.groupBy("forest", "block")).applyInArrow(look, "qid long, goal long, id long, score long, own boolean")
     first = Window.partitionBy("qid", "goal").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
 def hard_negatives(
     rows: DataFrame, anchor: Column, id_col: str = "vec_id", vec_col: str = "vec", label_col: str = "label", positives: int = 5, negatives: int = 10,
-    percent: tuple[int, int] = (30, 90), sample: int = 1024, tree_rows: int = 1024, most_cells: int = 256, query_rows: int = 4096,
+    percent: tuple[int, int] = (30, 90), sample: int = 1024, tree_rows: int = 1024, most_cells: int = 256, query_rows: int = 2048,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of integer vectors.
 
@@ -228,7 +252,7 @@ def hard_negatives(
 
     Rows get one more component that gives all the norm of the longest, so that near is a large product. They are
     dealt to the nearest of at most most_cells centres, chosen far apart in a sample of at most `sample` rows; a
-    cell's rows make cover trees of about tree_rows rows, as many as the cell needs. Queries, that is the distinct
+    cell's rows make cover trees of about tree_rows rows, as many as the cell needs; a few trees are searched together. Queries, that is the distinct
     vectors and labels of the anchors, go to the cells whose radius leaves room for a better row than the sample has, and
     descend their trees best first; what they find is ranked over all trees. Every row is in a tree and leaves are
     verified exactly, so nothing is missed whatever the sample. Of equal rows of a label only the smallest ids
@@ -283,7 +307,7 @@ def hard_negatives(
     bounds = spark.sparkContext.broadcast((radius * (1 + 1e-9) + 1e-3, begins, slices, some, some_labels))
 
     def route(k: int, same: bool):
-        """Queries with windows, to every tree of the cells that can better what the sample has."""
+        """Queries with windows, to every forest with trees of the cells that can better what the sample has."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             radius, begins, slices, some, some_labels = bounds.value
@@ -305,14 +329,14 @@ def hard_negatives(
                             windows.append({"goal": goal, "low": first, "high": last})
                             need |= (low <= last) & (high >= first)
                     if windows:
-                        at = np.concatenate([np.empty(0, np.int64), *[np.arange(begins[c], begins[c] + slices[c]) for c in np.flatnonzero(need)]])
-                        out.append((batch["qid"][i].as_py(), int(labels[i]), x[i].astype(space.kind).tobytes(), windows, at.tolist()))
+                        at = {f for c in np.flatnonzero(need).tolist() for f in range(begins[c] // FOREST, (begins[c] + slices[c] - 1) // FOREST + 1) if slices[c]}
+                        out.append((batch["qid"][i].as_py(), int(labels[i]), x[i].astype(space.kind).tobytes(), windows, sorted(at)))
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.binary(), kind, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qid", "label", "vec", "windows", "trees"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qid", "label", "vec", "windows", "forests"])
 
-        of_route = "qid long, label long, vec binary, windows array<struct<goal: bigint, low: bigint, high: bigint>>, trees array<int>"
-        return lambda q: q.select("qid", "label", "vec", "goals").mapInArrow(send, of_route).select("qid", "label", "vec", "windows", F.explode("trees").alias("tree"))
+        of_route = "qid long, label long, vec binary, windows array<struct<goal: bigint, low: bigint, high: bigint>>, forests array<int>"
+        return lambda q: q.select("qid", "label", "vec", "goals").mapInArrow(send, of_route).select("qid", "label", "vec", "windows", F.explode("forests").alias("forest"))
 
     nearest = searched(route(positives + 1, True)(queries.withColumn("goals", F.array(F.lit(0).cast("long")))), trees, space, positives + 1, True, blocks)
     nearest = nearest.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score", "own"))).alias("near"))  # a query's first few
