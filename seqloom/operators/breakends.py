@@ -9,6 +9,7 @@ from seqloom.functions import sequences as seqs
 from seqloom.operators.alignments import DUPLICATE, UNMAPPED, clip, has
 from seqloom.operators.evidence import of_every_sample
 from seqloom.operators.intervals import overlap_pairs
+from seqloom.operators.sweeps import without_overlap
 
 
 def break_groups(members: DataFrame) -> DataFrame:
@@ -96,9 +97,9 @@ def genome_windows(contigs: DataFrame, n: int, pad: int = 0, order: str = "ordin
     return cut.select("contig", "window", F.greatest(s - pad, F.lit(0)).alias("s"), F.least(e + pad, "length").alias("e"))
 
 
-def not_in_targets(clusters: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+def not_in_targets(clusters: DataFrame, targets: DataFrame) -> DataFrame:
     """Clusters that overlap no target."""
-    return clusters.join(overlap_pairs(clusters, targets.select("contig", "s", "e")).select(key).distinct(), key, "left_anti")
+    return without_overlap(clusters, targets)
 
 
 def annotated_records(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:

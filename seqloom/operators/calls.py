@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.clustering import gap_clusters, ranged, with_previous
-from seqloom.operators.intervals import overlap_pairs
+from seqloom.operators.sweeps import any_overlap
 
 
 def strand_switch_clusters(reads: DataFrame, spacing: int, key: str = "id") -> DataFrame:
@@ -57,10 +57,9 @@ def pileup_majority(seqs: DataFrame, least_depth: int) -> DataFrame:
 
 def near_known(reads: DataFrame, known: DataFrame, key: str, pad: int) -> DataFrame:
     """key, near: whether a known interval lies within pad of the row; true as well on contigs without any."""
-    hit = overlap_pairs(reads.select(key, "contig", "s", "e"), known.select("contig", "s", "e"), pad=pad).select(key).distinct().withColumn("_hit", F.lit(True))
     seen = known.select("contig").distinct().withColumn("_seen", F.lit(True))
-    rows = reads.select(key, "contig").join(hit, key, "left").join(seen, "contig", "left")
-    return rows.select(key, (F.col("_hit").isNotNull() | F.col("_seen").isNull()).alias("near"))
+    rows = any_overlap(reads.select(key, "contig", "s", "e"), known, pad=pad, name="_hit").join(seen, "contig", "left")
+    return rows.select(key, (F.col("_hit") | F.col("_seen").isNull()).alias("near"))
 
 
 def run_times(started: DataFrame, finished: DataFrame, key: str) -> DataFrame:

@@ -16,6 +16,7 @@ from seqloom.functions.sequences import homopolymer
 from seqloom.operators.clustering import folded, ranged
 from seqloom.operators.evidence import all_reasons, first_reason
 from seqloom.operators.intervals import overlap_pairs
+from seqloom.operators.sweeps import any_overlap
 
 #: Columns that change places when a call's ends do.
 ENDS = [
@@ -429,9 +430,10 @@ def near_family(calls: DataFrame, known: DataFrame, key: str, families: str, pad
     """key, near: whether a known element (contig, s, e, family, divergence) of one of the call's families (joined by
     commas) lies within pad of it; true as well on contigs that the table does not have."""
     rows = known if most_divergence is None else known.where(F.col("divergence") < most_divergence)
-    left = calls.select(key, "contig", "s", "e", F.split(families, ",").alias("_families"))
-    hit = overlap_pairs(left, rows.select("contig", "s", "e", F.col("family").alias("_family")), pad=pad).where(F.array_contains("_families", F.col("_family")))
-    hit = hit.select(key).distinct().withColumn("_hit", F.lit(True))
+    left = calls.select(key, "contig", "s", "e", families)
+    each = left.withColumn("_family", F.explode(F.split(families, ",")))
+    hit = any_overlap(each.select(key, "contig", "s", "e", "_family"), rows.withColumn("_family", F.col("family")), ("contig", "_family"), pad, "_hit")
+    hit = hit.where("_hit").select(key).distinct().withColumn("_hit", F.lit(True))
     seen = known.select(F.col("contig").alias("_contig")).distinct().withColumn("_seen", F.lit(True))
     out = left.join(hit, key, "left").join(seen, left["contig"].eqNullSafe(seen["_contig"]), "left")
     return out.select(key, (F.col("_hit").isNotNull() | F.col("_seen").isNull()).alias("near"))

@@ -52,11 +52,6 @@ def first_hit(left: DataFrame, right: DataFrame, key: str, order: list[str]) ->
     return overlap_pairs(left, right).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def without_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left rows that overlap no right row (a mask)."""
-    return left.join(overlap_pairs(left, right).select(key).distinct(), key, "left_anti")
-
-
 def track_mean(left: DataFrame, track: DataFrame, key: str, score: str) -> DataFrame:
     """key, mean: per-base mean of the track's score over each left interval, 0.0 where nothing covers it."""
     n = covered_bases(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e"))
@@ -69,10 +64,3 @@ def annotated(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFr
     """key, annotation: distinct labels of overlapping rows in order, joined by commas; NA for none."""
     met = overlap_pairs(left, right).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(label)), ",").alias("_a"))
     return left.select(key).join(met, key, "left").select(key, F.coalesce("_a", F.lit("NA")).alias("annotation"))
-
-
-def drop_weaker(df: DataFrame, key: str, weight: str, window: int) -> DataFrame:
-    """Rows of which no other within the window of their extent weighs strictly more; ties keep both."""
-    other = df.select("contig", "s", "e", F.col(key).alias("_key"), F.col(weight).alias("_weight"))
-    beaten = overlap_pairs(df, other, pad=window).where(F.col("_weight") > F.col(weight)).select(key).distinct()
-    return df.join(beaten, key, "left_anti")

@@ -10,6 +10,7 @@ from seqloom.adapters import table
 from seqloom.operators import alignments as aln
 from seqloom.operators import breakends as brk
 from seqloom.operators import callset, clustering, evidence
+from seqloom.operators.sweeps import any_overlap
 from seqloom.plans.catalogue import discordant
 from seqloom.plans.records import query
 
@@ -54,10 +55,10 @@ FINAL = f"""x1 AS (SELECT uuid, super = 'NA' AS unknown, mappability, tsd3, conc
     CASE WHEN q % 5 <> 0 AND (CASE WHEN super = 'L1' THEN 6000 ELSE 300 END - te_e) / CASE WHEN super = 'L1' THEN 6000.0 ELSE 300.0 END > 0.9 THEN 'FracEnd' END, CASE WHEN n > 5 THEN 'MaxVars' END) AS t FROM final)"""
 
 
-def judged(spark, sf_dir, extra=()) -> DataFrame:
+def judged(spark, sf_dir, extra=(), rows=None) -> DataFrame:
     limits = callset.Limits(te_length=30, vaf=0.25, frac_end=0.9, variants=5)
     suppkey = F.substring_index("UUID", "-", -1).cast("double")
-    return callset.final_filter(adapters.calls(spark, sf_dir), elements(spark, sf_dir), limits, suppkey / 100 - F.floor(suppkey / 100), F.col("TSD_3prime"), list(extra))
+    return callset.final_filter(adapters.calls(spark, sf_dir) if rows is None else rows, elements(spark, sf_dir), limits, suppkey / 100 - F.floor(suppkey / 100), F.col("TSD_3prime"), list(extra))
 
 
 @query(FINAL + """ SELECT uuid, CASE WHEN unknown THEN 'UnknownInsType' WHEN t <> '' THEN t WHEN mappability < 0.5 THEN 'LowMap'
@@ -66,11 +67,14 @@ def final_filter(spark, sf_dir):
     return judged(spark, sf_dir).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
 
 
-@query(FINAL + """, x2 AS (SELECT uuid, unknown, mappability, tsd3, concat_ws(',', CASE WHEN t <> '' THEN t END, CASE WHEN p % 10 = 3 THEN 'PositionFilter' END, CASE WHEN (n % 2 = 0) <> (p % 2 = 0) THEN 'NoOrient' END) AS t FROM x1 JOIN (SELECT DISTINCT uuid, n, p FROM final) USING (uuid))
+@query(FINAL + """, x2 AS (SELECT uuid, unknown, mappability, tsd3, concat_ws(',', CASE WHEN t <> '' THEN t END, CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.tid % 5 = y.s % 5 AND t.s < y.o * 10 + y.q * 20 AND y.o * 10 < t.e) THEN 'PositionFilter' END, CASE WHEN (n % 2 = 0) <> (p % 2 = 0) THEN 'NoOrient' END) AS t FROM x1 JOIN (SELECT DISTINCT uuid, n, p, o, q, s FROM final) y USING (uuid))
 SELECT uuid, CASE WHEN unknown THEN 'UnknownInsType' WHEN t <> '' THEN t WHEN mappability < 0.5 THEN 'LowMap' WHEN regexp_matches(tsd3, 'A{22}') THEN 'HomopolSite' ELSE 'PASS' END AS filter FROM x2""")
 def general_filter(spark, sf_dir):
-    at = F.get(F.split("UUID", "-"), F.lit(2)).cast("int") % 10 == 3
-    return judged(spark, sf_dir, [("PositionFilter", at), ("NoOrient", F.col("Orient_5p") != F.col("Orient_3p"))]).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
+    """Tracks of positions to leave out: the targets, by the last digit of their number on the calls' chromosomes."""
+    track = adapters.targets(spark, sf_dir).select(F.concat(F.lit("chr"), (F.col("tid") % 5).cast("string")).alias("contig"), "s", "e")
+    rows = adapters.calls(spark, sf_dir).withColumns({"contig": F.col("Chromosome"), "s": F.col("Left_Extreme").cast("long"), "e": F.col("Right_Extreme").cast("long")})
+    rows = any_overlap(rows, track, name="listed")
+    return judged(spark, sf_dir, [("PositionFilter", F.col("listed")), ("NoOrient", F.col("Orient_5p") != F.col("Orient_3p"))], rows).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
 
 
 SPECIES = """x1 AS (SELECT uuid, concat_ws(',', CASE WHEN cons5 < 120 AND cons3 < 120 THEN 'ShortConsensus' END, CASE WHEN {m} < {elt} THEN 'EltMatch' END, CASE WHEN {g} < 0.98 THEN 'GenomeMatch' END,
@@ -207,7 +211,7 @@ x3 AS (SELECT contig, first(id ORDER BY s, id) AS cluster, min(s) AS s, max(e) A
 SELECT contig, cluster, s, e FROM x3 c WHERE NOT EXISTS (SELECT 1 FROM targets t WHERE c.contig = t.contig AND c.s < t.e AND t.s < c.e)""")
 def clusters_outside_targets(spark, sf_dir):
     clusters = clustering.gap_clusters(discordant(spark, sf_dir), 250).groupBy("contig", "cluster").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return brk.not_in_targets(clusters, adapters.targets(spark, sf_dir), "cluster").select("contig", "cluster", "s", "e")
+    return brk.not_in_targets(clusters, adapters.targets(spark, sf_dir)).select("contig", "cluster", "s", "e")
 
 
 @query("""x1 AS (SELECT *, CASE WHEN s - lag(e) OVER w <= 2500 THEN 0 ELSE 1 END AS new FROM reads WINDOW w AS (PARTITION BY contig ORDER BY s, id)), x2 AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY s, id) AS k FROM x1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqloom import adapters
 from seqloom.adapters import table
 from seqloom.functions import sequences as seqs
-from seqloom.operators import clustering, evidence, intervals, outliers
+from seqloom.operators import clustering, evidence, intervals, outliers, sweeps
 from seqloom.sources import text
 
 DISTANT = 10_000
@@ -83,7 +83,7 @@ def anchored_reads_first_hit(spark, sf_dir):
 
 @query("SELECT id, contig, s FROM reads r WHERE NOT EXISTS (SELECT 1 FROM targets t WHERE r.contig = t.contig AND r.s < t.e AND t.s < r.e)")
 def mask_anti_join(spark, sf_dir):
-    return intervals.without_overlap(adapters.reads(spark, sf_dir), adapters.targets(spark, sf_dir), "id").select("id", "contig", "s")
+    return sweeps.without_overlap(adapters.reads(spark, sf_dir).select("id", "contig", "s", "e"), adapters.targets(spark, sf_dir)).select("id", "contig", "s")
 
 
 @query("""x1 AS (SELECT tid, CASE WHEN r.s = 0 THEN 0 ELSE greatest(0, least(r.e, t.e) - greatest(r.s + 1, t.s) + 1) END AS k, mapq
@@ -104,7 +104,7 @@ def annotate_intervals(spark, sf_dir):
 @query("""SELECT id, contig, s, e, mapq FROM reads a WHERE NOT EXISTS (
   SELECT 1 FROM reads b WHERE a.contig = b.contig AND a.s - 500 < b.e AND b.s < a.e + 500 AND b.mapq > a.mapq)""")
 def drop_weaker_neighbours(spark, sf_dir):
-    return intervals.drop_weaker(adapters.reads(spark, sf_dir).select("id", "contig", "s", "e", "mapq"), "id", "mapq", 500)
+    return sweeps.drop_weaker(adapters.reads(spark, sf_dir).select("id", "contig", "s", "e", "mapq"), "id", "mapq", 500)
 
 
 GENOTYPES = """x1 AS (

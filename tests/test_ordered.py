@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import callset
+from seqloom.operators import callset, sweeps
 from seqloom.streaming.sessions import SessionStream, sessions
 
 EVENTS = "id long, user long, at timestamp, value double"
@@ -75,3 +75,49 @@ def test_cascade(spark, seed, parts):
     got = callset.cascaded(spark.createDataFrame(calls + extra, CALLS).repartition(parts), "uuid").collect()
     assert sorted(x.uuid for x in got) == sorted({c[0] for c in held.values()})
     assert callset.cascaded(spark.createDataFrame([], CALLS), "uuid").count() == 0
+
+
+def spread(n, seed, reach=2000, longest=90):
+    r = random.Random(seed)
+    rows = [(i, r.choice(["x", "y", None]), s := r.randrange(reach), s + r.choice([0, 1, r.randrange(1, longest)]), r.randrange(6)) for i in range(n)]
+    return rows + [(n, "x", None, 5, 1), (n + 1, "x", 5, None, 1), (n + 2, "x", 0, reach, 0)]
+
+
+ROWS = "id long, contig string, s long, e long, w int"
+
+
+@pytest.mark.parametrize("seed,parts,pad", [(1, 1, 0), (2, 8, 0), (3, 8, 7)])
+def test_any_overlap(spark, seed, parts, pad):
+    a, b = spread(300, seed), spread(60, seed + 9, longest=20)[:-1] + [(99, "x", 700, 701, 3)] * 40
+    hit = lambda r: any(None not in (*r[1:4], *o[1:4]) and r[1] == o[1] and r[2] - pad < o[3] and o[2] < r[3] + pad for o in b)
+    left, right = spark.createDataFrame(a + a[:20], ROWS).repartition(parts), spark.createDataFrame(b, ROWS)
+    got = sweeps.any_overlap(left, right, pad=pad).collect()
+    assert sorted((r.id, r.hit) for r in got) == sorted((r[0], hit(r)) for r in a + a[:20])
+    by_weight = sweeps.any_overlap(left, right.withColumn("w", F.col("w").cast("long")), ("contig", "w"), pad).collect()
+    of = lambda r: any(r[4] == o[4] and None not in (*r[1:4], *o[1:4]) and r[1] == o[1] and r[2] - pad < o[3] and o[2] < r[3] + pad for o in b)
+    assert sorted((r.id, r.hit) for r in by_weight) == sorted((r[0], of(r)) for r in a + a[:20])
+    assert sweeps.without_overlap(left, right.where("false")).count() == len(a) + 20
+
+
+@pytest.mark.parametrize("seed,parts,window", [(1, 1, 10), (2, 8, 50), (3, 8, 1), (4, 8, 0)])
+def test_drop_weaker(spark, seed, parts, window):
+    a = [r for r in spread(200, seed)]
+    def weaker(r):
+        return any(None not in (*r[1:4], *o[1:4]) and r[1] == o[1] and r[2] - window < o[3] and o[2] < r[3] + window and o[4] > r[4] for o in a)
+    got = sweeps.drop_weaker(spark.createDataFrame(a, ROWS).repartition(parts), "id", "w", window).collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in a if not weaker(r))
+
+
+def test_a_hot_place_is_spread(spark):
+    """Half of all rows at one place and one weight: no part has more than a few times its share."""
+    rows = spark.range(8000).selectExpr("id", "'x' as contig", "if(id % 2 = 0, 500, id) as s", "if(id % 2 = 0, 500, id) + 3 as e", "cast(id % 5 as int) as w")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        parts = sweeps.ranged(rows.withColumn("_tie", F.xxhash64("id")), ["contig", "s", "_tie"]).groupBy("_part").count().collect()
+        assert max(r["count"] for r in parts) < 4 * 8000 / 16
+        assert sweeps.drop_weaker(rows, "id", "w", 2).where("s = 500 and w < 4").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
