@@ -12,6 +12,8 @@ from seqloom.functions.sequences import region_text
 from seqloom.scratch import saved
 from seqloom.sources.text import read_fasta, write_table
 
+#: Formats whose rows bring their file.
+INDEXED = {"bam", "tabix", "fasta", "bigwig"}
 #: Columns of the gene table in order.
 GENE = "bin name chrom strand tx_start tx_end cds_start cds_end exon_count exon_starts exon_ends score name2 cds_start_stat cds_end_stat exon_frames".split()
 #: What the four kinds of lines of a run log look like.
@@ -23,8 +25,12 @@ LOG = {
 
 def fields(spark: SparkSession, path: str, sep: str = r"\t", comment: str = "#") -> DataFrame:
     """c: the fields of each line that is neither empty nor a comment."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.where(~F.startswith("value", F.lit(comment))).select(F.split(F.trim("value") if sep == r"\s+" else F.col("value"), sep).alias("c"))
+    return fields_of(spark.read.text(path), sep, comment)
+
+
+def fields_of(lines: DataFrame, sep: str = r"\t", comment: str = "#") -> DataFrame:
+    rows = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit(comment)))
+    return rows.withColumn("c", F.split(F.trim("value") if sep == r"\s+" else F.col("value"), sep)).drop("value")
 
 
 def at(i: int, kind: str = "string") -> Column:
@@ -32,29 +38,62 @@ def at(i: int, kind: str = "string") -> Column:
     return got if kind == "string" else got.try_cast(kind)
 
 
-def read_samples(spark: SparkSession, spec: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """Union of the tables that spec names, with their file name (without ending) as sample: paths joined by commas, or a
-    .txt file with a path a line. The list is small; it is all that the driver reads."""
-    paths = [r.value.strip() for r in spark.read.text(spec).collect() if r.value.strip()] if spec.endswith(".txt") else spec.split(",")
-    tables = [read(p).withColumn("sample", F.lit(p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])) for p in paths]
-    whole = tables[0]
-    for df in tables[1:]:
-        whole = whole.unionByName(df)
-    return whole
+def listed(spark: SparkSession, spec: str) -> list[tuple[str, str]]:
+    """(path, sample) of what spec names: paths joined by commas, or a .txt file with a path a line. The sample is the
+    file's name without its ending. The list is all that the driver reads; a path that is named twice counts once."""
+    paths = [r.value for r in spark.read.text(spec).collect()] if spec.endswith(".txt") else spec.split(",")
+    return [(p, p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]) for p in dict.fromkeys(x.strip() for x in paths) if p]
+
+
+def read_samples(spark: SparkSession, spec: str, read: Callable[[DataFrame], DataFrame] | None = None, form: str = "parquet", **options: str) -> DataFrame:
+    """The rows of all files that spec names (see listed), each with its sample: one scan of any number of files, whose
+    paths meet the list of names.
+
+    form is that of spark.read; a path is a file, or a folder of files. read makes rows of what is read (with its column sample); rows of
+    one of the indexed sources bring their file, as it was named. Empty files give no rows.
+    """
+    named = listed(spark, spec)
+    if not named:
+        raise ValueError(f"{spec} names no file")
+    reader = spark.read.format(form).options(**options)
+    if form in INDEXED:
+        rows, here = reader.load(",".join(p for p, _ in named)), [F.col("file")]
+        names = spark.createDataFrame(named, "_path string, sample string")
+    else:
+        rows, at = reader.load([p for p, _ in named]), plain(F.col("_metadata.file_path"))
+        rows = rows.select("*", at.alias("_file"))
+        here = [F.col("_file"), F.regexp_replace("_file", "/[^/]*$", "")]
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        conf = spark._jsc.hadoopConfiguration()
+        full = [(path(p).getFileSystem(conf).makeQualified(path(p)).toUri().toString(), sample) for p, sample in named]
+        names = spark.createDataFrame(full, "_path string, sample string").select(plain(F.col("_path")).alias("_path"), "sample")
+    for k, key in enumerate(here):
+        rows = rows.join(names.select(F.col("_path").alias(f"_path{k}"), F.col("sample").alias(f"_sample{k}")), key == F.col(f"_path{k}"), "left")
+    rows = rows.withColumn("sample", F.coalesce(*[f"_sample{k}" for k in range(len(here))])).drop("_file", *[f"{c}{k}" for k in range(len(here)) for c in ("_path", "_sample")])
+    return read(rows) if read else rows
+
+
+def plain(path: Column) -> Column:
+    """A path as file systems write it, whether with one slash behind its scheme or three; a trailing one goes."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "file:/"), "/+$", "")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text: qname, flag, contig, s, e (half-open, 0-based; null where unmapped), mapq, cigar, mate_contig,
+    return sam_rows(spark.read.text(path))
+
+
+def sam_rows(lines: DataFrame) -> DataFrame:
+    """Alignments of lines (value) of SAM text, with their sample if they have one: qname, flag, contig, s, e (half-open, 0-based; null where unmapped), mapq, cigar, mate_contig,
     mate_s, tlen, seq, qual, tags (map)."""
-    rows = fields(spark, path, comment="@").where(F.size("c") >= 11)
+    rows = fields_of(lines, comment="@").where(F.size("c") >= 11)
     star = lambda c: F.nullif(c, F.lit("*"))
     span = F.aggregate(F.transform(F.regexp_extract_all(at(5), F.lit(r"(\d+)[MDN=X]")), lambda v: v.cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
     s = F.nullif(at(3, "bigint"), F.lit(0)) - 1
-    tags = F.transform(F.filter(F.slice("c", 12, 10_000), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, F.lit(6), F.length(x))))
+    tags = F.transform(F.filter(F.slice(F.col("c"), 12, F.greatest(F.size("c"), F.lit(1))), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, F.lit(6), F.length(x))))
     mate = F.when(at(6) == "=", star(at(2))).otherwise(star(at(6)))
     return rows.select(
         at(0).alias("qname"), at(1, "int").alias("flag"), star(at(2)).alias("contig"), s.alias("s"), (s + F.when(at(5) != "*", span)).alias("e"), at(4, "int").alias("mapq"), star(at(5)).alias("cigar"),
-        mate.alias("mate_contig"), (F.nullif(at(7, "bigint"), F.lit(0)) - 1).alias("mate_s"), at(8, "bigint").alias("tlen"), star(at(9)).alias("seq"), star(at(10)).alias("qual"), F.map_from_entries(tags).alias("tags"))
+        mate.alias("mate_contig"), (F.nullif(at(7, "bigint"), F.lit(0)) - 1).alias("mate_s"), at(8, "bigint").alias("tlen"), star(at(9)).alias("seq"), star(at(10)).alias("qual"), F.map_from_entries(tags).alias("tags"), *[c for c in rows.columns if c == "sample"])
 
 
 def read_pileup(spark: SparkSession, path: str) -> DataFrame:

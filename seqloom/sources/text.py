@@ -26,7 +26,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     cols = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("value not like '#%'").select(cols.alias("c"))
     s, e = (F.expr(f"try_cast(try_element_at(c, {i}) as bigint)") for i in (2, 3))
-    return rows.select(F.col("c")[0].alias("contig"), s.alias("s"), e.alias("e"), F.slice("c", 4, 1000).alias("extra")).where("s is not null and e is not null and s <= e")
+    return rows.select(F.col("c")[0].alias("contig"), s.alias("s"), e.alias("e"), F.slice(F.col("c"), 4, F.greatest(F.size("c"), F.lit(1))).alias("extra")).where("s is not null and e is not null and s <= e")
 
 
 def read_fai(spark: SparkSession, path: str, skip: list[str] | None = None, longer_than: int = 0) -> DataFrame:

@@ -49,7 +49,7 @@ def test_lists_and_logs(spark, tmp_path):
     a, b = genome.read_table_twice(spark, put("t", "a\tb\nNA\t1\n"))
     assert rows(a) == [(None, "1")] and rows(b) == [("NA", "1")]
     listed = put("many.txt", put("x.bed", "c 1 2\n") + "\n")
-    assert [r["sample"] for r in genome.read_samples(spark, listed, lambda p: text.read_bed(spark, p)).collect()] == ["x"]
+    assert [(r["value"], r["sample"]) for r in genome.read_samples(spark, listed, form="text").collect()] == [("c 1 2", "x")]
 
 
 def test_repeats_and_genes(spark, tmp_path):
