@@ -8,6 +8,7 @@ are ignored; names that begin with an underscore are taken by these operators.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 
@@ -155,24 +156,57 @@ def overlap_dedup(df: DataFrame, key: str = "id") -> DataFrame:
     return folded(ranged(df.select(columns), columns), columns, step, schema, result)
 
 
-def greedy_pairs(pairs: DataFrame, folder: str | None = None) -> DataFrame:
-    """One-to-one pairs (a, b, score) by falling score (ties: least a, then b), each end used once.
+def greedy_pairs(pairs: DataFrame, folder: str | None = None, place: list[str] | None = None) -> DataFrame:
+    """One-to-one pairs (a, b, score) by falling score (ties: least a, then b), each a and each b used once; pairs with
+    a null among them take no part, of repeated pairs one is taken.
 
-    Mutual best pairs are taken and their ends' other pairs dropped until none is left, which gives the same
-    pairs as the greedy scan; every round is two aggregations and two anti joins by end.
+    Pairs are dealt by range of `place` (columns by which pairs with common ends are near each other; by default a),
+    and each part is scanned once by falling score. A pair is decided where it stands if its ends have no pairs in other
+    parts, or if it is the best that those ends have anywhere; else it waits, and with it all later pairs of its
+    ends in its part. What waits is dealt anew, less the pairs whose ends have been taken elsewhere. A chain of any
+    length within a part takes one round; rounds grow with the number of parts that a chain runs through at most.
     """
-    folder = folder or shared_folder(pairs.sparkSession)
-    left, taken, k = saved(pairs.select("a", "b", "score"), folder, "left0"), None, 0
-    while not left.isEmpty():
+    folder, place = folder or shared_folder(pairs.sparkSession), place or ["a"]
+    left = pairs.select("a", "b", "score", F.struct(*place).alias("_place")).where("a is not null and b is not null and score is not null")
+    number = dict(left.dtypes)["score"]
+    kind = f"a {dict(left.dtypes)['a']}, b {dict(left.dtypes)['b']}, score {number}, _place {left.schema['_place'].dataType.simpleString()}, taken boolean"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, used, waiting = None, (set(), set()), (set(), set())
+        for batch in batches:
+            keep, taken = [], []
+            for i, (p, a, b, sure_a, sure_b) in enumerate(zip(*(batch[c].to_pylist() for c in ("_part", "a", "b", "_sure_a", "_sure_b")), strict=True)):
+                if p != part:
+                    part, used, waiting = p, (set(), set()), (set(), set())
+                if a in used[0] or b in used[1]:
+                    continue
+                decided = a not in waiting[0] and b not in waiting[1] and sure_a and sure_b
+                for ends in (used if decided else waiting,):
+                    ends[0].add(a)
+                    ends[1].add(b)
+                keep.append(i)
+                taken.append(decided)
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept[c] for c in ("a", "b", "score", "_place")] + [pa.array(taken, pa.bool_())], names=["a", "b", "score", "_place", "taken"])
+
+    done, k = [], 0
+    while True:
+        parts = saved(left.repartitionByRange("_place", "a", "b").withColumn("_part", F.spark_partition_id()), folder, f"dealt{k}")
         rank = F.struct(F.col("score"), -F.col("a"), -F.col("b"))
-        best_a = left.groupBy("a").agg(F.max(rank).alias("ra"))
-        best_b = left.groupBy("b").agg(F.max(rank).alias("rb"))
-        best = left.withColumn("r", rank).join(best_a, "a").join(best_b, "b").where("r = ra and r = rb").select("a", "b", "score")
-        best = saved(best, folder, f"best{k}")
-        taken = best if taken is None else taken.unionByName(best)
-        k += 1
-        left = saved(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").select("a", "b", "score"), folder, f"left{k}")
-    return taken if taken is not None else left
+        known = parts
+        for end in ("a", "b"):
+            of = parts.groupBy(F.col(end).alias("_end")).agg((F.min("_part") == F.max("_part")).alias("_whole"), F.max(rank).alias("_best"))
+            known = known.join(of, known[end] == of["_end"]).withColumn(f"_sure_{end}", F.col("_whole") | (rank == F.col("_best"))).drop("_end", "_whole", "_best")
+        scanned = known.repartition("_part").sortWithinPartitions("_part", F.desc("score"), "a", "b").select("_part", "a", "b", "score", "_place", "_sure_a", "_sure_b").mapInArrow(scan, kind)
+        scanned = saved(scanned, folder, f"scanned{k}")
+        taken, k = scanned.where("taken"), k + 1
+        done.append(taken.select("a", "b", "score"))
+        left = scanned.where("not taken").drop("taken")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        for end in ("a", "b"):
+            left = left.join(taken.select(end), end, "left_anti")
+        left = left.select("a", "b", "score", "_place")
 
 
 def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -173,14 +173,14 @@ def pair_scores(spark, sf_dir) -> DataFrame:
     right = ends.where("dir = 'right'").select("contig", "s", "e", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("s0").alias("bs0"), F.col("e0").alias("be0"))
     met = intervals.overlap_pairs(left, right, pad=100).where("abs(s - r_s) <= 100")
     overlap = F.greatest(F.lit(0), F.least("ae0", "be0") - F.greatest("as0", "bs0")).cast("double")
-    return met.select("a", "b", F.round(seqs.breakend_score(F.abs(F.col("s") - F.col("r_s")).cast("double"), overlap, F.col("n1"), F.col("n2")), 6).alias("score"))
+    return met.select("contig", "s", "a", "b", F.round(seqs.breakend_score(F.abs(F.col("s") - F.col("r_s")).cast("double"), overlap, F.col("n1"), F.col("n2")), 6).alias("score"))
 
 
 @query("""x1 AS (SELECT a.id AS a, b.id AS b, abs(a.pos - b.pos)::DOUBLE AS dist, greatest(0, least(a.e, b.e) - greatest(a.s, b.s))::DOUBLE AS ov, a.n AS n1, b.n AS n2
   FROM breakends a JOIN breakends b ON a.contig = b.contig AND a.dir = 'left' AND b.dir = 'right' AND abs(a.pos - b.pos) <= 100)
 SELECT a, b, round(CASE WHEN ov > 0 THEN pow(ov, 1.5) * exp(-ov / 3) / (1.329340388179137 * pow(3, 2.5)) * ov * ov - abs(dist - ov) ELSE -dist END + n1 + n2, 6)::DOUBLE AS score FROM x1""")
 def breakend_pair_scores(spark, sf_dir):
-    return pair_scores(spark, sf_dir)
+    return pair_scores(spark, sf_dir).select("a", "b", "score")
 
 
 @query("""x1 AS (SELECT a.id AS a, b.id AS b, abs(a.pos - b.pos)::DOUBLE AS dist, greatest(0, least(a.e, b.e) - greatest(a.s, b.s))::DOUBLE AS ov, a.n AS n1, b.n AS n2
@@ -192,7 +192,7 @@ x4(k, used, taken) AS (
   SELECT x3.k, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE list_concat(used, [a, b]) END, NOT (list_contains(used, a) OR list_contains(used, b)) FROM x4 JOIN x3 ON x3.k = x4.k + 1)
 SELECT a, b, score FROM x3 JOIN x4 USING (k) WHERE taken""")
 def breakend_greedy_pairs(spark, sf_dir):
-    return clustering.greedy_pairs(pair_scores(spark, sf_dir))
+    return clustering.greedy_pairs(pair_scores(spark, sf_dir), place=["contig", "s"])
 
 
 @query("""x1 AS (SELECT id, contig, s AS pos, ((s + e) / 2)::DOUBLE AS m, row_number() OVER (PARTITION BY contig ORDER BY s, id) AS k FROM reads),

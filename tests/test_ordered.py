@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import callset, sweeps
+from seqloom.operators import callset, clustering, sweeps
 from seqloom.streaming.sessions import SessionStream, sessions
 
 EVENTS = "id long, user long, at timestamp, value double"
@@ -121,3 +121,39 @@ def test_a_hot_place_is_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def greedy(pairs):
+    used, out = (set(), set()), []
+    for score, a, b in sorted((-s, a, b) for a, b, s in pairs if None not in (a, b, s)):
+        if a not in used[0] and b not in used[1]:
+            used[0].add(a)
+            used[1].add(b)
+            out.append((a, b, -score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_greedy_pairs(spark, seed):
+    r = random.Random(seed)
+    pairs = [(a := r.randrange(80), a + r.randrange(-6, 7), r.randrange(20) / 4) for _ in range(500)] + [(None, 1, 9.0), (1, None, 9.0), (1, 1, None)]
+    want = greedy(pairs)
+    df = spark.createDataFrame(pairs + pairs[:30], "a long, b long, score double")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, clustering.greedy_pairs(df).collect())) == want  # over six parts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, clustering.greedy_pairs(df).collect())) == want
+
+
+@pytest.mark.parametrize("n", [24, 3000])
+def test_greedy_rounds_do_not_grow_with_a_chain(spark, tmp_path, n):
+    chain = [(i // 2, (i + 1) // 2, float(n - i)) for i in range(n)]  # every pair shares an end with the one before, which is better
+    got = clustering.greedy_pairs(spark.createDataFrame(chain, "a long, b long, score double"), f"file://{tmp_path}")
+    assert sorted(map(tuple, got.collect())) == greedy(chain)
+    assert len(list(tmp_path.glob("scanned*"))) <= 2
