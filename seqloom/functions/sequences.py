@@ -183,3 +183,27 @@ def walked_duplication(before: Column, left: Column, right: Column, after: Colum
     on = common_prefix(left, right)
     text = F.concat(F.right(before, back), F.substring(left, F.lit(1), on))
     return F.when((back + on > most) | (back + on == 0), "NA").otherwise(text)
+
+
+#: The steps of both positions from which a duplication is walked, in the order in which they are tried.
+STARTS = [(0, 0), (1, 1), (-1, -1), (0, -1), (-1, 0), (1, 0), (0, 1)]
+
+
+def longest_duplication(left: Column, right: Column, at_left: Column, at_right: Column, most: int = 100) -> Column:
+    """Target-site duplication of two windows of a reference around their positions (0-based): from each of seven starts
+    the bases that both share, walked to the left and to the right. A start whose bases differ, or from which either
+    walk goes on for `most` bases, gives none. The longest stays, of equal ones the first; NA without any. A walk ends at the windows' ends.
+    """
+
+    def walk(step: Column) -> Column:
+        p, q = at_left + step["l"], at_right + step["r"]
+        inside = (p >= 0) & (q >= 0) & (p < F.length(left)) & (q < F.length(right))
+        back = common_prefix(F.reverse(F.left(left, (p + 1).cast("int"))), F.reverse(F.left(right, (q + 1).cast("int"))))
+        on = common_prefix(F.substring(left, (p + 1).cast("int"), F.length(left)), F.substring(right, (q + 1).cast("int"), F.length(right)))
+        good = inside & (back > 0) & (on > 0) & (back < most) & (on < most)
+        text = F.when(good, F.substring(left, (p - back + 2).cast("int"), (back + on - 1).cast("int"))).otherwise(F.lit(""))
+        return F.struct(F.length(text).alias("n"), (-step["order"]).alias("order"), text.alias("text"))
+
+    starts = F.array(*[F.struct(F.lit(x).alias("l"), F.lit(y).alias("r"), F.lit(i).alias("order")) for i, (x, y) in enumerate(STARTS)])
+    best = F.array_max(F.transform(starts, walk))["text"]
+    return F.when(F.length(best) > 0, best).otherwise("NA")

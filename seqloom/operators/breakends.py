@@ -9,7 +9,7 @@ from seqloom.functions import sequences as seqs
 from seqloom.operators.alignments import DUPLICATE, UNMAPPED, clip, has
 from seqloom.operators.evidence import of_every_sample
 from seqloom.operators.intervals import overlap_pairs
-from seqloom.operators.sweeps import without_overlap
+from seqloom.operators.sweeps import medians, without_overlap
 
 
 def break_groups(members: DataFrame) -> DataFrame:
@@ -17,8 +17,10 @@ def break_groups(members: DataFrame) -> DataFrame:
 
     members: contig, cluster, breakpos, dir, clipped, p, sample. Null p counts in no median.
     """
-    return members.groupBy("contig", "cluster", "breakpos", "dir").agg(
-        F.count(F.lit(1)).alias("n"), F.max("clipped").alias("longest_clip"), F.min("clipped").alias("shortest_clip"), F.median("p").alias("median_p"), F.count_distinct("sample").alias("samples"))
+    group = ["contig", "cluster", "breakpos", "dir"]
+    out = members.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("clipped").alias("longest_clip"), F.min("clipped").alias("shortest_clip"), F.count_distinct("sample").alias("samples"))
+    middle = medians(members, group, "p", "median_p").withColumnsRenamed({c: f"_m_{c}" for c in group})
+    return out.join(middle, [out[c].eqNullSafe(middle[f"_m_{c}"]) for c in group], "left").select(*group, "n", "longest_clip", "shortest_clip", "median_p", "samples")
 
 
 def break_positions(members: DataFrame) -> DataFrame:

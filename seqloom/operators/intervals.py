@@ -21,12 +21,6 @@ def overlaps_inclusive(s: Column, e: Column, s2: Column, e2: Column) -> Column:
     return F.least(e, e2) - F.greatest(s, s2) > 0
 
 
-def covered_bases(s: Column, e: Column, ms: Column, me: Column) -> Column:
-    """Bases p with s <= p <= e that a record (ms, me] covers; a record that starts at 0 covers none."""
-    n = F.greatest(F.lit(0), F.least(me, e) - F.greatest(ms + 1, s) + 1)
-    return F.when(ms == 0, 0).otherwise(n)
-
-
 def binned(df: DataFrame, s: str, e: str, size: int) -> DataFrame:
     """A row per bin that [s, e) touches; an empty interval has the bin of its start."""
     last = F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / size)
@@ -52,14 +46,6 @@ def first_hit(left: DataFrame, right: DataFrame, key: str, order: list[str]) ->
     return overlap_pairs(left, right).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def track_mean(left: DataFrame, track: DataFrame, key: str, score: str) -> DataFrame:
-    """key, mean: per-base mean of the track's score over each left interval, 0.0 where nothing covers it."""
-    n = covered_bases(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e"))
-    met = overlap_pairs(left, track).withColumn("_n", n)
-    mean = met.groupBy(key).agg(F.try_divide(F.sum(F.col("_n") * F.col(score)), F.sum("_n")).alias("_mean"))
-    return left.select(key).join(mean, key, "left").select(key, F.coalesce("_mean", F.lit(0.0)).alias("mean"))
-
-
 def annotated(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFrame:
     """key, annotation: distinct labels of overlapping rows in order, joined by commas; NA for none."""
     met = overlap_pairs(left, right).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(label)), ",").alias("_a"))

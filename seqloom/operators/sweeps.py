@@ -1,6 +1,6 @@
 """Questions about overlaps that are answered by one sweep in order, without making pairs: work is linear in the rows.
 
-A sweep deals events by range of their group and place; a running maximum goes over each part, and what reaches into a
+A sweep deals events by range of their group and place; a running maximum or sum goes over each part, and what reaches into a
 part from those below is one row a part. So a hot place, a contig or a family is as spread as its rows are.
 Rows with a null group, start or end overlap nothing. Names that begin with an underscore are taken.
 """
@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from seqloom.operators.clustering import ranged
 
 
-def running_max(events: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """events with the maximum of value over all rows before it in the order of its group, null where there is none."""
-    key = F.struct(*group)
-    parts = ranged(events, [*group, *order]).withColumn("_key", key)
+def running(events: DataFrame, group: list[str], order: list[str], values: dict[str, str], how: str = "max") -> DataFrame:
+    """events with, for each new name, the maximum (how: max) or sum of a column over all rows before it in the order of its
+    group; without one null, or 0 for sums."""
+    of = F.max if how == "max" else F.sum
+    parts = ranged(events, [*group, *order]).withColumn("_key", F.struct(*group))
     before = Window.partitionBy("_part", "_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ends = parts.groupBy("_part").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"))  # groups that may reach across
-    across = parts.join(F.broadcast(ends), "_part").where("_key = _first or _key = _last").groupBy("_part", "_key").agg(F.max(value).alias("_top"))
+    across = parts.join(F.broadcast(ends), "_part").where("_key = _first or _key = _last").groupBy("_part", "_key").agg(*[of(c).alias(f"_of_{n}") for n, c in values.items()])
     below = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    entering = across.select("_part", "_key", F.max("_top").over(below).alias("_below")).where("_below is not null")
-    met = parts.withColumn("_here", F.max(value).over(before)).join(F.broadcast(entering), ["_part", "_key"], "left")  # at most two rows a part
-    return met.withColumn(name, F.greatest("_here", "_below")).drop("_part", "_key", "_here", "_below")
+    entering = across.select("_part", "_key", *[of(f"_of_{n}").over(below).alias(f"_below_{n}") for n in values])
+    met = parts.withColumns({f"_here_{n}": of(c).over(before) for n, c in values.items()})
+    met = met.join(F.broadcast(entering), ["_part", "_key"], "left")  # at most two rows a part
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = {n: F.greatest(f"_here_{n}", f"_below_{n}") if how == "max" else none(f"_here_{n}") + none(f"_below_{n}") for n in values}
+    return met.withColumns(both).drop("_part", "_key", *[f"{x}_{n}" for n in values for x in ("_here", "_below")])
 
 
 def any_overlap(left: DataFrame, right: DataFrame, group: tuple[str, ...] = ("contig",), pad: int = 0, name: str = "hit") -> DataFrame:
@@ -40,7 +44,7 @@ def any_overlap(left: DataFrame, right: DataFrame, group: tuple[str, ...] = ("co
     asked = asked.withColumn("_tie", F.xxhash64("_row"))  # rows at one place go to several parts
     held = right.where(whole).groupBy(*[F.col(g).cast(kinds[g]).alias(g) for g in group], F.col("s").cast("long").alias("_at")).agg(F.max(F.col("e").cast("long")).alias("_reach"))
     events = asked.unionByName(held.withColumns({"_kind": F.lit(1), "_tie": F.lit(0).cast("long")}), allowMissingColumns=True)
-    swept = running_max(events, list(group), ["_at", "_kind", "_tie"], "_reach", "_far").where("_kind = 0")
+    swept = running(events, list(group), ["_at", "_kind", "_tie"], {"_far": "_reach"}).where("_kind = 0")
     found = swept.select("_row.*", F.coalesce(F.col("_far") > F.col("_row.s") - pad, F.lit(False)).alias(name))
     return found.unionByName(left.where(~F.coalesce(whole, F.lit(False))).withColumn(name, F.lit(False)))
 
@@ -63,7 +67,7 @@ def beaten(df: DataFrame, key: str, weight: str, window: int) -> DataFrame:
     held = held.groupBy("contig", "_x").agg(F.max(weight).alias("_w")).select("contig", "_x.*", "_w", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_tie"))
     asked = rows.select("contig", F.col(key).alias("_key_of"), own, F.explode(F.array(event(bin_of(lo), 0, -lo), event(last(lo, hi), 1, hi))).alias("_x"))
     asked = asked.select("contig", "_x.*", "_own", "_key_of", F.lit(0).alias("_kind"), F.xxhash64("_key_of").alias("_tie"))
-    edges = running_max(asked.unionByName(held, allowMissingColumns=True), ["contig", "_bin", "_side"], ["_at", "_kind", "_tie"], "_w", "_top").where("_kind = 0")
+    edges = running(asked.unionByName(held, allowMissingColumns=True), ["contig", "_bin", "_side"], ["_at", "_kind", "_tie"], {"_top": "_w"}).where("_kind = 0")
     tops = bins.groupBy("contig", "_bin").agg(F.max(weight).alias("_top"))
     inner = rows.where(last(lo, hi) - bin_of(lo) > 1).select("contig", F.col(key).alias("_key_of"), own, F.explode(F.sequence(bin_of(lo) + 1, last(lo, hi) - 1)).alias("_bin"))
     stronger = edges.select("_key_of", "_own", "_top").unionByName(inner.join(tops, ["contig", "_bin"]).select("_key_of", "_own", "_top"))
@@ -78,3 +82,41 @@ def drop_weaker(df: DataFrame, key: str, weight: str, window: int) -> DataFrame:
 def without_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left rows that overlap no right row (a mask)."""
     return any_overlap(left, right, name="_hit").where("not _hit").drop("_hit")
+
+
+def track_mean(left: DataFrame, track: DataFrame, key: str, score: str) -> DataFrame:
+    """key, mean: per-base mean of the track's score over each left interval, 0.0 where nothing covers it.
+
+    A record (s, e] covers the bases s + 1 to e, one that starts at 0 none; an interval has the bases s to e, and a record
+    that ends at its s does not count. Running sums of the records' starts and ends give what is covered up to
+    a place, so an interval is the difference of its two ends, however many records lie in it. Scores are summed as
+    decimals of nine places.
+    """
+    exact = "decimal(38,9)"
+    w = F.col(score).cast("decimal(18,9)")
+    rows = track.where("contig is not null and s <> 0 and s < e").where(w.isNotNull()).select("contig", "s", "e", w.alias("_score"))
+    edge = lambda at, kind, sign: F.struct(F.col(at).cast("long").alias("_at"), F.lit(kind).alias("_kind"), F.lit(sign).alias("_sign"))
+    rows = rows.select("contig", "_score", F.explode(F.array(edge("s", 2, 1), edge("e", 0, -1))).alias("_x")).select("contig", "_x.*", "_score")
+    # at equal places ends come before a question, and starts behind it
+    sums = rows.groupBy("contig", "_at", "_kind").agg(F.sum(F.col("_score") * F.col("_sign")).cast(exact).alias("_w"), F.sum("_sign").alias("_n"))
+    events = sums.withColumns({"_wx": (-F.col("_w") * F.col("_at")).cast(exact), "_nx": (-F.col("_n") * F.col("_at")).cast("decimal(38,0)"), "_tie": F.lit(0).cast("long")})
+    ask = lambda at, sign: F.struct(F.col(at).cast("long").alias("_at"), F.lit(sign).alias("_sign"))
+    asked = left.where("contig is not null and s is not null and e is not null").select("contig", F.col(key).alias("_of"), F.explode(F.array(ask("s", -1), ask("e", 1))).alias("_x"))
+    asked = asked.select("contig", "_x.*", "_of", F.lit(1).alias("_kind"), F.xxhash64("_of").alias("_tie"))
+    swept = running(asked.unionByName(events, allowMissingColumns=True), ["contig"], ["_at", "_kind", "_tie"], {"_sw": "_w", "_sn": "_n", "_swx": "_wx", "_snx": "_nx"}, "sum").where("_kind = 1")
+    upto = lambda slope, rest: F.col("_sign") * (F.col(slope) * F.col("_at") + F.col(rest)) + F.when(F.col("_sign") < 0, F.col(slope)).otherwise(0)
+    means = swept.groupBy("_of").agg(F.try_divide(F.sum(upto("_sw", "_swx")).cast("double"), F.sum(upto("_sn", "_snx")).cast("double")).alias("_mean"))
+    return left.select(key).join(means, left[key] == means["_of"], "left").select(key, F.coalesce("_mean", F.lit(0.0)).alias("mean"))
+
+
+def medians(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """group and the exact median of value (the mean of the middle two), which nulls leave out; groups without one are left
+    out. Counts of equal values are summed over range partitions, and the values that hold the middle places stay."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    met = running(counts, group, [value], {"_upto": "_n"}, "sum")
+    totals = counts.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group]).agg(F.sum("_n").alias("_all"))
+    met = met.join(totals, [met[c].eqNullSafe(totals[f"_g_{c}"]) for c in group])
+    inside = lambda k: (F.col("_upto") < k) & (k <= F.col("_upto") + F.col("_n"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = met.where(inside(low) | inside(high)).groupBy(*group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return middle.select(*group, ((F.col("_low") + F.col("_high")) / 2.0).alias(name))

@@ -109,7 +109,7 @@ def gene_copies(spark, sf_dir):
 @query("""x1 AS (SELECT tid, CASE WHEN r.s = 0 THEN 0 ELSE greatest(0, least(r.e, t.e) - greatest(r.s + 1, t.s) + 1) END AS k, mapq FROM targets t JOIN reads r ON r.contig = t.contig AND r.s < t.e AND t.s < r.e)
 SELECT tid FROM x1 GROUP BY tid HAVING sum(k * mapq)::DOUBLE / nullif(sum(k), 0) > 50""")
 def mappable_targets(spark, sf_dir):
-    from seqloom.operators.intervals import track_mean
+    from seqloom.operators.sweeps import track_mean
 
     track = adapters.reads(spark, sf_dir).select("contig", "s", "e", "mapq")
     return track_mean(adapters.targets(spark, sf_dir), track, "tid", "mapq").where("mean > 50").select("tid")

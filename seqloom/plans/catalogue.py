@@ -92,7 +92,7 @@ x2 AS (SELECT tid, sum(k * mapq)::DOUBLE / nullif(sum(k), 0) AS m FROM x1 GROUP
 SELECT tid, round(coalesce(m, 0.0), 6)::DOUBLE AS mean FROM targets LEFT JOIN x2 USING (tid)""")
 def track_mean_per_interval(spark, sf_dir):
     track = adapters.reads(spark, sf_dir).select("contig", "s", "e", "mapq")
-    return intervals.track_mean(adapters.targets(spark, sf_dir), track, "tid", "mapq").select("tid", F.round("mean", 6).alias("mean"))
+    return sweeps.track_mean(adapters.targets(spark, sf_dir), track, "tid", "mapq").select("tid", F.round("mean", 6).alias("mean"))
 
 
 @query("""x1 AS (SELECT id, string_agg(DISTINCT class, ',' ORDER BY class) AS a FROM reads r JOIN targets t ON r.contig = t.contig AND r.s < t.e AND t.s < r.e GROUP BY id)
@@ -278,7 +278,13 @@ def isolation_scores(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("""x1 AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents), x2 AS (SELECT doc_id, len(c) // 2 AS n, len(c) - len(c) // 2 AS m, unicode(unnest(c)) AS v, unnest(range(len(c))) AS k FROM x1),
+x3 AS (SELECT doc_id, n::DOUBLE AS n, m::DOUBLE AS m, v, count(*)::DOUBLE AS t, (count(*) FILTER (k < n))::DOUBLE AS a FROM x2 GROUP BY doc_id, n, m, v),
+x4 AS (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY v) - (t - 1) / 2 AS rank FROM x3),
+x5 AS (SELECT doc_id, n, m, sum(a * rank) - n * (n + 1) / 2 AS u, n * m / 12 * (n + m + 1 - sum(t * t * t - t) / ((n + m) * (n + m - 1))) AS spread FROM x4 GROUP BY doc_id, n, m),
+x6 AS (SELECT doc_id, CASE WHEN n * m > 0 AND spread > 0 THEN greatest(0, abs(u - n * m / 2) - 0.5) / sqrt(2 * spread) ELSE 0 END AS z FROM x5),
+x7 AS (SELECT doc_id, CASE WHEN z = 0 THEN 1 WHEN z > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 150), lambda i: exp(i * ln(4) + lgamma(i + 1) + (2 * i + 1) * ln(z) - lgamma(2 * i + 2)))) END AS p FROM x6)
+SELECT doc_id, round(coalesce(p, 1), 6)::DOUBLE AS p FROM documents LEFT JOIN x7 USING (doc_id)""")
 def quality_shift(spark, sf_dir):
     half = F.floor(F.char_length("text") / 2).cast("int")
     return table(spark, sf_dir, "documents").select("doc_id", F.round(outliers.quality_shift("text", half), 6).alias("p"))

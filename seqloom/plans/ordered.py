@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seqloom import adapters
 from seqloom.adapters import table
-from seqloom.operators import callset
+from seqloom.functions import sequences as seqs
+from seqloom.operators import callset, quotas
 from seqloom.plans.callsets import raw_calls
 from seqloom.plans.records import query
 from seqloom.streaming.sessions import SessionStream
@@ -37,3 +39,25 @@ def cascaded_duplicates(spark, sf_dir):
     rows = raw_calls(spark, sf_dir).withColumns({"chrom": F.floor(o / 100), "be1_breakpos": o % 100})
     rows = rows.withColumn("be2_breakpos", F.when(F.col("dr_count") % 2 == 0, o % 100).otherwise(o % 100 + 7))
     return callset.cascaded(rows, "uuid")
+
+
+@query("""x1 AS (SELECT contig, mapq % 3 = 0 AS unmapped, id, s FROM reads), x2 AS (SELECT contig, unmapped, count(*) AS n FROM x1 GROUP BY contig, unmapped),
+x3 AS (SELECT x1.*, n, sum(1) OVER (PARTITION BY contig) AS total, row_number() OVER (PARTITION BY contig, unmapped ORDER BY md5('1:' || id), id) AS k FROM x1 JOIN x2 USING (contig, unmapped))
+SELECT contig, unmapped, id, s FROM x3 WHERE k <= CASE WHEN total > 500 THEN floor(n / total::DOUBLE * 500) ELSE n END""")
+def proportional_reads(spark, sf_dir):
+    reads = adapters.reads(spark, sf_dir).select("contig", (F.col("mapq") % 3 == 0).alias("unmapped"), "id", "s")
+    return quotas.proportional_subsample(reads, "contig", "unmapped", 500, "id")
+
+
+@query("""x1 AS (SELECT id, substr(seq, 1, 20) AS l, translate(md5((id // 4)::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN') AS o, seq FROM alns),
+x2 AS (SELECT id, l, substr(o, 1, 5) || substr(seq, (6 + id % 3 - 1)::INT, 9) || substr(o, 15, 6) AS r FROM x1),
+x3 AS (SELECT id, l, r, 9 + unnest([0, 1, -1, 0, -1, 1, 0]) AS p, 9 + unnest([0, 1, -1, -1, 0, 0, 1]) AS q, unnest(range(7)) AS k FROM x2),
+x4 AS (SELECT *, coalesce(list_min(list_filter(range(0, 21), lambda i: i > p OR i > q OR l[(p - i + 1)::INT] <> r[(q - i + 1)::INT])), 21) AS back,
+  coalesce(list_min(list_filter(range(0, 21), lambda i: p + i >= len(l) OR q + i >= len(r) OR l[(p + i + 1)::INT] <> r[(q + i + 1)::INT])), 21) AS fwd FROM x3),
+x5 AS (SELECT id, k, CASE WHEN back > 0 AND fwd > 0 AND back < 100 AND fwd < 100 THEN substr(l, (p - back + 2)::INT, (back + fwd - 1)::INT) ELSE '' END AS t FROM x4),
+x6 AS (SELECT id, arg_max(t, len(t) * 10 - k) AS t FROM x5 GROUP BY id) SELECT id, CASE WHEN t = '' THEN 'NA' ELSE t END AS tsd FROM x6""")
+def longest_duplications(spark, sf_dir):
+    s, other = F.col("seq"), F.translate(F.md5(F.floor(F.col("id") / 4).cast("string")), "0123456789abcdef", "ACGTACGTACGTACGN")
+    right = F.concat(F.substring(other, 1, 5), F.substring(s, (F.col("id") % 3 + 5).cast("int"), F.lit(9)), F.substring(other, 15, 6))
+    rows = adapters.alignments(spark, sf_dir).select("id", F.substring(s, 1, 20).alias("l"), right.alias("r"))
+    return rows.select("id", seqs.longest_duplication(F.col("l"), F.col("r"), F.lit(9), F.lit(9)).alias("tsd"))

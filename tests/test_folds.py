@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as seqs
-from seqloom.operators import clustering, evidence, intervals, outliers
+from seqloom.operators import clustering, evidence, intervals, outliers, sweeps
 from seqloom.sources import text
 
 
@@ -83,7 +83,7 @@ def test_binned_join_is_the_theta_join(spark):
 def test_track_mean_ignores_a_record_at_zero(spark):
     left = spark.createDataFrame([(1, "x", 5, 9), (2, "x", 50, 60)], "id long, contig string, s long, e long")
     track = spark.createDataFrame([("x", 0, 9, 1.0), ("x", 5, 7, 3.0)], "contig string, s long, e long, score double")
-    assert {r.id: r["mean"] for r in intervals.track_mean(left, track, "id", "score").collect()} == {1: 3.0, 2: 0.0}
+    assert {r.id: r["mean"] for r in sweeps.track_mean(left, track, "id", "score").collect()} == {1: 3.0, 2: 0.0}
 
 
 def test_genotype_call_at_the_limits(spark):

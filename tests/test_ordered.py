@@ -1,13 +1,16 @@
 """Sessions of a stream, the cascade and other ordered operators against plain Python."""
 
 import datetime as dt
+import hashlib
 import random
+import statistics
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import callset, clustering, sweeps
+from seqloom.functions import sequences as seqs
+from seqloom.operators import callset, clustering, quotas, sweeps
 from seqloom.streaming.sessions import SessionStream, sessions
 
 EVENTS = "id long, user long, at timestamp, value double"
@@ -157,3 +160,74 @@ def test_greedy_rounds_do_not_grow_with_a_chain(spark, tmp_path, n):
     got = clustering.greedy_pairs(spark.createDataFrame(chain, "a long, b long, score double"), f"file://{tmp_path}")
     assert sorted(map(tuple, got.collect())) == greedy(chain)
     assert len(list(tmp_path.glob("scanned*"))) <= 2
+
+
+def brute_mean(l, track):
+    n = total = 0
+    for _, c, s, e, w in track:
+        if None not in (*l[1:4], c, s, e, w) and l[1] == c and s and l[2] < e and s < l[3]:
+            k = sum(1 for p in range(max(s + 1, l[2]), min(e, l[3]) + 1))
+            n, total = n + k, total + k * w
+    return round(total / n, 9) if n else 0.0
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 8)])
+def test_track_mean_and_medians(spark, seed, parts):
+    a, track = spread(150, seed, 900)[:-1], [(*x[:4], x[4] / 4) for x in spread(120, seed + 5, 900)] + [(0, "x", 400, 402, 2.5)] * 100 + [(0, "x", 0, 50, 9.0), (0, "y", 4, 9, None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+    try:
+        left, right = spark.createDataFrame(a, ROWS), spark.createDataFrame(track, "id long, contig string, s long, e long, w double").repartition(parts)
+        got = {r.id: round(r["mean"], 9) for r in sweeps.track_mean(left, right, "id", "w").collect()}
+        assert got == {l[0]: brute_mean(l, track) for l in a}
+        values = {}
+        for t in track:
+            if t[4] is not None:
+                values.setdefault(t[1], []).append(t[4])
+        assert {r.contig: r.m for r in sweeps.medians(right, ["contig"], "w", "m").collect()} == {k: statistics.median(v) for k, v in values.items()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("few", [1000, 3])
+def test_first_by_hash(spark, few):
+    r = random.Random(6)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([True, False, None])) for i in range(3000)] + [(1, "a", True)] * 5
+    groups, quota = {}, []
+    for i, g, k in rows:
+        groups.setdefault((g, k), []).append(i)
+    quota = [(g, k, n) for (g, k), n in zip(groups, [5, 0, 700, 10_000, 1, 30, 2, 9], strict=False)]
+    h = lambda i: (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:15], 16), i)
+    want = sorted(((g, k, i) for g, k, n in quota for i in sorted(groups[g, k], key=h)[:n]), key=str)
+    df = spark.createDataFrame(rows, "id long, g string, k boolean")
+    got = quotas.first_by_hash(df, spark.createDataFrame(quota, "g string, k boolean, quota long"), ["g", "k"], "id", few=few)
+    assert sorted(((x.g, x.k, x.id) for x in got.collect()), key=str) == want
+
+
+def test_proportional_subsample(spark):
+    rows = [(i, "a", i % 3 == 0) for i in range(100)] + [(i, "b", True) for i in range(100, 110)]
+    got = quotas.proportional_subsample(spark.createDataFrame(rows, "id long, g string, k boolean"), "g", "k", 50, "id").groupBy("g", "k").count().collect()
+    assert {(x.g, x.k): x["count"] for x in got} == {("a", True): int(34 / 100 * 50), ("a", False): int(66 / 100 * 50), ("b", True): 10}
+
+
+def walked(l, r, i, j, most=100):
+    best = ""
+    for x, y in seqs.STARTS:
+        p, q, back, on = i + x, j + y, 0, 0
+        if not (0 <= p < len(l) and 0 <= q < len(r)):
+            continue
+        while p - back >= 0 and q - back >= 0 and l[p - back] == r[q - back]:
+            back += 1
+        while p + on < len(l) and q + on < len(r) and l[p + on] == r[q + on]:
+            on += 1
+        text = l[p - back + 1 : p + on] if back and on and back < most and on < most else ""
+        best = text if len(text) > len(best) else best
+    return best or "NA"
+
+
+def test_longest_duplication(spark):
+    r = random.Random(8)
+    seq = lambda n: "".join(r.choice("AC") for _ in range(n))
+    rows = [(k, seq(r.randrange(1, 20)), seq(r.randrange(1, 20)), r.randrange(0, 12), r.randrange(0, 12)) for k in range(300)] + [(300, "A" * 250, "A" * 250, 120, 120), (301, "A" * 150 + "C", "A" * 150 + "C", 99, 99)]
+    df = spark.createDataFrame(rows, "id long, l string, r string, i int, j int")
+    got = {x.id: x.t for x in df.select("id", seqs.longest_duplication(F.col("l"), F.col("r"), F.col("i"), F.col("j")).alias("t")).collect()}
+    assert got == {k: walked(a, b, i, j) for k, a, b, i, j in rows}
