@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: The letters a-z as bases, for tests on prose.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 KINDS = ["click", "error", "purchase", "signup", "view"]
+FAMILIES = ["L1", "ALU", "SVA", "NA", "LTR", "SINE"]
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
 
@@ -77,8 +78,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", text(o), text(n), text(p), text(s)).alias("UUID"), F.concat(F.lit("chr"), text(s % 5)).alias("Chromosome"),
         text(o * 10).alias("Left_Extreme"), text(o * 10 + q * 20).alias("Right_Extreme"), text(o * 10 + q).alias("5_Prime_End"), text(o * 10 + q + n - 4).alias("3_Prime_End"),
-        F.element_at(F.array(F.lit("L1"), F.lit("ALU"), F.lit("SVA"), F.lit("NA")), (p % 4 + 1).cast("int")).alias("Superfamily"),
-        F.element_at(F.array(F.lit("L1Ta"), F.lit("AluYa5"), F.lit("SVA_E"), F.lit("NA")), (p % 4 + 1).cast("int")).alias("Subfamily"),
+        F.element_at(F.array(*map(F.lit, FAMILIES)), (p % 6 + 1).cast("int")).alias("Superfamily"),
+        F.element_at(F.array(*map(F.lit, ["L1Ta", "AluYa5", "SVA_E", "NA", "ERVK", "B2"])), (p % 6 + 1).cast("int")).alias("Subfamily"),
         text(q * 3).alias("TE_Align_Start"), text(q * 3 + s * 7).alias("TE_Align_End"), F.when(n % 2 == 0, "+").otherwise("-").alias("Orient_5p"), F.when(p % 2 == 0, "+").otherwise("-").alias("Orient_3p"),
         text(1 - F.col("l_discount")).alias("5p_Elt_Match"), text(1 - F.col("l_tax")).alias("3p_Elt_Match"), text(1 - F.col("l_tax") / 2).alias("5p_Genome_Match"), text(1 - F.col("l_discount") / 2).alias("3p_Genome_Match"),
         text(n).alias("Split_reads_5prime"), text(q % 6).alias("Split_reads_3prime"), text(q).alias("Remapped_Discordant"), text(F.col("l_tax") * 15).alias("Remap_Disc_Fraction"),

@@ -87,6 +87,18 @@ def columns_matched(query: Column, target: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
 
 
+def share_matched(query: Column, target: Column) -> Column:
+    """The columns matched as a share of the aligned letters of the query; null without any."""
+    return F.try_divide(columns_matched(query, target).cast("double"), F.length(F.replace(query, F.lit("-"))))
+
+
+def chopped(value: Column, left: Column, right: Column, s: Column, e: Column, contig_length: Column) -> Column:
+    """Bases or qualities of a read without its soft clips: the right one goes where the alignment ends before the end of
+    its contig, then as many letters as the left one has where it starts behind the contig's second base."""
+    cut = F.when(e < contig_length, F.substring(value, F.lit(1), F.greatest(F.length(value) - right, F.lit(0)).cast("int"))).otherwise(value)
+    return F.when(s > 1, F.substring(cut, (left + 1).cast("int"), F.length(value))).otherwise(cut)
+
+
 def quality_trimmed(seq: Column, qual: Column, least: int = 35, window: int = 4, mean: float = 5) -> Column:
     """seq up to the first window whose qualities less `least` average under `mean`; the last window of qual is not
     looked at. Whole without such a window."""

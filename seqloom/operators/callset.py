@@ -193,11 +193,16 @@ def gene_copy_passes() -> Column:
     return sure(out)
 
 
-def insertion_passes(least_mapq: int = 10, least_sr: int = 4, excluded: list[str] | None = None, most_samples: int = 0, least_mappability: float | None = None) -> Column:
-    """Whether an insertion (mapqs array, num_sr, most_sr_of_sample, samples array, mappability) is kept."""
-    ok = (F.array_max("mapqs") >= least_mapq) & (F.col("num_sr") >= least_sr) & (F.col("most_sr_of_sample") >= least_sr)
+def insertion_passes(least_mapq: int = 10, least_sr: int = 4, least_sr_of_sample: int | None = None, excluded: list[str] | None = None, most_samples: int = 0, least_mappability: float | None = None, excluded_groups: list[str] | None = None) -> Column:
+    """Whether an insertion (mapqs array, num_sr, most_sr_of_sample, samples array, mappability) is kept. The best sample
+    needs least_sr reads too, unless it has a limit of its own. excluded_groups: read groups (array groups), whose
+    names end at the first |; nulls exclude nothing."""
+    ok = (F.array_max("mapqs") >= least_mapq) & (F.col("num_sr") >= least_sr) & (F.col("most_sr_of_sample") >= (least_sr if least_sr_of_sample is None else least_sr_of_sample))
     if excluded:
-        ok &= ~F.arrays_overlap("samples", F.array(*map(F.lit, excluded)))
+        ok &= ~F.coalesce(F.arrays_overlap("samples", F.array(*map(F.lit, excluded))), F.lit(False))
+    if excluded_groups:
+        names = F.transform("groups", lambda x: F.substring_index(x, "|", 1))
+        ok &= ~F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, excluded_groups))), F.lit(False))
     if most_samples:
         ok &= F.size(F.array_distinct("samples")) <= most_samples
     if least_mappability is not None:
@@ -439,6 +444,17 @@ def near_family(calls: DataFrame, known: DataFrame, key: str, families: str, pad
     return out.select(key, (F.col("_hit").isNotNull() | F.col("_seen").isNull()).alias("near"))
 
 
+def near_reference(calls: DataFrame, known: DataFrame, key: str, families: list[str], pad: int = 0, most_divergence: float | None = None) -> DataFrame:
+    """key, near: whether for one of the call's superfamilies (Superfamily, joined by commas; those among `families` alone)
+    a known element (contig, s, e, family, divergence) lies within pad of it, or that family's track lacks the contig."""
+    rows = known if most_divergence is None else known.where(F.col("divergence") < most_divergence)
+    each = calls.select(key, "contig", "s", "e", F.explode(F.split(col("Superfamily"), ",")).alias("_family")).where(F.col("_family").isin(families))
+    hit = any_overlap(each, rows.withColumn("_family", F.col("family")), ("contig", "_family"), pad, "_hit")
+    seen = known.select("contig", F.col("family").alias("_family")).distinct().withColumn("_seen", F.lit(True))
+    near = hit.join(seen, ["contig", "_family"], "left").groupBy(F.col(key).alias("_of")).agg(F.bool_or(F.col("_hit") | F.col("_seen").isNull()).alias("_near"))
+    return calls.select(key).join(near, calls[key] == near["_of"], "left").select(key, F.coalesce("_near", F.lit(False)).alias("near"))
+
+
 def screened(calls: DataFrame, mappings: DataFrame, key: str, least: float = 0.9, invert: bool = False) -> DataFrame:
     """Calls of which some mapping (key, mismatches, aligned) matches in more than `least`; with invert the others."""
     good = mappings.where(1 - F.try_divide(F.col("mismatches").cast("double"), F.col("aligned")) > least).select(key).distinct()

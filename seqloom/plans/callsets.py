@@ -77,24 +77,32 @@ def general_filter(spark, sf_dir):
     return judged(spark, sf_dir, [("PositionFilter", F.col("listed")), ("NoOrient", F.col("Orient_5p") != F.col("Orient_3p"))], rows).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
 
 
-SPECIES = """x1 AS (SELECT uuid, concat_ws(',', CASE WHEN cons5 < 120 AND cons3 < 120 THEN 'ShortConsensus' END, CASE WHEN {m} < {elt} THEN 'EltMatch' END, CASE WHEN {g} < 0.98 THEN 'GenomeMatch' END,
+SPECIES = """xk1 AS (SELECT 'chr' || tid % 5 AS contig, s, e, list_extract(['L1', 'ALU', 'SVA', 'NA', 'LTR', 'SINE'], (tid % 6 + 1)::INT) AS family, tid % 20 AS divergence FROM targets WHERE tid % 5 < 4),
+xk2 AS (SELECT DISTINCT contig, family FROM xk1), xk3 AS (SELECT uuid, 'chr' || s % 5 AS contig, o * 10 AS s, o * 10 + q * 20 AS e, super FROM final WHERE super IN ({near})),
+xk4 AS (SELECT DISTINCT uuid FROM xk3 WHERE NOT EXISTS (SELECT 1 FROM xk2 WHERE xk2.contig = xk3.contig AND family = super) OR EXISTS (SELECT 1 FROM xk1 WHERE xk1.contig = xk3.contig AND family = super AND xk1.s < xk3.e AND xk3.s < xk1.e {div})),
+x1 AS (SELECT uuid, concat_ws(',', CASE WHEN cons5 < 120 AND cons3 < 120 THEN 'ShortConsensus' END, CASE WHEN uuid IN (SELECT uuid FROM xk4) THEN 'ReferenceProximity' END, CASE WHEN {m} < {elt} THEN 'EltMatch' END, CASE WHEN {g} < 0.98 THEN 'GenomeMatch' END,
     CASE WHEN mappability < 0.1 THEN 'Mappability' END, CASE WHEN q < 4 THEN 'Discordant' END, CASE WHEN tax * 15 < {frac} THEN 'DiscordantFraction' END, CASE WHEN no_ins5 AND no_ins3 THEN 'NoInsertConsensus' END,
     CASE WHEN {length} THEN 'Length' END) AS t FROM final) SELECT uuid, CASE WHEN t = '' THEN 'PASS' ELSE t END AS filter FROM x1"""
 
 
 def by_species(spark, sf_dir, species: str, limits: dict) -> DataFrame:
     suppkey = F.substring_index("UUID", "-", -1).cast("double")
-    rows = adapters.calls(spark, sf_dir).withColumn("mappability", suppkey / 100 - F.floor(suppkey / 100))
-    rules = [*callset.table_rules(**limits), ("Length", callset.length_fails(species))]
+    rows = adapters.calls(spark, sf_dir).withColumns({"mappability": suppkey / 100 - F.floor(suppkey / 100), "contig": F.col("Chromosome"), "s": F.col("Left_Extreme").cast("long"), "e": F.col("Right_Extreme").cast("long")})
+    tid = F.col("tid")
+    known = adapters.targets(spark, sf_dir).where("tid % 5 < 4").select(F.concat(F.lit("chr"), (tid % 5).cast("string")).alias("contig"), "s", "e", F.element_at(F.array(*map(F.lit, adapters.FAMILIES)), (tid % 6 + 1).cast("int")).alias("family"), (tid % 20).cast("double").alias("divergence"))
+    near = callset.near_reference(rows, known, "UUID", *{"human": (["L1", "ALU", "SVA"], 0, None), "mouse": (["L1", "LTR", "SINE"], 0, 10.0)}[species])
+    rows = rows.join(near, "UUID")
+    short, coords, *others = callset.table_rules(**limits)
+    rules = [short, coords, ("ReferenceProximity", F.col("near")), *others, ("Length", callset.length_fails(species))]
     return rows.select(F.col("UUID").alias("uuid"), evidence.all_reasons(rules).alias("filter"))
 
 
-@query(SPECIES.format(m=MATCHES, g=GENOME, elt=0.95, frac=0.5, length="CASE super WHEN 'ALU' THEN te_e - te_s < 250 WHEN 'SVA' THEN te_e - te_s < 1000 WHEN 'L1' THEN te_e < 5950 ELSE false END"))
+@query(SPECIES.format(near="'L1', 'ALU', 'SVA'", div="", m=MATCHES, g=GENOME, elt=0.95, frac=0.5, length="CASE super WHEN 'ALU' THEN te_e - te_s < 250 WHEN 'SVA' THEN te_e - te_s < 1000 WHEN 'L1' THEN te_e < 5950 ELSE false END"))
 def human_table_filter(spark, sf_dir):
     return by_species(spark, sf_dir, "human", callset.HUMAN)
 
 
-@query(SPECIES.format(m=MATCHES, g=GENOME, elt=0.90, frac=0.25, length="CASE super WHEN 'L1' THEN te_e < 6500 ELSE false END"))
+@query(SPECIES.format(near="'L1', 'LTR', 'SINE'", div="AND divergence < 10", m=MATCHES, g=GENOME, elt=0.90, frac=0.25, length="CASE super WHEN 'L1' THEN te_e < 6500 WHEN 'LTR' THEN te_e - te_s < 500 WHEN 'SINE' THEN te_e - te_s < 100 OR te_e - te_s > 200 ELSE false END"))
 def mouse_table_filter(spark, sf_dir):
     return by_species(spark, sf_dir, "mouse", callset.MOUSE)
 

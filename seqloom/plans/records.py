@@ -25,7 +25,7 @@ alns AS (
     id % 17 = 0 AS unmapped, mate_s IS NULL OR id % 19 = 0 AS mate_unmapped, rk % 2 = 1 AS is_first, id % 23 = 0 AS secondary, id % 29 = 0 AS duplicate, id % 31 = 0 AS supplementary FROM paired),
 calls AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS uuid, l_quantity::INT AS q, l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_tax AS tax, l_discount AS disc,
-    list_extract(['L1', 'ALU', 'SVA', 'NA'], (l_partkey % 4 + 1)::INT) AS super, list_extract(['L1Ta', 'AluYa5', 'SVA_E', 'NA'], (l_partkey % 4 + 1)::INT) AS sub,
+    list_extract(['L1', 'ALU', 'SVA', 'NA', 'LTR', 'SINE'], (l_partkey % 6 + 1)::INT) AS super, list_extract(['L1Ta', 'AluYa5', 'SVA_E', 'NA', 'ERVK', 'B2'], (l_partkey % 6 + 1)::INT) AS sub,
     l_quantity::INT * 3 AS te_s, l_quantity::INT * 3 + l_suppkey * 7 AS te_e, l_suppkey * 5 AS cons5, l_partkey % 400 AS cons3, l_partkey % 6 = 0 AS no_ins5, l_partkey % 4 = 0 AS no_ins3,
     CASE WHEN l_quantity::INT % 9 = 0 THEN 'NA' WHEN l_quantity::INT % 11 = 0 THEN repeat('A', l_quantity::INT)
       ELSE translate(substr(md5(l_partkey::VARCHAR), 1, l_quantity::INT % 14 + 1), '0123456789abcdef', 'ACGTACGTACGTACGT') END AS tsd5,
@@ -198,12 +198,16 @@ def most_per_sample(spark, sf_dir):
     return evidence_of_users(spark, sf_dir).withColumn("samples", F.array_join("samples", ","))
 
 
-@query(EVIDENCE + """, x3 AS (SELECT user_id, max(mapq) AS m, avg(mapq) / 100 AS mappability FROM reads GROUP BY user_id)
-SELECT user_id FROM x2 JOIN x3 USING (user_id) WHERE m >= 10 AND num_sr >= 4 AND most_sr_of_sample >= 3 AND NOT contains(samples, 'error') AND k <= 4 AND mappability >= 0.3""")
+@query("""x1 AS (SELECT *, user_id % 20 || '.' || user_id // 20 // 16 || '.' || id % 40 AS ins FROM reads), x2 AS (SELECT ins, contig, count(*) AS n, max(mapq) AS m, sum(mapq) AS t, count(*) FILTER (mapq IN (13, 57)) AS listed FROM x1 GROUP BY ins, contig),
+x3 AS (SELECT ins, sum(n) AS num_sr, max(n) AS most, max(m) AS m, sum(t)::DOUBLE / sum(n) / 100 AS mappability, count(*) AS k, sum(listed) AS listed, count(*) FILTER (contig = 'error') AS bad FROM x2 GROUP BY ins)
+SELECT ins FROM x3 WHERE m >= 10 AND num_sr >= 4 AND most >= 3 AND bad = 0 AND listed = 0 AND k <= 4 AND mappability >= 0.3""")
 def kept_insertions(spark, sf_dir):
-    of = adapters.reads(spark, sf_dir).groupBy("user_id").agg(F.collect_list("mapq").alias("mapqs"), (F.avg("mapq") / 100).alias("mappability"))
-    rows = evidence_of_users(spark, sf_dir).where("most_sr_of_sample >= 3").withColumn("most_sr_of_sample", F.greatest("most_sr_of_sample", F.lit(4))).join(of, "user_id")
-    return rows.where(callset.insertion_passes(excluded=["error"], most_samples=4, least_mappability=0.3)).select("user_id")
+    """Reads by a part of their user's number and of their own as insertions, contigs as samples, qualities as read groups."""
+    u = F.col("user_id")
+    rows = adapters.reads(spark, sf_dir).withColumn("ins", F.concat_ws(".", u % 20, F.floor(F.floor(u / 20) / 16), F.col("id") % 40))
+    of = rows.groupBy("ins").agg(F.collect_set("mapq").alias("mapqs"), F.collect_set(F.concat_ws("|", F.concat(F.lit("g"), F.col("mapq").cast("string")), "contig")).alias("groups"), (F.avg("mapq") / 100).alias("mappability"))
+    met = brk.most_per_sample(rows.select("ins", F.col("contig").alias("sample")), "ins").join(of, "ins")
+    return met.where(callset.insertion_passes(least_sr_of_sample=3, excluded=["error"], most_samples=4, least_mappability=0.3, excluded_groups=["g13", "g57"])).select("ins")
 
 
 @query("""x1 AS (SELECT a.id AS a, b.id AS b, a.s AS s1, a.e - 1 AS e1, b.s AS s2, b.e - 1 AS e2, x.seq AS seq1, y.seq AS seq2 FROM breakends a JOIN breakends b ON a.contig = b.contig AND a.dir = 'left' AND b.dir = 'right' AND abs(a.pos - b.pos) <= 100
@@ -253,9 +257,21 @@ def flush_ends(spark, sf_dir):
     return mappings(spark, sf_dir).select("id", callset.ends_flush(locations, F.col("len")).alias("flush"))
 
 
-@query("""SELECT p_partkey, len(list_filter(list_zip(string_split(upper(p_name), ''), string_split(upper(p_type), '')), lambda z: z[1] = z[2] AND z[1] <> '-'))::INT AS matched FROM part""")
+@query("""x1 AS (SELECT p_partkey, p_name, len(list_filter(list_zip(string_split(upper(p_name), ''), string_split(upper(p_type), '')), lambda z: z[1] = z[2] AND z[1] <> '-'))::INT AS matched FROM part)
+SELECT p_partkey, matched, round(matched / nullif(len(replace(p_name, '-', '')), 0)::DOUBLE, 6)::DOUBLE AS share FROM x1""")
 def matched_columns(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", seqs.columns_matched(F.col("p_name"), F.col("p_type")).alias("matched"))
+    name, kind = F.col("p_name"), F.col("p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", seqs.columns_matched(name, kind).alias("matched"), F.round(seqs.share_matched(name, kind), 6).alias("share"))
+
+
+@query("""x1 AS (SELECT id, CASE WHEN e < 1000000 THEN substr(seq, 1, 32 - rclip::INT) ELSE seq END AS seq, CASE WHEN e < 1000000 THEN substr(qual, 1, 32 - rclip::INT) ELSE qual END AS qual, s, lclip FROM alns),
+x2 AS (SELECT id, CASE WHEN s > 1 THEN substr(seq, lclip::INT + 1) ELSE seq END AS seq, list_transform(string_split(CASE WHEN s > 1 THEN substr(qual, lclip::INT + 1) ELSE qual END, ''), lambda c: ascii(c) - 35) AS q FROM x1),
+x3 AS (SELECT id, seq, list_min(list_filter(range(1, len(seq) - 3), lambda i: list_avg(q[i:i + 3]) < 20)) AS cut FROM x2) SELECT id, CASE WHEN cut IS NULL THEN seq ELSE substr(seq, 1, (cut - 1)::INT) END AS trimmed FROM x3""")
+def chopped_and_trimmed(spark, sf_dir):
+    """Soft clips come off before qualities are looked at, where the alignment ends inside its contig."""
+    clips = (aln.clip(F.col("cigar"), True), aln.clip(F.col("cigar"), False))
+    chop = lambda c: seqs.chopped(F.col(c), *clips, F.col("s"), F.col("e"), F.lit(1_000_000))
+    return adapters.alignments(spark, sf_dir).select("id", seqs.quality_trimmed(chop("seq"), chop("qual"), mean=20).alias("trimmed"))
 
 
 @query("""x1 AS (SELECT id, seq, list_transform(string_split(qual, ''), lambda c: ascii(c) - 35) AS q FROM alns),
