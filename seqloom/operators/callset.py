@@ -144,7 +144,7 @@ def final_filter(calls: DataFrame, elements: DataFrame, limits: Limits = Limits(
     HomopolSite once for each letter of which the site's sequence has a run of over limits.homopolymer + 1; else PASS.
     """
     known = elements.select(F.col("element").alias("_element"), F.col("length").alias("_length")).dropDuplicates(["_element"])
-    rows = calls.join(F.broadcast(known), F.concat_ws(":", col("Superfamily"), col("Subfamily")) == F.col("_element"), "left")
+    rows = calls.join(known, F.concat_ws(":", col("Superfamily"), col("Subfamily")) == F.col("_element"), "left")
     failed = F.array_compact(F.array(*[F.when(bad, name) for name, bad in [*evidence_rules(limits, F.col("_length")), *((n, sure(b)) for n, b in extra)]]))
     if mappability is not None:
         failed = F.when((F.size(failed) == 0) & (F.coalesce(mappability, F.lit(0.0)) < limits.mappability), F.array(F.lit("LowMap"))).otherwise(failed)
@@ -406,7 +406,7 @@ def repaired_ids(calls: DataFrame, library: DataFrame) -> DataFrame:
     """Superfamily of calls from the library (ordinal, superfamily, subfamily) by subfamily alone, the last of equals;
     calls of unknown subfamily keep theirs."""
     last = library.groupBy(F.col("subfamily").alias("_sub")).agg(F.max_by("superfamily", "ordinal").alias("_super"))
-    joined = calls.join(F.broadcast(last), col("Subfamily") == F.col("_sub"), "left")
+    joined = calls.join(last, col("Subfamily") == F.col("_sub"), "left")
     return joined.withColumn("Superfamily", F.coalesce("_super", col("Superfamily"))).select(*map(col, calls.columns))
 
 
@@ -414,7 +414,7 @@ def isoform_choice(calls: DataFrame, library: DataFrame, scores: DataFrame, key:
     """key, element: of the library's elements (element) with the call's prefix before the last '.', that of the best
     score (key, element, score; ties: the first by name). Calls without one are left out."""
     prefix = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    met = calls.select(key, prefix(F.col("element")).alias("_prefix")).join(F.broadcast(library.select(F.col("element").alias("element"), prefix(F.col("element")).alias("_prefix"))), "_prefix")
+    met = calls.select(key, prefix(F.col("element")).alias("_prefix")).join(library.select(F.col("element").alias("element"), prefix(F.col("element")).alias("_prefix")), "_prefix")
     best = met.join(scores, [key, "element"]).groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "element")).alias("_b"))
     return best.select(key, F.col("_b.element").alias("element"))
 

@@ -24,14 +24,13 @@ def genotype_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int
     return met.groupBy("tid", "sample").agg(F.count_if(alt).alias("alt"), F.count_if(~alt & spans).alias("ref"))
 
 
-def of_every_sample(sites: DataFrame, reads: DataFrame, most: int = 100_000) -> DataFrame:
-    """A row of sites for each sample of the reads: their names, one a file and so few, are a constant of the plan.
-    More than `most` are an error."""
-    kind = dict(reads.dtypes)["sample"]
-    names = [r[0] for r in reads.select("sample").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} samples")
-    return sites.withColumn("sample", F.explode(F.array(*map(F.lit, names)).cast(f"array<{kind}>")))
+def of_every_sample(sites: DataFrame, reads: DataFrame, slot: int = 1000) -> DataFrame:
+    """A row of sites for each sample of the reads. The names are dealt into slots of about `slot`, and each site
+    meets every slot, so that any number of samples is a table and no task has all of them for a site."""
+    names = reads.select("sample").distinct()
+    slots = max(1, -(-names.count() // slot))
+    names = names.withColumn("_slot", F.pmod(F.xxhash64("sample"), F.lit(slots)).cast("int"))
+    return sites.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).join(names, "_slot").drop("_slot")
 
 
 def genotype_counts_all(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1, least_mapq: int = 10) -> DataFrame:

@@ -123,12 +123,30 @@ def mappable_targets(spark, sf_dir):
     return track_mean(adapters.targets(spark, sf_dir), track, "tid", "mapq").where("mean > 50").select("tid")
 
 
-@query("""SELECT uuid, CASE WHEN q % 2 = 0 THEN tsd3 ELSE tsd5 END AS tsd5, CASE WHEN q % 2 = 0 THEN tsd5 ELSE tsd3 END AS tsd3, CASE WHEN q % 2 = 0 THEN o * 10 + q + n - 4 ELSE o * 10 + q END AS end5,
-  CASE WHEN q % 2 = 0 THEN 'b|' || (q % 6) ELSE 'a|' || n END AS support5, CASE WHEN q % 2 = 0 THEN cons3 ELSE cons5 END AS cons5 FROM final""")
+#: SQL of both columns of each pair that changes places, over `final`, by the column of the 5' end.
+SWAPPED = {
+    "5_Prime_End": ("(o * 10 + q)::VARCHAR", "(o * 10 + q + n - 4)::VARCHAR"), "Orient_5p": ("CASE WHEN n % 2 = 0 THEN '+' ELSE '-' END", "CASE WHEN p % 2 = 0 THEN '+' ELSE '-' END"),
+    "5p_Elt_Match": ("1 - disc", "1 - tax"), "5p_Genome_Match": ("1 - tax / 2", "1 - disc / 2"), "Split_reads_5prime": ("n::VARCHAR", "(q % 6)::VARCHAR"), "5p_Cons_Len": ("cons5::VARCHAR", "cons3::VARCHAR"),
+    "5p_Improved": ("CASE WHEN n % 2 = 0 THEN 'Y' ELSE 'N' END", "'N'"), "TSD_5prime": ("tsd5", "tsd3"),
+    "Genomic_Consensus_5p": ("CASE WHEN q % 7 = 0 THEN 'NA' ELSE repeat('ACGT', (q % 8)::INT) END", "CASE WHEN q % 5 = 0 THEN 'NA' ELSE repeat('TTA', (n + 1)::INT) END"),
+    "Insert_Consensus_5p": ("CASE WHEN no_ins5 THEN 'NA' ELSE 'ACGT' END", "CASE WHEN no_ins3 THEN 'NA' ELSE 'TTTT' END"), "Sample_support_5p": ("'a|' || n", "'b|' || (q % 6)"),
+}
+SWAPS = [*callset.ENDS, ("Sample_support_5p", "Sample_support_3p")]
+
+
+def swapped_sql() -> str:
+    out = ["uuid AS \"UUID\""]
+    for five, three in SWAPS:
+        a, b = (f"round(({x})::DOUBLE, 6)" if "Match" in five else x for x in SWAPPED[five])
+        out += [f'CASE WHEN q % 2 = 0 THEN {b} ELSE {a} END AS "{five}"', f'CASE WHEN q % 2 = 0 THEN {a} ELSE {b} END AS "{three}"']
+    return f"SELECT {', '.join(out)} FROM final"
+
+
+@query(swapped_sql())
 def flipped_ends(spark, sf_dir):
     out = callset.flipped(adapters.calls(spark, sf_dir), F.col("Remapped_Discordant").cast("int") % 2 == 0, support=True)
-    long = lambda c: F.col(f"`{c}`").cast("long")
-    return out.select(F.col("UUID").alias("uuid"), F.col("TSD_5prime").alias("tsd5"), F.col("TSD_3prime").alias("tsd3"), long("5_Prime_End").alias("end5"), F.col("Sample_support_5p").alias("support5"), long("5p_Cons_Len").alias("cons5"))
+    shown = lambda c: F.round(F.col(f"`{c}`").cast("double"), 6).alias(c) if "Match" in c else F.col(f"`{c}`")
+    return out.select("UUID", *[shown(c) for pair in SWAPS for c in pair])
 
 
 @query("""SELECT doc_id, CASE WHEN contains(seq || repeat('A', (doc_id % 25)::INT), repeat('A', 20)) THEN '+' WHEN contains(seq, repeat('T', 20)) THEN '-' ELSE 'NA' END AS orient FROM seqs""")
@@ -179,27 +197,54 @@ def reconciled_targets(spark, sf_dir):
     return callset.reconciled(pairs.select("uuid", "be1", "be2", "poly_a_1", "poly_a_2"), matches)
 
 
-@query("""x1 AS (SELECT *, CASE WHEN q % 5 > 0 THEN n % 2 = 0 END AS three FROM calls)
-SELECT uuid AS "UUID", CASE WHEN three THEN (o * 10 + q)::VARCHAR WHEN NOT three THEN (o * 10)::VARCHAR ELSE 'NA' END AS "5_Prime_End", super AS "Superfamily", sub AS "Subfamily",
-  CASE WHEN three IS NULL THEN (q % 40)::VARCHAR WHEN three THEN least(te_e, q % 40)::VARCHAR ELSE least(te_s, q % 40)::VARCHAR END AS "TE_Align_Start", CASE WHEN q % 4 = 0 THEN 'NA' WHEN q % 3 = 0 THEN 'Y' ELSE 'N' END AS "Inversion",
-  CASE WHEN three THEN q % 6 WHEN NOT three THEN n ELSE 0 END AS "Split_reads_5prime", round(coalesce(q / nullif(p % 20, 0)::DOUBLE, 0.0), 6) AS "Remap_Disc_Fraction", round(n / (n + q % 6)::DOUBLE, 6) AS "Remap_Split_Fraction",
-  CASE WHEN three THEN 8 WHEN NOT three THEN 4 ELSE 0 END AS "5p_Cons_Len", CASE WHEN three THEN 'b|' || (q % 6) WHEN NOT three THEN 'a|' || n ELSE 'NA' END AS "Sample_support_5p", 2 AS "Sample_count", 'NA' AS "Filter" FROM x1""")
+def records_sql() -> str:
+    """All columns of the output table from the values of both ends, over `calls`."""
+
+    def ends(be1: str, be2: str) -> tuple[str, str]:
+        return tuple(f"CASE WHEN three THEN {x} WHEN NOT three THEN {y} END" for x, y in ((be2, be1), (be1, be2)))
+
+    text = lambda x: f"coalesce(({x})::VARCHAR, 'NA')"
+    number = lambda x: f"coalesce(({x})::DOUBLE, 0.0)"
+    whole = lambda x: f"coalesce(({x})::BIGINT, 0)"
+    yes = lambda x: f"CASE WHEN {x} THEN 'Y' ELSE 'N' END"
+    share = lambda a, b: f"round(coalesce({a} / nullif({b}, 0)::DOUBLE, 0.0), 6)"
+    both = {
+        ("5_Prime_End", "3_Prime_End"): (text, "o * 10", "o * 10 + q"), ("Orient_5p", "Orient_3p"): (text, "CASE WHEN n % 2 = 0 THEN '+' ELSE '-' END", "CASE WHEN p % 2 = 0 THEN '+' ELSE '-' END"),
+        ("5p_Elt_Match", "3p_Elt_Match"): (number, "(q % 10) / 16.0", "(n % 10) / 8.0"), ("5p_Genome_Match", "3p_Genome_Match"): (number, "(q % 7) / 8.0", "CASE WHEN p % 2 = 0 THEN 0.5 END"),
+        ("Split_reads_5prime", "Split_reads_3prime"): (whole, "n", "q % 6"), ("5p_Cons_Len", "3p_Cons_Len"): (whole, "len('ACGT')", "len('ACGTACGT')"), ("5p_Improved", "3p_Improved"): (yes, "n % 3 = 0", "p % 3 = 0"),
+        ("TSD_5prime", "TSD_3prime"): (text, "'AC'", "CASE WHEN p % 4 > 0 THEN 'ACG' END"), ("Sample_support_5p", "Sample_support_3p"): (text, "'a|' || n", "'b|' || (q % 6)"),
+        ("Genomic_Consensus_5p", "Genomic_Consensus_3p"): (text, "'ACGT'", "'ACGTACGT'"), ("Insert_Consensus_5p", "Insert_Consensus_3p"): (text, "NULL", "CASE WHEN p % 3 = 0 THEN 'TT' END"),
+    }
+    out = {name: kind(x) for names, (kind, be1, be2) in both.items() for name, x in zip(names, ends(be1, be2), strict=True)}
+    start, end = ends("te_s", "te_e")[0], ends("te_e", "te_e + 9")[1]
+    out |= {
+        "UUID": "uuid", "Chromosome": "'chr' || (s % 5)", "Left_Extreme": "(o * 10)::VARCHAR", "Right_Extreme": "(o * 10 + q * 20)::VARCHAR", "Superfamily": "super", "Subfamily": "sub",
+        "TE_Align_Start": text(f"least({start}, q % 40)"), "TE_Align_End": text(f"greatest({end}, CASE WHEN q % 2 = 0 THEN 500 END)"), "Inversion": "CASE WHEN q % 4 = 0 THEN 'NA' WHEN q % 3 = 0 THEN 'Y' ELSE 'N' END",
+        "Remapped_Discordant": "q::BIGINT", "Remap_Disc_Fraction": share("q", "p % 20"), "Remapped_Splitreads": "n::BIGINT", "Remap_Split_Fraction": share("n", "n + q % 6"),
+        "Sample_count": "2::BIGINT", "Genotypes": "CASE WHEN q % 3 = 0 THEN 'a|1' ELSE 'NA' END", "Filter": "'NA'",
+    }
+    columns = ", ".join(f'{out[c]} AS "{c}"' for c in callset.OUTPUT)
+    return f"x1 AS (SELECT *, CASE WHEN q % 5 > 0 THEN n % 2 = 0 END AS three FROM calls) SELECT {columns} FROM x1"
+
+
+@query(records_sql())
 def output_records(spark, sf_dir):
-    q, o, p, s, n = F.col("l_quantity").cast("int"), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    """All columns of the output table, from calls whose two ends differ in every field."""
     of = adapters.calls(spark, sf_dir)
     name = F.concat_ws(":", of["Superfamily"], of["Subfamily"])
-    text, i = (lambda k: F.get(F.split("UUID", "-"), F.lit(k)).cast("long")), F.col
-    q, o, n, p, s = i("Remapped_Discordant").cast("int"), text(0), text(1), text(2), text(3)
-    half = lambda k: {
-        f"be{k}_breakpos": o * 10 if k == 1 else o * 10 + q, f"be{k}_orient": F.lit("+"), f"be{k}_target_start": q * 3 if k == 1 else q * 3 + s * 7, f"be{k}_target_end": q * 3 + s * 7, f"be{k}_pct_match": F.lit(0.9), f"be{k}_avgmatch": F.lit(0.8),
-        f"be{k}_sr_count": n if k == 1 else q % 6, f"be{k}_cons_seq": F.lit("ACGT" * k), f"be{k}_te_cons_seq": F.lit(None).cast("string"), f"be{k}_end_over": F.lit("AC"), f"be{k}_improved": F.lit(k == 1),
-        f"be{k}_support": F.array(F.concat(F.lit("a|"), n.cast("string")) if k == 1 else F.concat(F.lit("b|"), (q % 6).cast("string")))}
-    rows = of.select(F.col("UUID").alias("uuid"), F.col("Chromosome").alias("chrom"), F.col("Left_Extreme").alias("min_supporting_base"), F.col("Right_Extreme").alias("max_supporting_base"), name.alias("best_ref"),
-        F.when(q % 5 > 0, n % 2 == 0).alias("be1_is_3prime"), F.when(q % 4 > 0, q % 3 == 0).alias("inversion"), (q % 40).alias("remap_min_pos"), F.lit(None).cast("int").alias("remap_max_pos"), q.alias("remap_dr_count"), n.alias("remap_sr_count"), (p % 20).alias("dr_count"), F.lit("").alias("genotypes"),
-        *[v.alias(c) for k in (1, 2) for c, v in half(k).items()])
+    at = lambda k: F.get(F.split("UUID", "-"), F.lit(k)).cast("long")
+    q, o, n, p, s = F.col("Remapped_Discordant").cast("int"), at(0), at(1), at(2), at(3)
+    sign = lambda x: F.when(x % 2 == 0, "+").otherwise("-")
+    of_end = {
+        "breakpos": (o * 10, o * 10 + q), "orient": (sign(n), sign(p)), "target_start": (q * 3, q * 3 + s * 7), "target_end": (q * 3 + s * 7, q * 3 + s * 7 + 9), "pct_match": (q % 10 / 16.0, n % 10 / 8.0),
+        "avgmatch": (q % 7 / 8.0, F.when(p % 2 == 0, 0.5)), "sr_count": (n, q % 6), "cons_seq": (F.lit("ACGT"), F.lit("ACGTACGT")), "te_cons_seq": (F.lit(None).cast("string"), F.when(p % 3 == 0, "TT")),
+        "end_over": (F.lit("AC"), F.when(p % 4 > 0, "ACG")), "improved": (n % 3 == 0, p % 3 == 0), "support": (F.array(F.concat(F.lit("a|"), n.cast("string"))), F.array(F.concat(F.lit("b|"), (q % 6).cast("string"))))}
+    rows = of.select(
+        F.col("UUID").alias("uuid"), F.col("Chromosome").alias("chrom"), F.col("Left_Extreme").alias("min_supporting_base"), F.col("Right_Extreme").alias("max_supporting_base"), name.alias("best_ref"),
+        F.when(q % 5 > 0, n % 2 == 0).alias("be1_is_3prime"), F.when(q % 4 > 0, q % 3 == 0).alias("inversion"), (q % 40).alias("remap_min_pos"), F.when(q % 2 == 0, 500).alias("remap_max_pos"), q.alias("remap_dr_count"), n.alias("remap_sr_count"), (p % 20).alias("dr_count"),
+        F.when(q % 3 == 0, "a|1").otherwise("").alias("genotypes"), *[v.alias(f"be{k + 1}_{c}") for c, pair in of_end.items() for k, v in enumerate(pair)])
     out = callset.output_records(rows)
-    shown = ["UUID", "5_Prime_End", "Superfamily", "Subfamily", "TE_Align_Start", "Inversion", "Split_reads_5prime", "5p_Cons_Len", "Sample_support_5p", "Sample_count", "Filter"]
-    return out.select(*[F.col(f"`{c}`") for c in shown], *[F.round(F.col(c), 6).alias(c) for c in ("Remap_Disc_Fraction", "Remap_Split_Fraction")])
+    return out.select(*[F.round(F.col(c), 6).alias(c) if c in ("Remap_Disc_Fraction", "Remap_Split_Fraction") else F.col(f"`{c}`") for c in callset.OUTPUT])
 
 
 @query("""x1 AS (SELECT uuid, s % 5 AS chrom, o % 500 AS b1, CASE WHEN q % 2 = 0 THEN o % 500 ELSE o % 500 + 7 END AS b2, n + q % 6 AS sr, q FROM calls),
@@ -248,11 +293,12 @@ def isoform_choice(spark, sf_dir):
     return callset.isoform_choice(parts.select("p_partkey", "element"), library.select("element"), scores, "p_partkey")
 
 
-@query("""x1 AS (SELECT user_id % 40 AS uid, string_agg(s || '|' || e || '|' || mapq, ',' ORDER BY s, e, mapq) AS maps, count(*) AS n FROM reads WHERE contig = 'click' GROUP BY 1),
-x2 AS (SELECT DISTINCT user_id % 40 AS uid FROM reads) SELECT uid, coalesce(maps, '') AS maps, coalesce(n, 0) AS n FROM x2 LEFT JOIN x1 USING (uid)""")
+@query("""x1 AS (SELECT user_id % 40 AS uid, string_agg(s || '|' || e || '|' || mapq, ',' ORDER BY s, e, mapq) AS maps, count(*) AS n FROM reads GROUP BY 1),
+x2 AS (SELECT DISTINCT user_id % 40 AS uid FROM reads UNION SELECT -1) SELECT uid, coalesce(maps, '') AS maps, coalesce(n, 0) AS n FROM x2 LEFT JOIN x1 USING (uid)""")
 def breakend_mappings(spark, sf_dir):
     rows = adapters.reads(spark, sf_dir).withColumn("uid", F.col("user_id") % 40)
-    out = brk.mappings_by_breakend(rows.select("uid").distinct(), rows.where("contig = 'click'"), "uid")
+    ends = rows.select("uid").distinct().unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("uid")))  # one without mappings
+    out = brk.mappings_by_breakend(ends, rows, "uid")
     text = F.transform("mappings", lambda m: F.concat_ws("|", m["s"].cast("string"), m["e"].cast("string"), m["mapq"].cast("string")))
     return out.select("uid", F.array_join(text, ",").alias("maps"), F.size("mappings").cast("long").alias("n"))
 

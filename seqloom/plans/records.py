@@ -298,19 +298,21 @@ def block_scores(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", seqs.blocks_score(m, r, x, qg, tg).alias("score"), F.round(seqs.blocks_identity(m, r, x, qg, m + F.col("l_partkey") % 9, m), 6).alias("identity"))
 
 
-@query("""x1 AS (SELECT doc_id, substr(seq, 4, 10) || substr(seq, 31, 25) AS w FROM seqs)
+@query("""x1 AS (SELECT doc_id, substr(seq, 1, len(seq) // 4) || substr(seq, len(seq) // 2 + 1) AS w FROM seqs)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS transcript FROM x1""")
 def spliced_transcripts(spark, sf_dir):
-    at = lambda *x: F.array(*map(F.lit, x))
+    """The first quarter and the second half of each text as exons."""
+    n = F.length("seq")
+    starts, ends = F.array(F.lit(0).cast("long"), F.floor(n / 2)), F.array(F.floor(n / 4), n.cast("long"))
     strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
-    return adapters.sequences(spark, sf_dir).select("doc_id", seqs.spliced(F.col("seq"), at(3, 30), at(13, 55), strand).alias("transcript"))
+    return adapters.sequences(spark, sf_dir).select("doc_id", seqs.spliced(F.col("seq"), starts, ends, strand).alias("transcript"))
 
 
-@query("""SELECT tid, substr(seq, least(o.tid % 500, 400)::INT + 1, 300) AS bases FROM targets o JOIN seqs ON doc_id = tid % 100""")
+@query("""SELECT tid, substr(seq, (o.tid * 37 % 5000)::INT + 1, 300) AS bases FROM targets o JOIN seqs ON doc_id = tid % 1000""")
 def tiled_fetch(spark, sf_dir):
     tiled = genome.tiles(adapters.sequences(spark, sf_dir).select(F.col("doc_id").alias("contig"), "seq"), 128)
-    s = F.least(F.col("tid") % 500, F.lit(400))
-    regions = adapters.targets(spark, sf_dir).select("tid", (F.col("tid") % 100).alias("contig"), s.alias("s"), (s + 300).alias("e"))
+    s = F.col("tid") * 37 % 5000
+    regions = adapters.targets(spark, sf_dir).select("tid", (F.col("tid") % 1000).alias("contig"), s.alias("s"), (s + 300).alias("e"))
     known = adapters.sequences(spark, sf_dir).select(F.col("doc_id").alias("contig"))
     return genome.fetched(regions.join(known, "contig", "left_semi"), tiled, "tid", 128).select("tid", F.col("seq").alias("bases"))
 
