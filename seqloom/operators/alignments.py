@@ -105,6 +105,15 @@ def mates(alignments: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct("_s", "_id"))["_id"].alias("mate_id"))
 
 
+def mapped_mates(alignments: DataFrame) -> DataFrame:
+    """id, mate_id: for reads whose mate is mapped, the first record at the mate's place (by s, then id; it covers the base
+    mate_s) of the same sample and name that is primary and whose bases differ. Reads without one are left out."""
+    other = alignments.where(is_primary()).select("sample", "qname", F.col("contig").alias("_contig"), F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("id").alias("_id"), F.col("seq").alias("_seq"))
+    asked = alignments.where(mate_is_mapped()).select("id", "sample", "qname", "mate_contig", "mate_s", "seq")
+    met = asked.join(other, ["sample", "qname"]).where("_contig = mate_contig and _s <= mate_s and mate_s < _e and _seq <> seq")
+    return met.groupBy("id").agg(F.min(F.struct("_s", "_id"))["_id"].alias("mate_id"))
+
+
 def first_unmapped_mates(alignments: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, sample, id: of each cluster's (cluster, sample, qname) unmapped mates only the first of each sample."""
     found = clusters.join(alignments.where(has(UNMAPPED)).select("sample", "qname", "id"), ["sample", "qname"])

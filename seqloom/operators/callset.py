@@ -428,7 +428,8 @@ def overlapping_genes(calls: DataFrame, genes: DataFrame, key: str, family: str)
     """key of calls (contig, s, e) that overlap the gene (contig, s, e, gene) which their family is a copy of: the family
     less its last '.' part."""
     left = calls.select(key, "contig", "s", "e", without_last_part(F.col(family)).alias("_name"))
-    return overlap_pairs(left, genes.select("contig", "s", "e", "gene")).where("_name = gene").select(key).distinct()
+    hit = any_overlap(left, genes.withColumn("_name", F.col("gene")), ("contig", "_name"), name="_hit")
+    return hit.where("_hit").select(key).distinct()
 
 
 def near_family(calls: DataFrame, known: DataFrame, key: str, families: str, pad: int = 0, most_divergence: float | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from seqloom.operators import callset, clustering, evidence
 from seqloom.operators.sweeps import any_overlap
 from seqloom.plans.catalogue import discordant
 from seqloom.plans.records import query
+from seqloom.sources.genome import tracks
 
 MATCHES = "greatest(1 - disc, 1 - tax)"
 GENOME = "greatest(1 - tax / 2, 1 - disc / 2)"
@@ -67,14 +68,19 @@ def final_filter(spark, sf_dir):
     return judged(spark, sf_dir).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
 
 
-@query(FINAL + """, x2 AS (SELECT uuid, unknown, mappability, tsd3, concat_ws(',', CASE WHEN t <> '' THEN t END, CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.tid % 5 = y.s % 5 AND t.s < y.o * 10 + y.q * 20 AND y.o * 10 < t.e) THEN 'PositionFilter' END, CASE WHEN (n % 2 = 0) <> (p % 2 = 0) THEN 'NoOrient' END) AS t FROM x1 JOIN (SELECT DISTINCT uuid, n, p, o, q, s FROM final) y USING (uuid))
+@query(FINAL + """, x2 AS (SELECT uuid, unknown, mappability, tsd3, concat_ws(',', CASE WHEN t <> '' THEN t END, CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.tid % 5 = y.s % 5 AND t.s < y.o * 10 + y.q * 20 AND y.o * 10 < t.e) THEN 'PositionFilter' END,
+    CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.tid % 5 = y.s % 5 AND t.tid % 7 = y.q % 7 AND t.s < y.o * 10 + y.q * 20 AND y.o * 10 < t.e) THEN 'OverlapRefgene' END, CASE WHEN (n % 2 = 0) <> (p % 2 = 0) THEN 'NoOrient' END) AS t FROM x1 JOIN (SELECT DISTINCT uuid, n, p, o, q, s FROM final) y USING (uuid))
 SELECT uuid, CASE WHEN unknown THEN 'UnknownInsType' WHEN t <> '' THEN t WHEN mappability < 0.5 THEN 'LowMap' WHEN regexp_matches(tsd3, 'A{22}') THEN 'HomopolSite' ELSE 'PASS' END AS filter FROM x2""")
 def general_filter(spark, sf_dir):
-    """Tracks of positions to leave out: the targets, by the last digit of their number on the calls' chromosomes."""
-    track = adapters.targets(spark, sf_dir).select(F.concat(F.lit("chr"), (F.col("tid") % 5).cast("string")).alias("contig"), "s", "e")
+    """Positions to leave out are the targets, dealt over the calls' chromosomes by their number, in two tracks; so are genes,
+    which calls are copies of by their number of discordant reads."""
+    named = lambda c: F.concat(F.lit("G"), (c % 7).cast("string"))
+    track = adapters.targets(spark, sf_dir).select(F.concat(F.lit("chr"), (F.col("tid") % 5).cast("string")).alias("contig"), "s", "e", named(F.col("tid")).alias("gene"))
     rows = adapters.calls(spark, sf_dir).withColumns({"contig": F.col("Chromosome"), "s": F.col("Left_Extreme").cast("long"), "e": F.col("Right_Extreme").cast("long")})
-    rows = any_overlap(rows, track, name="listed")
-    return judged(spark, sf_dir, [("PositionFilter", F.col("listed")), ("NoOrient", F.col("Orient_5p") != F.col("Orient_3p"))], rows).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
+    both = tracks({"even": track.where("s % 2 = 0"), "odd": track.where("s % 2 = 1")})
+    copies = callset.overlapping_genes(rows.withColumn("family", F.concat(named(F.col("Remapped_Discordant").cast("int")), F.lit(".x"))), track, "UUID", "family")
+    rows = any_overlap(rows, both, name="listed").join(copies.withColumn("copied", F.lit(True)), "UUID", "left")
+    return judged(spark, sf_dir, [("PositionFilter", F.col("listed")), ("OverlapRefgene", F.coalesce("copied", F.lit(False))), ("NoOrient", F.col("Orient_5p") != F.col("Orient_3p"))], rows).select(F.col("UUID").alias("uuid"), F.col("Filter").alias("filter"))
 
 
 SPECIES = """xk1 AS (SELECT 'chr' || tid % 5 AS contig, s, e, list_extract(['L1', 'ALU', 'SVA', 'NA', 'LTR', 'SINE'], (tid % 6 + 1)::INT) AS family, tid % 20 AS divergence FROM targets WHERE tid % 5 < 4),

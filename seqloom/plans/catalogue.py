@@ -260,7 +260,8 @@ def vcf_genotypes(spark, sf_dir):
     dose = F.when(alt + ref < 1, 0.0).otherwise(2 - 2 * evidence.fraction(alt, ref))
     calls = counts.select("tid", "sample", evidence.genotype_call(alt, ref, 1).alias("gt"), dose.alias("dose"))
     info = F.concat(F.lit("ELT="), "class")
-    return text.vcf_lines(sites.withColumn("pos", F.col("s")), calls, ["0", "1", "2"], info).select("tid", "line")
+    samples = text.vcf_samples(adapters.reads(spark, sf_dir))
+    return text.vcf_lines(sites.withColumn("pos", F.col("s")), calls, samples, info).select("tid", "line")
 
 
 @query("""x1 AS (SELECT user_id, sample, count(*) AS n, max(mapq) AS m FROM reads GROUP BY ALL)

@@ -96,6 +96,12 @@ def mate_lookup(spark, sf_dir):
     return aln.mates(adapters.alignments(spark, sf_dir))
 
 
+@query("""x1 AS (SELECT a.id, b.id AS mate_id, row_number() OVER (PARTITION BY a.id ORDER BY b.s, b.id) AS k FROM alns a JOIN alns b ON a.sample = b.sample AND a.qname = b.qname AND a.seq <> b.seq
+  AND a.mate_contig = b.contig AND b.s <= a.mate_s AND a.mate_s < b.e WHERE NOT b.secondary AND NOT b.supplementary AND NOT a.mate_unmapped) SELECT id, mate_id FROM x1 WHERE k = 1""")
+def mapped_mate_lookup(spark, sf_dir):
+    return aln.mapped_mates(adapters.alignments(spark, sf_dir))
+
+
 @query("""SELECT a.contig AS cluster, a.sample, min(b.id) AS id FROM alns a JOIN alns b ON a.sample = b.sample AND a.qname = b.qname WHERE b.unmapped GROUP BY ALL""")
 def first_unmapped_mates(spark, sf_dir):
     a = adapters.alignments(spark, sf_dir)

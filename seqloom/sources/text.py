@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from seqloom.operators.evidence import of_every_sample
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """seq_id (first token of the header), seq (wrapped lines joined). A record starts at a > that begins a line; of
@@ -48,22 +50,36 @@ def write_table(df: DataFrame, path: str) -> None:
 VCF_VERSION, VCF_COLUMNS = "##fileformat=VCFv4.1", "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split()
 
 
-def vcf_lines(sites: DataFrame, calls: DataFrame, samples: list[str], info: Column) -> DataFrame:
-    """tid, contig, pos, line: one VCF line per site (tid, contig, pos), GT:DS of each sample in the given order.
+def vcf_samples(samples: DataFrame) -> DataFrame:
+    """sample, place: distinct names (sample) as text, with their columns in the order of the names."""
+    names = samples.select(F.col("sample").cast("string").alias("sample")).where("sample is not null").distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy("sample")))  # one row a sample file
+
+
+def vcf_lines(sites: DataFrame, calls: DataFrame, samples: DataFrame, info: Column) -> DataFrame:
+    """tid, contig, pos, line: one VCF line per site (tid, contig, pos), GT:DS of each sample in its place.
 
-    calls (tid, sample, gt, dose) hold the genotypes; a sample without one has ./.:0.000. Null fields are dots.
+    calls (tid, sample, gt, dose) hold the genotypes, of several of a sample the greatest text; a sample without one has
+    ./.:0.000. samples (see vcf_samples) is a table, of any number of rows: a site meets each of them, and
+    its line is put together from the rows in order. Null fields are dots.
     """
     text = F.format_string("%s:%.3f", F.coalesce("gt", F.lit("./.")), F.round(F.coalesce("dose", F.lit(0.0)), 3))
-    of_site = calls.groupBy("tid").agg(*[F.max(F.when(F.col("sample").cast("string") == s, text)).alias(f"_s{i}") for i, s in enumerate(samples)])
+    told = calls.select("tid", F.col("sample").cast("string").alias("sample"), text.alias("_text")).join(samples, "sample").select("tid", "place", "_text")
+    none = of_every_sample(sites.select("tid"), samples.select(F.col("place").alias("sample"))).select("tid", F.col("sample").alias("place"), F.lit("").alias("_text"))
+    each = none.unionByName(told).groupBy("tid", "place").agg(F.max("_text").alias("_text"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_text"))), lambda x: F.when(x["_text"] == "", "./.:0.000").otherwise(x["_text"])), "\t")
+    of_site = each.groupBy("tid").agg(line.alias("_samples"))
     dot = lambda c: F.coalesce(c.cast("string"), F.lit("."))
     fields = [dot(F.col("contig")), dot(F.col("pos")), *map(F.lit, [".", "REF", "ALT", "100", "PASS"]), dot(info), F.lit("GT:DS")]
-    fields += [F.coalesce(f"_s{i}", F.lit("./.:0.000")) for i in range(len(samples))]
+    fields += [F.col("_samples")]
     return sites.join(of_site, "tid", "left").select("tid", "contig", "pos", F.concat_ws("\t", *fields).alias("line"))
 
 
-def write_vcf(lines: DataFrame, samples: list[str], path: str) -> None:
-    """Part files that are one VCF when read by name: header first, then lines by contig and position."""
-    head = lines.sparkSession.createDataFrame([(k, x) for k, x in enumerate([VCF_VERSION, "\t".join([*VCF_COLUMNS, *samples])])], "pos long, line string")
+def write_vcf(lines: DataFrame, samples: DataFrame, path: str) -> None:
+    """Part files that are one VCF when read by name: header first, then lines by contig and position. The header is one
+    line with a name a sample (see vcf_samples)."""
+    names = [r["sample"] for r in samples.orderBy("place").collect()]
+    head = lines.sparkSession.createDataFrame([(k, x) for k, x in enumerate([VCF_VERSION, "\t".join([*VCF_COLUMNS, *names])])], "pos long, line string")
     rows = head.select(F.lit(0).alias("kind"), F.lit("").alias("contig"), "pos", "line").unionByName(lines.select(F.lit(1).alias("kind"), "contig", F.col("pos").cast("long").alias("pos"), "line"))
     rows.orderBy("kind", "contig", "pos", "line").select("line").write.mode("overwrite").text(path)
 

@@ -161,7 +161,8 @@ def test_rank_test_by_pairs():
 def test_vcf_and_fastq(spark, tmp_path):
     sites = spark.createDataFrame([(1, "x", 20, "L1"), (2, "x", 5, None)], "tid long, contig string, pos long, class string")
     calls = spark.createDataFrame([(1, "s2", "0/1", 1.0)], "tid long, sample string, gt string, dose double")
-    text.write_vcf(text.vcf_lines(sites, calls, ["s1", "s2"], F.col("class")), ["s1", "s2"], str(tmp_path / "v"))
+    names = text.vcf_samples(spark.createDataFrame([("s2",), ("s1",), ("s1",), (None,)], "sample string"))
+    text.write_vcf(text.vcf_lines(sites, calls, names, F.col("class")), names, str(tmp_path / "v"))
     lines = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part-*"))).splitlines()
     assert lines[0] == "##fileformat=VCFv4.1" and lines[1].split("\t")[-3:] == ["FORMAT", "s1", "s2"]
     assert lines[2:] == ["x\t5\t.\tREF\tALT\t100\tPASS\t.\tGT:DS\t./.:0.000\t./.:0.000", "x\t20\t.\tREF\tALT\t100\tPASS\tL1\tGT:DS\t./.:0.000\t0/1:1.000"]
