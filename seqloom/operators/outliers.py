@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -17,24 +18,40 @@ def mean_depth(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grown(x: np.ndarray, r: np.random.Generator) -> np.ndarray:
-    """One isolation tree as rows (feature or -1, cut, left, right, path length at a leaf)."""
-    most, nodes, todo = math.ceil(math.log2(max(2, len(x)))), [[-1.0, 0.0, 0.0, 0.0, 0.0]], [(0, x, 0)]
+def drawn(*of: object) -> float:
+    """A number from 0 to 1 (not reached), drawn by the MD5 of what it is for: 52 bits, which SQL can draw as well."""
+    return int(hashlib.md5(":".join(map(str, of)).encode()).hexdigest()[:13], 16) / 16**13
+
+
+def grown(x: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """The isolation tree of that number as rows (feature or -1, cut, left, right, path length at a leaf).
+
+    Places are numbered as in a heap (1 above 2 and 3); a place's feature, among those that differ in its rows, and its
+    cut between their least and greatest value are drawn for the seed, the tree and the place.
+    """
+    most, nodes, todo = math.ceil(math.log2(max(2, len(x)))), [[-1.0, 0.0, 0.0, 0.0, 0.0]], [(0, x, 0, 1)]
     while todo:
-        at, rows, depth = todo.pop()
+        at, rows, depth, place = todo.pop()
         wide = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 else []
         if depth >= most or not len(wide):
             nodes[at][4] = depth + mean_depth(len(rows))
             continue
-        f = int(r.choice(wide))
-        cut = r.uniform(rows[:, f].min(), rows[:, f].max())
+        f = int(wide[int(drawn(seed, number, place, 0) * len(wide))])
+        low, high = rows[:, f].min(), rows[:, f].max()
+        cut = low + drawn(seed, number, place, 1) * (high - low)
         below = rows[:, f] <= cut
         nodes[at][:4] = [f, cut, len(nodes), len(nodes) + 1]
-        todo += [(len(nodes), rows[below], depth + 1), (len(nodes) + 1, rows[~below], depth + 1)]
+        todo += [(len(nodes), rows[below], depth + 1, 2 * place), (len(nodes) + 1, rows[~below], depth + 1, 2 * place + 1)]
         nodes += [[-1.0, 0.0, 0.0, 0.0, 0.0] for _ in range(2)]
     return np.array(nodes)
 
 
+def picked(hashes: list[int], x: np.ndarray, n: int, number: int) -> np.ndarray:
+    """The n rows of a tree: the first by the MD5 of the tree's number and the row's hash (ties by value)."""
+    names = [hashlib.md5(f"{number}:{h}".encode()).hexdigest()[:15] for h in hashes]
+    return x[np.lexsort([*x.T[::-1], names])[:n]]
+
+
 def path_length(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
     while (inner := tree[at, 0] >= 0).any():
@@ -47,21 +64,21 @@ def isolation_scores(df: DataFrame, group: str, features: Sequence[str], key: Se
     """group, key columns, score (0 to 1, outliers high), pred (-1 for scores over 0.5, else 1; known rows always 1).
 
     One forest a group, fitted on a sample of about `sample` of its training rows, drawn by a hash of the key;
-    so a group of any size fits into a task. Forests are of fixed size: up to most_groups of them go to all tasks, where
+    so a group of any size fits into a task. All draws are MD5's of what they are for, so runs agree whatever the
+    partitions, and SQL can grow the same trees. Forests are of fixed size: up to most_groups of them go to all tasks, where
     every row is scored; more stay a table that rows meet by group, in slots of about `slot` rows, so that a large group is
     spread. Null features count as 0; null is a group of its own; a group without training rows has score 0.5. An empty
     table gives no rows.
     """
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)]
-    h = F.xxhash64(F.lit(seed), *key)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *key)), 1, 15), 16, 10).cast("long")
     rows = df.select(F.col(group).alias("g"), *key, F.coalesce(known, F.lit(False)).alias("known"), F.coalesce(train, F.lit(False)).alias("train"), h.alias("h"), *cols)
     sizes = rows.groupBy("g").agg(F.count_if("train").alias("n"), F.count(F.lit(1)).alias("m"))
     names = [f"f{i}" for i in range(len(features))]
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values(["h", *names])[names].to_numpy(float)
-        r = np.random.default_rng(seed)
-        forest = [grown(x[r.choice(len(x), min(rows_per_tree, len(x)), replace=False)], r) for _ in range(trees)]
+        x, hashes = frame[names].to_numpy(float), frame["h"].tolist()
+        forest = [grown(picked(hashes, x, rows_per_tree, t), seed, t) for t in range(trees)]
         return pd.DataFrame({"g": frame["g"].iloc[:1].astype(object), "size": [min(rows_per_tree, len(x))], "ends": [np.cumsum([len(t) for t in forest]).tolist()], "nodes": [np.concatenate(forest).tobytes()]})
 
     kind = dict(rows.dtypes)["g"]
@@ -69,8 +86,8 @@ def isolation_scores(df: DataFrame, group: str, features: Sequence[str], key: Se
     of_group = sizes.select(F.col("g").alias("_g"), share.alias("share"), F.ceil(F.col("m") / slot).cast("int").alias("slots"))
     many = sizes.limit(most_groups + 1).count() > most_groups
     placed = rows.join(of_group if many else F.broadcast(of_group), rows["g"].eqNullSafe(of_group["_g"]))
-    picked = placed.where(F.col("train") & (F.pmod("h", F.lit(1_000_000)) < F.col("share"))).select(*rows.columns)
-    forests = picked.groupBy("g").applyInPandas(fit, f"g {kind}, size int, ends array<int>, nodes binary")
+    chosen = placed.where(F.col("train") & (F.pmod("h", F.lit(1_000_000)) < F.col("share"))).select(*rows.columns)
+    forests = chosen.groupBy("g").applyInPandas(fit, f"g {kind}, size int, ends array<int>, nodes binary")
 
     def scores(frame: pd.DataFrame, size: int, forest: list[np.ndarray]) -> np.ndarray:
         x = frame[names].to_numpy(float)

@@ -9,6 +9,7 @@ from seqloom.adapters import table
 from seqloom.functions import sequences as seqs
 from seqloom.operators import callset, quotas
 from seqloom.plans.callsets import raw_calls
+from seqloom.plans.catalogue import SQL
 from seqloom.plans.records import query
 from seqloom.streaming.sessions import SessionStream
 
@@ -61,3 +62,40 @@ def longest_duplications(spark, sf_dir):
     right = F.concat(F.substring(other, 1, 5), F.substring(s, (F.col("id") % 3 + 5).cast("int"), F.lit(9)), F.substring(other, 15, 6))
     rows = adapters.alignments(spark, sf_dir).select("id", F.substring(s, 1, 20).alias("l"), right.alias("r"))
     return rows.select("id", seqs.longest_duplication(F.col("l"), F.col("r"), F.lit(9), F.lit(9)).alias("tsd"))
+
+
+def forest_sql(trees: int = 100, rows_per_tree: int = 256, sample: int = 8192, seed: int = 42) -> str:
+    """The isolation forests of lineitem by return flag in SQL: trees are tables of places, a level after the other."""
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    names = [f"f{i}" for i in range(len(features))]
+    cols = ", ".join(f"coalesce({c}::DOUBLE, 0.0) AS f{i}" for i, c in enumerate(features))
+    lists = lambda of: "[" + ", ".join(f"{of}({c})" for c in names) + "]"
+    drawn = lambda k: f"('0x' || substr(md5('{seed}:' || t || ':' || place || ':{k}'), 1, 13))::BIGINT / {16**13}.0::DOUBLE"
+    depth_of = lambda n: f"CASE WHEN {n} < 2 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n}::DOUBLE END"
+    value = "CASE f WHEN " + " WHEN ".join(f"{i} THEN f{i}" for i in range(len(names))) + " END"
+    levels = rows_per_tree.bit_length() - 1
+    out = [
+        f"r AS (SELECT l_returnflag AS g, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linenumber > 1 AS train, l_quantity > 49 AS known, ('0x' || substr(md5(concat_ws(':', {seed}, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT AS h, {cols} FROM lineitem)",
+        f"share AS (SELECT g, least(1000000, floor(1e6 * {sample} / count(*)) + 1) AS share FROM r WHERE train GROUP BY g)",
+        "chosen AS (SELECT r.* FROM r JOIN share USING (g) WHERE train AND h % 1000000 < share)",
+        f"dealt AS (SELECT g, t, {', '.join(names)}, row_number() OVER (PARTITION BY g, t ORDER BY substr(md5(t || ':' || h), 1, 15), {', '.join(names)}) AS k FROM chosen, range({trees}) AS n(t))",
+        f"m0 AS (SELECT g, t, 1 AS place, {', '.join(names)} FROM dealt WHERE k <= {rows_per_tree})",
+        f"sizes AS (SELECT g, least({rows_per_tree}, count(*)) AS n FROM chosen GROUP BY g)",
+    ]
+    for d in range(levels + 1):
+        out.append(f"a{d} AS (SELECT g, t, place, count(*) AS n, {lists('min')} AS lo, {lists('max')} AS hi FROM m{d} GROUP BY g, t, place)")
+        out.append(f"w{d} AS (SELECT a{d}.*, list_filter(range({len(names)}), lambda i: hi[i + 1] > lo[i + 1]) AS wide, {d} < ceil(log2(greatest(2, s.n))) AS more FROM a{d} JOIN sizes s USING (g))")
+        out.append(f"n{d} AS (SELECT g, t, place, n, more AND len(wide) > 0 AS inner_node, wide[(1 + floor({drawn(0)} * len(wide)))::INT] AS f, {drawn(1)} AS u, lo, hi FROM w{d})")
+        out.append(f"c{d} AS (SELECT g, t, place, CASE WHEN inner_node THEN f ELSE -1 END AS f, lo[(f + 1)::INT] + u * (hi[(f + 1)::INT] - lo[(f + 1)::INT]) AS cut, {d} + {depth_of('n')} AS path FROM n{d})")
+        out.append(f"m{d + 1} AS (SELECT g, t, 2 * place + CASE WHEN {value} <= cut THEN 0 ELSE 1 END AS place, {', '.join(names)} FROM m{d} JOIN c{d} USING (g, t, place) WHERE f >= 0)")
+    keys = "g, l_orderkey, l_partkey, l_suppkey, l_linenumber"
+    out.append(f"p0 AS (SELECT {keys}, known, t, 1 AS place, {', '.join(names)} FROM r JOIN sizes USING (g), range({trees}) AS n(t))")
+    for d in range(levels + 1):
+        out.append(f"e{d} AS (SELECT p{d}.*, f, cut, path FROM p{d} JOIN c{d} USING (g, t, place))")
+        out.append(f"p{d + 1} AS (SELECT {keys}, known, t, 2 * place + CASE WHEN {value} <= cut THEN 0 ELSE 1 END AS place, {', '.join(names)} FROM e{d} WHERE f >= 0)")
+    ended = " UNION ALL ".join(f"SELECT {keys}, known, path FROM e{d} WHERE f < 0" for d in range(levels + 1))
+    out.append(f"scored AS (SELECT {keys}, known, pow(2.0, -avg(path) / (SELECT {depth_of('n')} FROM sizes WHERE sizes.g = x.g)) AS score FROM ({ended}) x GROUP BY {keys}, known)")
+    return f"WITH {', '.join(out)} SELECT g AS l_returnflag, l_orderkey, l_partkey, l_suppkey, l_linenumber, round(score, 6) AS score, CASE WHEN score > 0.5 AND NOT known THEN -1 ELSE 1 END AS pred FROM scored"
+
+
+SQL["isolation_scores"] = forest_sql()
