@@ -66,13 +66,32 @@ def located(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFra
         return saved(rows, folder, "contents").select("id", "text", at)
 
 
+#: Bits of one of Spark's bitmaps, and how many of them are sent to the tasks at most (4 KB each).
+BITMAP_BITS, MOST_BITMAPS = 32_768, 2048
+
+
+def may_be_hit(contents: DataFrame, places: DataFrame) -> DataFrame:
+    """The contents whose locators may be among places: hashes of places set bits in at most MOST_BITMAPS bitmaps (8 MB),
+    which every task gets, so that texts without a hit go no further than the scan that reads them. Other texts pass
+    where hashes meet, by a chance of at most the places' number in 67 million; a join tells them apart.
+    """
+    maps = min(MOST_BITMAPS, max(1, places.count() * 32 // BITMAP_BITS))
+    h = F.xxhash64("locator.file", "locator.place")
+    bucket, bit = F.pmod(h, F.lit(maps)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(BITMAP_BITS)).cast("long")
+    set_bits = places.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = contents.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(set_bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)), F.lit(2)) == 1
+    return marked.where(is_set).select(*contents.columns)
+
+
 def by_content(places: DataFrame, contents: DataFrame) -> DataFrame:
     """digest, norm, keep_id, group_size: the whole texts behind places (locator, digest, id).
 
     Each text is found through its locator, so that a hot digest is as spread as its rows are; equal texts fall
     together, byte by byte, in the task that reads them, before they move by digest.
     """
-    found = contents.join(places.hint("merge"), "locator")  # places grow with the input: never broadcast
+    found = may_be_hit(contents, places).join(places.hint("merge"), "locator")  # places grow with the input: never broadcast
     return found.groupBy("digest", ascii_lower(F.col("text")).alias("norm")).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -87,7 +106,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests pass through a stream whose disk-backed keyed state holds digest, stable id and the place of the
     content, a file and a row in it. A digest that arrived more than once is a hit: the whole bytes of its rows
     are read again through their locators and compared; texts that only share a digest are told apart by
-    their bytes, those of rows without a hit are not read again. digest makes the key of the state from the text.
+    their bytes, those of rows without a hit leave the scan no more. digest makes the key of the state from the text.
 
     Null and empty text are one text. Of repeated rows with one id each is kept or dropped by its text, like
     any other (two equal rows with the largest id both say kept). A null id is smaller than any id.
@@ -111,5 +130,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = own.join(state.join(several, "digest", "left_anti").drop("locator"), "digest")
     mixed = saved(places.join(several, "digest"), folder, "mixed")
     apart = by_content(mixed, contents.select("text", "locator"))
-    rows = contents.join(mixed.select("locator", "digest"), "locator").select("id", "digest", norm.alias("norm"), sha256(norm).alias("sha"), "locator")
+    rows = may_be_hit(contents, mixed).join(mixed.select("locator", "digest"), "locator").select("id", "digest", norm.alias("norm"), sha256(norm).alias("sha"), "locator")
     return plain.select(told).unionByName(rows.join(apart, ["digest", "norm"]).select(told))
