@@ -201,7 +201,7 @@ def chunk_times(log: DataFrame) -> DataFrame:
     return first.join(last, "chunk", "left").select("chunk", F.coalesce(took, F.lit("UNFINISHED")).alias("took"))
 
 
-def payload(bed: DataFrame) -> Column:
+def payload() -> Column:
     """All columns of a BED row (see read_bed) joined by |."""
     return F.concat_ws("|", "contig", F.col("s").cast("string"), F.col("e").cast("string"), "extra")
 

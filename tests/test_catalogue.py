@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from seqloom.plans import calls, callsets, catalogue, more, ordered, records  # noqa: F401  the others add their queries to the catalogue
+from seqloom.plans import calls, callsets, catalogue, files, more, ordered, records  # noqa: F401  the others add their queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 

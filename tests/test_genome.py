@@ -77,7 +77,7 @@ def test_tiles_and_tracks(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t")).select("contig", "s"), "s") == [(1, 0), (1, 5)]
     assert {r.track for r in genome.tracks({"a": track, "b": track}).collect()} == {"a", "b"}
     bed = spark.createDataFrame([("x", 1, 2, ["n", "+"])], "contig string, s long, e long, extra array<string>")
-    assert bed.select(genome.payload(bed)).first()[0] == "x|1|2|n|+"
+    assert bed.select(genome.payload()).first()[0] == "x|1|2|n|+"
 
 
 def test_sinks(spark, tmp_path):
