@@ -89,16 +89,16 @@ def track_mean(left: DataFrame, track: DataFrame, key: str, score: str) -> DataF
 
     A record (s, e] covers the bases s + 1 to e, one that starts at 0 none; an interval has the bases s to e, and a record
     that ends at its s does not count. Running sums of the records' starts and ends give what is covered up to
-    a place, so an interval is the difference of its two ends, however many records lie in it. Scores are summed as
-    decimals of nine places.
+    a place, so an interval is the difference of its two ends, however many records lie in it. Scores that are no
+    integers are summed as decimals of nine places.
     """
-    exact = "decimal(38,9)"
-    w = F.col(score).cast("decimal(18,9)")
+    whole = dict(track.dtypes)[score] in ("tinyint", "smallint", "int")
+    exact, w = ("decimal(38,0)", F.col(score).cast("bigint")) if whole else ("decimal(38,9)", F.col(score).cast("decimal(18,9)"))
     rows = track.where("contig is not null and s <> 0 and s < e").where(w.isNotNull()).select("contig", "s", "e", w.alias("_score"))
     edge = lambda at, kind, sign: F.struct(F.col(at).cast("long").alias("_at"), F.lit(kind).alias("_kind"), F.lit(sign).alias("_sign"))
     rows = rows.select("contig", "_score", F.explode(F.array(edge("s", 2, 1), edge("e", 0, -1))).alias("_x")).select("contig", "_x.*", "_score")
     # at equal places ends come before a question, and starts behind it
-    sums = rows.groupBy("contig", "_at", "_kind").agg(F.sum(F.col("_score") * F.col("_sign")).cast(exact).alias("_w"), F.sum("_sign").alias("_n"))
+    sums = rows.groupBy("contig", "_at", "_kind").agg(F.sum(F.col("_score") * F.col("_sign")).cast("bigint" if whole else exact).alias("_w"), F.sum("_sign").alias("_n"))
     events = sums.withColumns({"_wx": (-F.col("_w") * F.col("_at")).cast(exact), "_nx": (-F.col("_n") * F.col("_at")).cast("decimal(38,0)"), "_tie": F.lit(0).cast("long")})
     ask = lambda at, sign: F.struct(F.col(at).cast("long").alias("_at"), F.lit(sign).alias("_sign"))
     asked = left.where("contig is not null and s is not null and e is not null").select("contig", F.col(key).alias("_of"), F.explode(F.array(ask("s", -1), ask("e", 1))).alias("_x"))
