@@ -1,7 +1,9 @@
 """What is decided on single alignments and their mates.
 
 An alignment has id, qname, flag, contig, s, e (half-open), mapq, cigar, seq, sample, mate_contig, mate_s. Null
-flags, positions or qualities satisfy no predicate: such rows are in no result that asks for one.
+flags, positions or qualities satisfy no predicate: such rows are in no result that asks for one. Repeated rows are
+judged each on their own; where one of several is chosen, ties go to the smallest id. Empty tables give no rows. Other columns
+pass through filters and are ignored elsewhere; names that begin with an underscore are taken by these operators.
 """
 
 from __future__ import annotations

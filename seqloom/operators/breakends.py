@@ -1,4 +1,8 @@
-"""From split-read clusters to breakends, insertions and target-site duplications."""
+"""From split-read clusters to breakends, insertions and target-site duplications.
+
+Null contigs, clusters and positions are groups of their own in counts, and overlap nothing in joins. Repeated rows count each;
+empty tables give no rows. Other columns are ignored; names that begin with an underscore are taken by these operators.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,9 @@
 """Rules on calls: which to keep and why not, and what an output record says.
 
 Calls hold numbers as text, 'NA' for what is missing. A rule whose input is missing or no number does not hold,
-unless it says otherwise; reasons are kept in the order of the rules.
+unless it says otherwise; reasons are kept in the order of the rules. Repeated rows are judged each on their own, joins
+by key give a row for each pair of equal keys, null keys meet nothing. Empty tables give no rows. Other columns pass
+through filters; names that begin with an underscore are taken by these operators.
 """
 
 from __future__ import annotations

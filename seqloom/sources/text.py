@@ -1,4 +1,8 @@
-"""Readers and writers of the usual text formats."""
+"""Readers and writers of the usual text formats.
+
+Empty files give no rows. Repeated lines are rows of their own, but for FASTA, where the last record of an id stays. Nulls are
+written as NA, a dot or nothing, as each format has it.
+"""
 
 from __future__ import annotations
 
