@@ -448,14 +448,15 @@ def near_family(calls: DataFrame, known: DataFrame, key: str, families: str, pad
 
 
 def near_reference(calls: DataFrame, known: DataFrame, key: str, families: list[str], pad: int = 0, most_divergence: float | None = None) -> DataFrame:
-    """key, near: whether for one of the call's superfamilies (Superfamily, joined by commas; those among `families` alone)
+    """A row a key: key, near: whether for one of the call's superfamilies (Superfamily, joined by commas; those among `families` alone)
     a known element (contig, s, e, family, divergence) lies within pad of it, or that family's track lacks the contig."""
     rows = known if most_divergence is None else known.where(F.col("divergence") < most_divergence)
     each = calls.select(key, "contig", "s", "e", F.explode(F.split(col("Superfamily"), ",")).alias("_family")).where(F.col("_family").isin(families))
     hit = any_overlap(each, rows.withColumn("_family", F.col("family")), ("contig", "_family"), pad, "_hit")
     seen = known.select("contig", F.col("family").alias("_family")).distinct().withColumn("_seen", F.lit(True))
     near = hit.join(seen, ["contig", "_family"], "left").groupBy(F.col(key).alias("_of")).agg(F.bool_or(F.col("_hit") | F.col("_seen").isNull()).alias("_near"))
-    return calls.select(key).join(near, calls[key] == near["_of"], "left").select(key, F.coalesce("_near", F.lit(False)).alias("near"))
+    keys = calls.select(key).distinct()
+    return keys.join(near, keys[key] == near["_of"], "left").select(key, F.coalesce("_near", F.lit(False)).alias("near"))
 
 
 def screened(calls: DataFrame, mappings: DataFrame, key: str, least: float = 0.9, invert: bool = False) -> DataFrame:

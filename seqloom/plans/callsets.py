@@ -49,7 +49,7 @@ def elements(spark, sf_dir) -> DataFrame:
     return known.where("element <> 'NA:NA'").withColumn("length", F.when(F.col("element").startswith("L1"), 6000).otherwise(300))
 
 
-FINAL = f"""x1 AS (SELECT uuid, super = 'NA' AS unknown, mappability, tsd3, concat_ws(',', CASE WHEN no_ins5 AND no_ins3 THEN 'NoConsMapRef' END, CASE WHEN cons3 + cons5 < 250 THEN 'TotalConsLen' END,
+FINAL = f"""x1 AS (SELECT uuid, n, p, o, q, s, super = 'NA' AS unknown, mappability, tsd3, concat_ws(',', CASE WHEN no_ins5 AND no_ins3 THEN 'NoConsMapRef' END, CASE WHEN cons3 + cons5 < 250 THEN 'TotalConsLen' END,
     CASE WHEN {MATCHES} < 0.95 THEN 'MinEltMatch' END, CASE WHEN {GENOME} < 0.98 THEN 'MinRefMatch' END, CASE WHEN q < 4 THEN 'MinDiscord' END, CASE WHEN n + q % 6 < 4 THEN 'MinSplit' END,
     CASE WHEN levenshtein(tsd3, tsd5) > 1 THEN 'MismatchTSD' WHEN (len(list_distinct(string_split(tsd3, ''))) = 1 OR len(list_distinct(string_split(tsd5, ''))) = 1) AND len(tsd3) > 10 THEN 'LongHomopolTSD' END,
     CASE WHEN te_e - te_s < 30 THEN 'MinTELength' END, CASE WHEN q % 10 = 0 THEN 'MissingVAF' END, CASE WHEN CASE WHEN q % 10 = 0 THEN 0 ELSE greatest(tax * 10, 0.1) END < 0.25 THEN 'MinVAF' END,
@@ -69,7 +69,7 @@ def final_filter(spark, sf_dir):
 
 
 @query(FINAL + """, x2 AS (SELECT uuid, unknown, mappability, tsd3, concat_ws(',', CASE WHEN t <> '' THEN t END, CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.tid % 5 = y.s % 5 AND t.s < y.o * 10 + y.q * 20 AND y.o * 10 < t.e) THEN 'PositionFilter' END,
-    CASE WHEN EXISTS (SELECT 1 FROM targets t WHERE t.tid % 5 = y.s % 5 AND t.tid % 7 = y.q % 7 AND t.s < y.o * 10 + y.q * 20 AND y.o * 10 < t.e) THEN 'OverlapRefgene' END, CASE WHEN (n % 2 = 0) <> (p % 2 = 0) THEN 'NoOrient' END) AS t FROM x1 JOIN (SELECT DISTINCT uuid, n, p, o, q, s FROM final) y USING (uuid))
+    CASE WHEN uuid IN (SELECT f.uuid FROM final f JOIN targets t ON t.tid % 5 = f.s % 5 AND t.tid % 7 = f.q % 7 AND t.s < f.o * 10 + f.q * 20 AND f.o * 10 < t.e) THEN 'OverlapRefgene' END, CASE WHEN (n % 2 = 0) <> (p % 2 = 0) THEN 'NoOrient' END) AS t FROM x1 y)
 SELECT uuid, CASE WHEN unknown THEN 'UnknownInsType' WHEN t <> '' THEN t WHEN mappability < 0.5 THEN 'LowMap' WHEN regexp_matches(tsd3, 'A{22}') THEN 'HomopolSite' ELSE 'PASS' END AS filter FROM x2""")
 def general_filter(spark, sf_dir):
     """Positions to leave out are the targets, dealt over the calls' chromosomes by their number, in two tracks; so are genes,

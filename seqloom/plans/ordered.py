@@ -75,7 +75,7 @@ def forest_sql(trees: int = 100, rows_per_tree: int = 256, sample: int = 8192, s
     value = "CASE f WHEN " + " WHEN ".join(f"{i} THEN f{i}" for i in range(len(names))) + " END"
     levels = rows_per_tree.bit_length() - 1
     out = [
-        f"r AS (SELECT l_returnflag AS g, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linenumber > 1 AS train, l_quantity > 49 AS known, ('0x' || substr(md5(concat_ws(':', {seed}, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT AS h, {cols} FROM lineitem)",
+        f"r AS (SELECT row_number() OVER () AS rid, l_returnflag AS g, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linenumber > 1 AS train, l_quantity > 49 AS known, ('0x' || substr(md5(concat_ws(':', {seed}, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15))::BIGINT AS h, {cols} FROM lineitem)",
         f"share AS (SELECT g, least(1000000, floor(1e6 * {sample} / count(*)) + 1) AS share FROM r WHERE train GROUP BY g)",
         "chosen AS (SELECT r.* FROM r JOIN share USING (g) WHERE train AND h % 1000000 < share)",
         f"dealt AS (SELECT g, t, {', '.join(names)}, row_number() OVER (PARTITION BY g, t ORDER BY substr(md5(t || ':' || h), 1, 15), {', '.join(names)}) AS k FROM chosen, range({trees}) AS n(t))",
@@ -88,7 +88,7 @@ def forest_sql(trees: int = 100, rows_per_tree: int = 256, sample: int = 8192, s
         out.append(f"n{d} AS (SELECT g, t, place, n, more AND len(wide) > 0 AS inner_node, wide[(1 + floor({drawn(0)} * len(wide)))::INT] AS f, {drawn(1)} AS u, lo, hi FROM w{d})")
         out.append(f"c{d} AS (SELECT g, t, place, CASE WHEN inner_node THEN f ELSE -1 END AS f, lo[(f + 1)::INT] + u * (hi[(f + 1)::INT] - lo[(f + 1)::INT]) AS cut, {d} + {depth_of('n')} AS path FROM n{d})")
         out.append(f"m{d + 1} AS (SELECT g, t, 2 * place + CASE WHEN {value} <= cut THEN 0 ELSE 1 END AS place, {', '.join(names)} FROM m{d} JOIN c{d} USING (g, t, place) WHERE f >= 0)")
-    keys = "g, l_orderkey, l_partkey, l_suppkey, l_linenumber"
+    keys = "rid, g, l_orderkey, l_partkey, l_suppkey, l_linenumber"
     out.append(f"p0 AS (SELECT {keys}, known, t, 1 AS place, {', '.join(names)} FROM r JOIN sizes USING (g), range({trees}) AS n(t))")
     for d in range(levels + 1):
         out.append(f"e{d} AS (SELECT p{d}.*, f, cut, path FROM p{d} JOIN c{d} USING (g, t, place))")
