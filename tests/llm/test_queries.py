@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     rows = lambda d: sorted(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) and v % 1 else str(int(v) if isinstance(v, float) else v) for v in r) for r in d[sorted(want.columns)].astype(object).itertuples(index=False))
