@@ -98,8 +98,7 @@ def pileup_read(spark, sf_dir):
 def variants_read(spark, sf_dir):
     t = col("tid")
     path = written(adapters.targets(spark, sf_dir), col("contig"), col("s"), t, F.when(t % 2 == 0, "AC").otherwise("A"), F.when(t % 3 == 0, "GT").otherwise("G"))
-    rows = genome.read_variants(spark, path, single=True).withColumn("s", col("pos"))
-    return rows.join(adapters.targets(spark, sf_dir).select("tid", "contig", "s"), ["contig", "s"]).select("tid", "contig", "variant")
+    return genome.read_variants(spark, path, single=True).select(col("name").cast("long").alias("tid"), "contig", "variant")
 
 
 @query("""SELECT 'L' || tid % 6 AS type, contig, s, e, CASE WHEN tid % 2 = 0 THEN '-' ELSE '+' END AS strand, tid % 40 / 2.0::DOUBLE AS divergence FROM targets

@@ -102,8 +102,8 @@ def read_pileup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_variants(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
-    """contig, pos, ref, alt, variant (pos:ref>alt) of VCF lines; single: only where ref and alt are of one length."""
-    rows = fields(spark, path).where(F.size("c") >= 5).select(at(0).alias("contig"), at(1, "bigint").alias("pos"), at(3).alias("ref"), at(4).alias("alt"))
+    """contig, pos, name, ref, alt, variant (pos:ref>alt) of VCF lines; single: only where ref and alt are of one length."""
+    rows = fields(spark, path).where(F.size("c") >= 5).select(at(0).alias("contig"), at(1, "bigint").alias("pos"), at(2).alias("name"), at(3).alias("ref"), at(4).alias("alt"))
     rows = rows.where("pos is not null").withColumn("variant", F.concat(F.col("pos").cast("string"), F.lit(":"), "ref", F.lit(">"), "alt"))
     return rows.where("length(ref) = length(alt)") if single else rows
 
