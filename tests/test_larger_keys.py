@@ -7,6 +7,9 @@ import itertools
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from seqloom.functions import sequences as seqs
 from seqloom.plans import calls, callsets, catalogue, files, more, ordered, records  # noqa: F401  the others add their queries to the catalogue
 from tests.test_catalogue import same
 
@@ -46,3 +49,12 @@ def test_mean_at_the_limit_in_any_order(tables):
     ids = [i for i in range(6, 2000, 13) if hashlib.md5(str(i).encode()).hexdigest().count("f") <= 3]  # few N
     rows = [(ids[3 * g + k], 1000 * g + 500, 11 * (k + 1), "click", 30.0, q) for g, order in enumerate(orders) for k, q in enumerate(order)]
     assert sorted(tables("accepted_breakends", events=rows, sql=False)["cluster"]) == list(range(6))
+
+
+def test_walks_compare_each_prefix_once(spark):
+    """Two prefixes from each of seven starts, and no letter by itself in a lambda."""
+    df = spark.createDataFrame([("ACGTACGT", "ACGTACGA")], "l string, r string")
+    text = lambda c: df.select(c.alias("t"))._jdf.queryExecution().executedPlan().toString()
+    longest = text(seqs.longest_duplication(F.col("l"), F.col("r"), F.lit(3), F.lit(3)))
+    assert longest.count("regexp_extract(") == 14 and "filter(" not in longest
+    assert text(seqs.walked_duplication(F.col("l"), F.col("l"), F.col("r"), F.col("r"))).count("regexp_extract(") == 2
