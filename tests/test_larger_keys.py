@@ -58,3 +58,10 @@ def test_walks_compare_each_prefix_once(spark):
     longest = text(seqs.longest_duplication(F.col("l"), F.col("r"), F.lit(3), F.lit(3)))
     assert longest.count("regexp_extract(") == 14 and "filter(" not in longest
     assert text(seqs.walked_duplication(F.col("l"), F.col("l"), F.col("r"), F.col("r"))).count("regexp_extract(") == 2
+
+
+def test_qualities_are_read_once(spark):
+    df = spark.createDataFrame([("ACGTACGT", "III#####"), ("AC", None), (None, "IIIIIIII")], "s string, q string")
+    got = df.select(seqs.quality_trimmed(F.col("s"), F.col("q")).alias("t"))
+    assert [r.t for r in got.collect()] == ["ACG", "AC", None]
+    assert got._jdf.queryExecution().executedPlan().toString().count("split(") == 1
