@@ -65,3 +65,10 @@ def test_qualities_are_read_once(spark):
     got = df.select(seqs.quality_trimmed(F.col("s"), F.col("q")).alias("t"))
     assert [r.t for r in got.collect()] == ["ACG", "AC", None]
     assert got._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+
+
+def test_free_positions_are_found_once(spark):
+    df = spark.createDataFrame([(12, [(2, 4), (4, 5), (6, 9)])], "n int, m array<struct<s:int,e:int>>")
+    got = df.select(seqs.uncovered(F.col("n"), F.col("m")).alias("x"))
+    assert [tuple(x) for x in got.first().x] == [(0, 1), (10, 11)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("exists(") == 1
