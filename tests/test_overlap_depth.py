@@ -66,3 +66,20 @@ def test_records_are_listed_once_for_each_place(spark, made):
     made.clear()
     text = {x.id: x.annotation for x in brk.annotated_by_family(left, right, "id", "family", ["tid"]).collect()}
     assert all(text[i] == "1" for i in range(50)) and text[50] == "2" and text[None] == text[51] == text[52] == "NA" and sum(made) == 6
+
+
+def test_reads_and_sites_of_one_place_are_compared_once(spark, made):
+    reads = spark.createDataFrame([("x", 90, 400, "a", 20), ("x", 100, 150, "a", 20)] * 30 + [("x", 90, 400, None, 20)], KIND + ", sample string, mapq int")
+    sites = spark.createDataFrame([("x", 100, 300, i) for i in range(20)], KIND + ", tid long")
+    got = evidence.genotype_counts(reads, sites)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, x, *n) for i in range(20) for x, n in (("a", (30, 30)), (None, (0, 1)))], key=str) and made == [3]
+    made.clear()
+    marked = reads.withColumns({"flag": F.lit(0), "cigar": F.lit("20S50M")})
+    got = {(x.tid, x.sample): (x.alt, x.ref) for x in brk.break_counts(marked, sites.withColumn("e", F.lit(103).cast("long"))).collect()}
+    assert got == {(i, x): n for i in range(20) for x, n in (("a", (30, 0)), (None, (0, 0)))} and made == [3]
+
+
+def test_sites_meet_samples_in_many_tasks(spark):
+    names = spark.createDataFrame([("a",), ("b",), (None,)], "sample string")
+    out = evidence.of_every_sample(spark.range(500).withColumnRenamed("id", "tid"), names)
+    assert out.distinct().count() == out.count() == 1500 and "_deal" in out._jdf.queryExecution().optimizedPlan().toString()
