@@ -50,7 +50,7 @@ def screened_out_calls(spark, sf_dir):
 
 @query("""SELECT id, tid FROM reads r JOIN targets t ON r.contig = t.contig AND least(r.e, t.e) - greatest(r.s, t.s) > 0""")
 def inclusive_overlaps(spark, sf_dir):
-    met = intervals.overlap_pairs(adapters.reads(spark, sf_dir).select("id", "contig", "s", "e"), adapters.targets(spark, sf_dir).select("tid", "contig", "s", "e"), pad=1)
+    met = intervals.overlap_pairs(adapters.reads(spark, sf_dir).select("id", "contig", "s", "e"), adapters.targets(spark, sf_dir).select("tid", "contig", "s", "e"), evidence.SHORT, pad=1)
     return met.where(intervals.overlaps_inclusive(F.col("s"), F.col("e"), F.col("r_s"), F.col("r_e"))).select("id", "tid")
 
 

@@ -83,3 +83,28 @@ def test_sites_meet_samples_in_many_tasks(spark):
     names = spark.createDataFrame([("a",), ("b",), (None,)], "sample string")
     out = evidence.of_every_sample(spark.range(500).withColumnRenamed("id", "tid"), names)
     assert out.distinct().count() == out.count() == 1500 and "_deal" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_joins_of_short_rows(spark, monkeypatch):
+    """Bases go into the join that makes the pairs, so that pairs are not dealt again, and bins are as narrow as the rows."""
+    from seqloom.operators import callset
+    from seqloom.plans import callsets, catalogue, more, records  # noqa: F401
+
+    seen, join = [], intervals.overlap_pairs
+
+    def noted(left, right, size=intervals.BIN, pad=0):
+        seen.append((size, {*left.columns, *right.columns}))
+        return join(left, right, size, pad)
+
+    monkeypatch.setattr(intervals, "overlap_pairs", noted)
+    monkeypatch.setattr(callset, "overlap_pairs", noted)
+    for name in ("site_duplications", "inclusive_overlaps", "renamed_intervals"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [n for n, _ in seen] == [evidence.SHORT] * 3 and {"seq1", "seq2"} <= seen[0][1]
+
+
+def test_rules_of_the_final_filter_are_asked_once(spark):
+    from seqloom.plans import callsets
+
+    text = callsets.final_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("levenshtein(") == 2
