@@ -36,8 +36,8 @@ x4 AS (SELECT contig, max_by(held, k) AS held FROM x3 GROUP BY contig), x5 AS (S
 SELECT uuid FROM x5 WHERE uuid <> ''""")
 def cascaded_duplicates(spark, sf_dir):
     """Calls of chunks of 100 orders, which share places with their own kind and with what lies 7 before."""
-    o = F.substring_index("uuid", "-", 1).cast("long")
-    rows = raw_calls(spark, sf_dir).withColumns({"chrom": F.floor(o / 100), "be1_breakpos": o % 100})
+    o = F.col("l_orderkey")
+    rows = raw_calls(spark, sf_dir, "l_orderkey").withColumns({"chrom": F.floor(o / 100), "be1_breakpos": o % 100})
     rows = rows.withColumn("be2_breakpos", F.when(F.col("dr_count") % 2 == 0, o % 100).otherwise(o % 100 + 7))
     return callset.cascaded(rows, "uuid")
 
