@@ -155,7 +155,7 @@ def elements_read(spark, sf_dir):
 @query("SELECT uuid, 'chr' || (s % 5) AS chrom, o * 10 AS lo, tsd5, super FROM calls")
 def final_table_read(spark, sf_dir):
     calls = adapters.calls(spark, sf_dir)
-    genome.write_calls(calls, path := folder(calls), calls.columns)
+    genome.write_calls(calls, path := folder(calls), calls.columns, "lz4")
     return genome.read_table_twice(spark, path)[1].select(col("UUID").alias("uuid"), col("Chromosome").alias("chrom"), col("Left_Extreme").cast("long").alias("lo"), col("TSD_5prime").alias("tsd5"), col("Superfamily").alias("super"))
 
 

@@ -14,6 +14,8 @@ from seqloom.sources.text import read_fasta, write_table
 
 #: Formats whose rows bring their file.
 INDEXED = {"bam", "tabix", "fasta", "bigwig"}
+#: Fixed value: a separator that texts seldom hold.
+BETWEEN = "\x1f"
 #: Columns of the gene table in order.
 GENE = "bin name chrom strand tx_start tx_end cds_start cds_end exon_count exon_starts exon_ends score name2 cds_start_stat cds_end_stat exon_frames".split()
 #: What the four kinds of lines of a run log look like.
@@ -254,10 +256,16 @@ def write_details(calls: DataFrame, path: str, command: str, key: str) -> None:
     calls.select(text.alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
 
 
-def write_calls(records: DataFrame, path: str, columns: list[str]) -> None:
-    """The final table: columns in order, NA for null, parts in the order of contig and start."""
-    order = [F.col("Chromosome"), F.col("Left_Extreme").cast("bigint"), F.col("UUID")]
-    write_table(records.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")).alias(c) for c in columns]), path)
+def write_calls(records: DataFrame, path: str, columns: list[str], compression: str = "none") -> None:
+    """The final table: columns in order, NA for null, parts in the order of contig and start. Rows are dealt as one text each, which is
+    shorter than a row of texts; those with the separator in a value as a list."""
+    order = {"_contig": F.col("Chromosome"), "_start": F.col("Left_Extreme").cast("bigint"), "_key": F.col("UUID")}
+    values = {f"_v{i}": F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for i, c in enumerate(columns)}
+    rows = records.select(*[c.alias(k) for k, c in (order | values).items()]).withColumn("_line", F.concat_ws(BETWEEN, *values))
+    plain = F.length("_line") - F.length(F.replace("_line", F.lit(BETWEEN), F.lit(""))) == len(columns) - 1
+    dealt = rows.select(*order, F.when(plain, F.col("_line")).alias("_line"), F.when(~plain, F.array(*values)).alias("_list")).repartitionByRange(*order).sortWithinPartitions(*order)
+    whole = dealt.select(F.coalesce("_list", F.split("_line", BETWEEN, -1)).alias("_list"))
+    write_table(whole.select(*[F.col("_list")[i].alias(c) for i, c in enumerate(columns)]), path, compression)
 
 
 def cluster_line(pad: int = 500) -> Column:

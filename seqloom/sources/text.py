@@ -46,8 +46,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.csv(path, sep="\t", header=True, nullValue="NA", schema=schema)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NA", emptyValue="")
+def write_table(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="NA", emptyValue="", compression=compression)
 
 
 #: The columns before the samples, and the version line.
