@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables with what larger ones have: places that many rows share, means at a limit, long runs."""
 
 import datetime
+import functools
 import hashlib
 import itertools
 
@@ -51,6 +52,16 @@ def test_mean_at_the_limit_in_any_order(tables):
     assert sorted(tables("accepted_breakends", events=rows, sql=False)["cluster"]) == list(range(6))
 
 
+def test_mean_at_the_limit_as_doubles_add_up(tables):
+    """Groups of two and three whose mean is 0.4, of which some add up to less in every order, as SQL has it."""
+    groups = [(a, 80 - a) for a in range(41)] + [(a, b, 120 - a - b) for a in range(0, 41, 3) for b in range(a, 60, 7)]
+    sums = [{functools.reduce(float.__add__, [q / 100.0 for q in order]) / len(g) >= 0.4 for order in itertools.permutations(g)} for g in groups]
+    sure = [g for g, verdicts in zip(groups, sums) if len(verdicts) == 1]
+    ids = [i for i in range(6, 10000, 13) if hashlib.md5(str(i).encode()).hexdigest().count("f") <= 3]
+    rows = [(ids[3 * g + k], 1000 * g + 500, 11 * (k + 1), "click", 30.0, q) for g, group in enumerate(sure) for k, q in enumerate(group)]
+    assert len(tables("accepted_breakends", events=rows)) == sums.count({True})
+
+
 def test_walks_compare_each_prefix_once(spark):
     """Two prefixes from each of seven starts, and no letter by itself in a lambda."""
     df = spark.createDataFrame([("ACGTACGT", "ACGTACGA")], "l string, r string")
