@@ -68,6 +68,21 @@ def test_records_are_listed_once_for_each_place(spark, made):
     assert all(text[i] == "1" for i in range(50)) and text[50] == "2" and text[None] == text[51] == text[52] == "NA" and sum(made) == 6
 
 
+def test_lists_of_deep_tracks_without_pairs(spark, made):
+    """Rows of all lengths, empty and reversed ones, and keys of one place: no pairs are made and no text is dealt."""
+    r = random.Random(7)
+    long = lambda n, extra: [("x", s := r.randrange(-3000, 3000), s + r.choice([-9, 0, 1, 40, 256, 257, 1024, 5000]), *extra(i)) for i in range(n)]
+    left, right = drawn(r, 200, lambda i: (i, "ab"[i % 2])), drawn(r, 150, lambda i: (i % 40, "abc"[i % 3]))
+    left, right = left + long(150, lambda i: (1000 + i, "ab"[i % 2])) + [("x", 5, 9, 2000, "a"), ("x", 5, 9, 2001, "a"), ("x", 5, 9, None, "a"), ("x", 5, 9, 2002, None)], right + long(150, lambda i: (i % 40, "abc"[i % 3]))
+    rows, track = spark.createDataFrame(left, KIND + ", id long, family string"), spark.createDataFrame(right, KIND + ", tid long, family string")
+    got = brk.annotated_records(rows, track, "id", ["family", "tid"])
+    want = {a[3]: ";".join(f"{x[4]},{x[3]}" for x in sorted(met, key=lambda x: (x[1], x[2], f"{x[4]},{x[3]}"))) or "NA" for a, met in hits(left, right)} | {None: "NA"}
+    assert {x.id: x.annotation for x in got.collect()} == want and got.count() == len(left) and not sum(made)
+    got = brk.annotated_by_family(rows, track, "id", "family", ["tid", "family"])
+    want = {a[3]: ",".join(sorted({f"{x[3]}|{x[4]}" for x in met if x[4] == a[4]})) or "NA" for a, met in hits(left, right)} | {None: "NA"}
+    assert {x.id: x.annotation for x in got.collect()} == want and got.count() == len(left) and not sum(made)
+
+
 def test_reads_and_sites_of_one_place_are_compared_once(spark, made):
     reads = spark.createDataFrame([("x", 90, 400, "a", 20), ("x", 100, 150, "a", 20)] * 30 + [("x", 90, 400, None, 20)], KIND + ", sample string, mapq int")
     sites = spark.createDataFrame([("x", 100, 300, i) for i in range(20)], KIND + ", tid long")
