@@ -123,3 +123,32 @@ def test_rules_of_the_final_filter_are_asked_once(spark):
 
     text = callsets.final_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("levenshtein(") == 2
+
+
+def test_general_filter_sweeps_narrow_rows(spark, monkeypatch):
+    """The rules on a call's own columns are asked before the sweeps, which carry what the verdict needs."""
+    from seqloom.operators import sweeps
+    from seqloom.plans import callsets
+
+    seen = []
+
+    def noted(left, *args, **kwargs):
+        seen.append(left.columns)
+        return sweeps.any_overlap(left, *args, **kwargs)
+
+    monkeypatch.setattr(callsets, "any_overlap", noted)
+    callsets.general_filter(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and len(seen[0]) <= 8
+
+
+def test_rows_beyond_a_track_are_not_swept(spark, monkeypatch):
+    from seqloom.operators import sweeps
+
+    r, swept, run = random.Random(8), [], sweeps.running
+    left, right = drawn(r, 200, lambda i: (i,)) + [("z", 5, 9, 300), ("x", 9000, 9001, 301), ("x", -50, -40, 302)], [x for x in drawn(r, 20, lambda i: (i,)) if x[1] is None or 100 < x[1] < 250]
+    rows, track = spark.createDataFrame(left, KIND + ", id long"), spark.createDataFrame(right, KIND + ", tid long")
+    monkeypatch.setattr(sweeps, "running", lambda events, *args, **kwargs: swept.append(events.where("_kind = 0").count()) or run(events, *args, **kwargs))
+    for pad in (0, 7):
+        few, all_rows = ({x.id: x.hit for x in sweeps.any_overlap(rows, track, pad=pad, few_groups=k).collect()} for k in (True, False))
+        assert few == all_rows and len(few) == len(left) and any(few.values())
+    assert swept[0] < swept[1] and swept[2] < swept[3]
