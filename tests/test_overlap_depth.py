@@ -125,6 +125,24 @@ def test_rules_of_the_final_filter_are_asked_once(spark):
     assert text.count("levenshtein(") == 2
 
 
+def test_names_of_deep_tracks_are_counted(spark, made, monkeypatch):
+    """Rows are written out from counts; only empty and reversed rows make pairs."""
+    from collections import Counter
+
+    from seqloom.operators import callset
+
+    monkeypatch.setattr(callset, "overlap_pairs", intervals.overlap_pairs)
+    monkeypatch.setattr(callset, "AT_ONCE", 3)
+    monkeypatch.setattr(callset, "DEEP", 8)
+    r = random.Random(9)
+    turned = lambda rows: [(c, e, s, *x) if i % 29 == 0 else (c, s, e, *x) for i, (c, s, e, *x) in enumerate(rows)]
+    left, right = turned(drawn(r, 300, lambda i: (i, "abc"[i % 3]))), turned(drawn(r, 200, lambda i: ("pq"[i % 2] if i % 5 else None,)))
+    left += [("x", 100, 120, 400, "a")] * 3
+    got = callset.renamed(spark.createDataFrame(left, KIND + ", id long, more string"), spark.createDataFrame(right, KIND + ", name string"), "id", "name")
+    want = Counter((a[0], a[1], a[2], b[3], a[4]) for a, met in hits(left, right) for b in met)
+    assert Counter(map(tuple, got.collect())) == want and sum(made) < sum(want.values()) / 4
+
+
 def test_general_filter_sweeps_narrow_rows(spark, monkeypatch):
     """The rules on a call's own columns are asked before the sweeps, which carry what the verdict needs."""
     from seqloom.operators import sweeps
